@@ -6,13 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqspark.llm import quality, simhash
+from seqspark.llm import decontaminate, line_dedup, packing, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each benchmark item found in a document."""
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.drop_boilerplate(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("kept_md5"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
@@ -23,9 +37,24 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.train_quality_model(docs, _table(spark, sf_dir, "labels")))
 
 
+LINE_SQL = f"""
+WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
+totals AS (SELECT source, count(DISTINCT text) AS total FROM d GROUP BY source),
+l AS (SELECT source, text, unnest(list_distinct(list_transform(lines, lambda x: trim(x, ' ')))) AS line FROM d),
+c AS (SELECT source, line, count(DISTINCT text) AS n FROM l WHERE line <> '' GROUP BY source, line),
+b AS (SELECT c.source, list(c.line) AS ls FROM c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
+      WHERE c.n >= {line_dedup.MIN_PAGES} AND c.n * 100 > t.total * {line_dedup.RATIO_PERCENT} GROUP BY c.source),
+k AS (SELECT d.doc_id, d.text, d.lines, list_filter(d.lines, lambda x: NOT coalesce(list_contains(b.ls, trim(x, ' ')), false)) AS kept
+      FROM d LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines) - len(kept), 0) AS BIGINT) AS n_dropped,
+       CASE WHEN text IS NOT NULL THEN md5(array_to_string(kept, chr(10))) END AS kept_md5
+FROM k
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_simhash": op7_simhash, "op9_quality": op9_quality}
+    return {f.__name__: f for f in (op5_decontaminate, op6_packing, op7_simhash, op8_line_dedup, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_line_dedup": LINE_SQL}
