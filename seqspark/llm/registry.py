@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqspark.llm import decontaminate, line_dedup, packing, quality, simhash
+from seqspark.llm import decontaminate, line_dedup, packing, quality, secret_scan, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(_table(spark, sf_dir, "documents")))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each benchmark item found in a document."""
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -53,7 +57,7 @@ FROM k
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_decontaminate, op6_packing, op7_simhash, op8_line_dedup, op9_quality)}
+    return {f.__name__: f for f in (op2_secrets, op5_decontaminate, op6_packing, op7_simhash, op8_line_dedup, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
