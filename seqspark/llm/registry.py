@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqspark.llm import decontaminate, line_dedup, packing, quality, secret_scan, simhash
+from seqspark.llm import decontaminate, line_dedup, packing, pii, quality, secret_scan, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,15 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(_table(spark, sf_dir, "documents")))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(_table(spark, sf_dir, "documents")))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives hold, read back from them."""
+    return warc.read_bundles(warc.write_bundles(_table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each benchmark item found in a document."""
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -56,9 +65,21 @@ FROM k
 """
 
 
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT p.page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST(1 + ((CAST('0x' || substr(p.h, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN p.page_id = f.first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN p.page_id <> f.first THEN f.first END AS refers_to
+FROM p JOIN f ON p.h = f.h
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secrets, op5_decontaminate, op6_packing, op7_simhash, op8_line_dedup, op9_quality)}
+    return {f.__name__: f for f in (op2_secrets, op3_pii, op4_warc, op5_decontaminate, op6_packing, op7_simhash, op8_line_dedup, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": LINE_SQL}
+    return {"op4_warc": WARC_SQL, "op8_line_dedup": LINE_SQL}
