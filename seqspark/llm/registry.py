@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqspark.llm import decontaminate, line_dedup, packing, pii, quality, secret_scan, simhash, warc
+from seqspark.llm import decontaminate, line_dedup, packing, pii, quality, secret_scan, simhash, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.drop_repeats(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(_table(spark, sf_dir, "documents")))
 
@@ -78,7 +83,7 @@ FROM p JOIN f ON p.h = f.h
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secrets, op3_pii, op4_warc, op5_decontaminate, op6_packing, op7_simhash, op8_line_dedup, op9_quality)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_secrets, op3_pii, op4_warc, op5_decontaminate, op6_packing, op7_simhash, op8_line_dedup, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
