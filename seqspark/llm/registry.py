@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqspark.llm import decontaminate, line_dedup, packing, pii, quality, secret_scan, simhash, suffix_dedup, warc
+from seqspark.llm import decontaminate, line_dedup, packing, pii, quality, secret_scan, simhash, substring_dedup, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.train_quality_model(docs, _table(spark, sf_dir, "labels")))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.drop_repeats(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 LINE_SQL = f"""
 WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
 totals AS (SELECT source, count(DISTINCT text) AS total FROM d GROUP BY source),
@@ -82,9 +87,20 @@ FROM p JOIN f ON p.h = f.h
 """
 
 
+SUBSTRING_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT rid, doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13),
+v AS (SELECT rid, doc_id, p, array_to_string(w[p : p + 12], ' ') AS v FROM s),
+f AS (SELECT v, min(doc_id) AS first FROM v GROUP BY v),
+g AS (SELECT rid, list(DISTINCT i) AS gone FROM (SELECT rid, unnest(range(p, p + 13)) AS i FROM v JOIN f USING (v) WHERE f.first < doc_id) GROUP BY rid),
+k AS (SELECT doc_id, w, list_filter(w, lambda x, i: NOT coalesce(list_contains(gone, i), false)) AS kept FROM d LEFT JOIN g USING (rid))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(kept) AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_secrets, op3_pii, op4_warc, op5_decontaminate, op6_packing, op7_simhash, op8_line_dedup, op9_quality)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_secrets, op3_pii, op4_warc, op5_decontaminate, op6_packing, op7_simhash, op8_line_dedup, op9_quality, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": WARC_SQL, "op8_line_dedup": LINE_SQL}
+    return {"op4_warc": WARC_SQL, "op8_line_dedup": LINE_SQL, "op10_substring_dedup": SUBSTRING_SQL}
