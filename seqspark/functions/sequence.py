@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 ALPHABET = "ACGTM"
 # IUPAC codes as character classes.
@@ -20,6 +20,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def evaluated(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that later columns read instead of repeating its expression: a generator is a border that the optimizer does not merge across."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def letters(seq: Column | str) -> Column:
     """The letters of a string; none of the empty one."""
     return F.filter(F.split(as_column(seq), ""), lambda x: x != "")

@@ -11,6 +11,8 @@ from seqspark.operators.filters import select_kmers
 
 #: Rows of a site table up to which it is broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Bases in a piece of a reference.
+SLICE = 256
 
 
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -114,16 +116,25 @@ def annotate_modifications(segments: DataFrame, sites: DataFrame, base: str = "A
     return rows.withColumn("seq", F.when(F.col("_at").isNull(), F.col("seq")).otherwise(written)).drop("_at")
 
 
-def window_of(seq: Column | str, pos: Column, before: int, after: int) -> Column:
-    """seq[max(pos - before, 0) : min(pos + after, len)], upper case."""
-    seq = F.col(seq) if isinstance(seq, str) else seq
-    lo = F.greatest(pos - before, F.lit(0)).cast("int")
-    return F.upper(F.substring(seq, lo + 1, F.greatest((pos + after).cast("int") - lo, F.lit(0))))
-
-
-def ref_window(df: DataFrame, reference: DataFrame, before: int, after: int, pos: str = "refpos", contig: str = "contig") -> DataFrame:
-    """``df`` with refseq, the reference around each place; contigs that the reference lacks are left out."""
-    return df.join(reference.select(contig, F.col("seq").alias("_ref")), contig).withColumn("refseq", window_of("_ref", F.col(pos), before, after)).drop("_ref")
+def reference_slices(reference: DataFrame, before: int, after: int, size: int = SLICE, contig: str = "contig") -> DataFrame:
+    """contig, bin, slice_start, slice: the reference in pieces of ``size`` bases, each with its neighbours' margins, so that no row of a join carries a chromosome."""
+    if max(before, after) > size:
+        raise ValueError("a window must fit into a slice and its neighbours")
+    by = Window.partitionBy(contig).orderBy("bin")
+    rows = reference.select(contig, F.posexplode(F.split("seq", rf"(?<=\G.{{{size}}})")).alias("bin", "own"))
+    left, right = F.coalesce(F.right(F.lag("own").over(by), F.lit(before)), F.lit("")), F.coalesce(F.left(F.lead("own").over(by), F.lit(after)), F.lit(""))
+    rows = rows.select(contig, F.col("bin").cast("long").alias("bin"), left.alias("left"), "own", right.alias("right"))
+    return rows.select(contig, "bin", (F.col("bin") * size - F.length("left")).alias("slice_start"), F.concat("left", "own", "right").alias("slice"))
+
+
+def ref_window(df: DataFrame, reference: DataFrame, before: int, after: int, pos: str = "refpos", contig: str = "contig", base: str | None = None) -> DataFrame:
+    """``df`` with refseq, the reference around each place (and ``base``, the base there); contigs that the reference lacks are left out."""
+    slices = reference_slices(reference, before, after, contig=contig)
+    rows = df.withColumn("bin", F.floor(F.col(pos) / SLICE)).join(slices, [contig, "bin"])
+    if base is not None:
+        rows = rows.withColumn(base, F.upper(F.substring("slice", (F.col(pos) - F.col("slice_start") + 1).cast("int"), F.lit(1))))
+    lo = F.greatest(F.col(pos) - before, F.lit(0))
+    return rows.withColumn("refseq", F.upper(F.substring("slice", (lo - F.col("slice_start") + 1).cast("int"), (F.col(pos) + after - lo).cast("int")))).drop("bin", "slice_start", "slice")
 
 
 def compare_pore_models(a: DataFrame, b: DataFrame, selection: str = "") -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from seqspark.functions.sequence import aligned_pairs, hard_clips, let, letters
+from seqspark.functions.sequence import aligned_pairs, evaluated, hard_clips, let, letters
 from seqspark.functions.tags import expand_mm, pad_ml, parse_mm
 from seqspark.operators.filters import REVERSE, filter_motif
-from seqspark.operators.joins import window_of
+from seqspark.operators.joins import ref_window
 
 # The code of each modification.
 CODES = {"m6A": "A+a", "8oxoG": "G+o", "Xao": "N+n"}
@@ -18,9 +18,11 @@ def _decoded(alignments: DataFrame, mod: str) -> DataFrame:
     """Alignments with ``values``, one for each canonical base in the read's own direction, and ``reason`` where there are none."""
     code = CODES.get(mod, mod)
     base = code.split("+")[0]
-    own = alignments.withColumn("is_reverse", F.col("flag").bitwiseAND(REVERSE) != 0).withColumn("_mod", F.try_element_at(parse_mm("mm", "ml"), F.lit(code)))
+    own = alignments.withColumn("is_reverse", F.col("flag").bitwiseAND(REVERSE) != 0)
+    own = evaluated(own, "_mod", F.try_element_at(parse_mm("mm", "ml"), F.lit(code)))
     here = F.when(F.col("is_reverse"), F.lit(COMPLEMENT[base])).otherwise(F.lit(base))
-    own = own.withColumn("seq", F.upper("seq")).withColumn("_n", F.length("seq") - F.length(F.replace("seq", here, F.lit("")))).withColumn("values", pad_ml(expand_mm("_mod.gaps", "_mod.likelihoods"), "_n"))
+    own = own.withColumn("seq", F.upper("seq")).withColumn("_n", F.length("seq") - F.length(F.replace("seq", here, F.lit(""))))
+    own = evaluated(own, "values", pad_ml(expand_mm("_mod.gaps", "_mod.likelihoods"), "_n"))
     reason = F.when(F.col("_mod").isNull(), "Corrupted_MM").when(F.col("values").isNull(), "Inconsistent_ML")
     return own.withColumn("reason", reason).withColumn("_base", here)
 
@@ -37,17 +39,18 @@ def meth_pileup(alignments: DataFrame, reference: DataFrame, mod: str = "m6A", m
     On reverse reads the canonical base is complemented and the likelihoods are turned around.  qpos counts leading hard clips.
     Bases without a reference place are left out, and so are likelihoods under the threshold.  The motif is matched at the start
     of the window, or with its middle on the base (``anchor='center'``).  A read's bases stay with the read until all filters on
-    them have run; the reference joins by contig alone.
+    them have run; the reference joins in short slices.
     """
     own = _decoded(alignments, mod).where("reason IS NULL")
     values = F.when(F.col("is_reverse"), F.reverse("values")).otherwise(F.col("values"))
     places = F.filter(F.transform(letters("seq"), lambda b, i: F.when(b == F.col("_base"), i)), lambda i: i.isNotNull())
-    pairs = F.map_from_entries(F.transform(F.filter(aligned_pairs("pos", "cigar"), lambda p: p["qpos"].isNotNull()), lambda p: F.struct(p["qpos"].alias("key"), p["refpos"].alias("value"))))
-    own = own.select("contig", "read_id", F.when(F.col("is_reverse"), "-").otherwise("+").alias("direction"), F.col("_base").alias("qbase"), hard_clips("cigar")["leading"].alias("_clip"), F.arrays_zip(places.alias("q"), values.alias("v")).alias("_bases"), pairs.alias("_pairs"))
-    rows = own.select("contig", "read_id", "direction", "qbase", "_clip", "_pairs", F.explode(F.filter("_bases", lambda x: x["v"] >= threshold)).alias("x"))
-    rows = rows.select("contig", F.try_element_at("_pairs", F.col("x.q")).alias("refpos"), (F.col("x.q") + F.col("_clip")).alias("qpos"), "qbase", "read_id", F.col("x.v").alias("likelihood"), "direction").where("refpos IS NOT NULL")
-    rows = rows.join(reference.select("contig", F.col("seq").alias("_ref")), "contig")
-    rows = rows.select("contig", "refpos", "qpos", F.upper(F.substring("_ref", F.col("refpos") + 1, F.lit(1))).alias("refbase"), "qbase", "read_id", "likelihood", "direction", window_of("_ref", F.col("refpos"), reach, reach + 1).alias("refseq"))
+    # pairs with a query place stand in its order, so the place is the index
+    pairs = F.filter(aligned_pairs("pos", "cigar"), lambda p: p["qpos"].isNotNull())
+    bases = let(pairs, lambda at: F.zip_with(places, values, lambda q, v: F.struct(q.alias("q"), v.alias("likelihood"), F.get(at, q)["refpos"].alias("refpos"))))
+    own = own.select("contig", "read_id", F.when(F.col("is_reverse"), "-").otherwise("+").alias("direction"), F.col("_base").alias("qbase"), hard_clips("cigar")["leading"].alias("_clip"), F.filter(bases, lambda x: (x["likelihood"] >= threshold) & x["refpos"].isNotNull()).alias("_bases"))
+    rows = own.select("contig", "read_id", "direction", "qbase", "_clip", F.explode("_bases").alias("x"))
+    rows = rows.select("contig", "x.refpos", (F.col("x.q") + F.col("_clip")).alias("qpos"), "qbase", "read_id", "x.likelihood", "direction")
+    rows = ref_window(rows, reference, reach, reach + 1, base="refbase").select("contig", "refpos", "qpos", "refbase", "qbase", "read_id", "likelihood", "direction", "refseq")
     if motif is not None:
         rows = filter_motif(rows, "refseq", motif, anchor, reach)
     return rows.withColumn("motif", F.lit(motif).cast("string"))

@@ -106,7 +106,7 @@ def compare_models(reads):
 
 
 def _encoded(reads: DataFrame) -> DataFrame:
-    return quality(reads.where("seq <> ''")).select("read_id", T.mm_from_seq("seq", "quality").alias("x")).select("read_id", "x.*")
+    return S.evaluated(quality(reads.where("seq <> ''")), "x", T.mm_from_seq("seq", "quality")).select("read_id", "x.*")
 
 
 @query("mm_encode", "fx_reads", sql=f"""WITH {_DUCK_A}, m AS (SELECT read_id, i - coalesce(lag(i) OVER (PARTITION BY read_id ORDER BY i), -1) - 1 AS gap, i, v FROM a WHERE c = 'M')
@@ -202,9 +202,9 @@ def identity_weighted(reads):
 def _pileup_reads(reads: DataFrame) -> DataFrame:
     """Gapless alignments of reads to themselves, with tags; every third read is reverse: its tag speaks of T in the shown strand."""
     own = quality(reads.where("seq <> ''"))
-    tag = T.mm_from_seq(F.when(F.col("read_id") % 3 == 0, S.reverse_complement(F.translate("seq", "M", "A"))).otherwise(F.col("seq")), "quality")
-    own = own.select("read_id", F.col("read_id").alias("contig"), F.when(F.col("read_id") % 3 == 0, 16).otherwise(0).alias("flag"), F.lit(0).alias("pos"), F.concat(F.length("seq"), F.lit("M")).alias("cigar"), F.translate("seq", "M", "A").alias("seq"), tag.alias("t"))
-    return own.select("read_id", "contig", "flag", "pos", "cigar", "seq", T.mm_text("t.gaps").alias("mm"), F.col("t.likelihoods").alias("ml"))
+    own = S.evaluated(own, "t", T.mm_from_seq(F.when(F.col("read_id") % 3 == 0, S.reverse_complement(F.translate("seq", "M", "A"))).otherwise(F.col("seq")), "quality"))
+    own = own.select("read_id", F.col("read_id").alias("contig"), F.when(F.col("read_id") % 3 == 0, 16).otherwise(0).alias("flag"), F.lit(0).alias("pos"), F.concat(F.length("seq"), F.lit("M")).alias("cigar"), F.translate("seq", "M", "A").alias("plain"), "t.gaps", "t.likelihoods")
+    return own.select("read_id", "contig", "flag", "pos", "cigar", F.col("plain").alias("seq"), T.mm_text("gaps").alias("mm"), F.col("likelihoods").alias("ml"))
 
 
 _DUCK_PILE = f"""{_DUCK_BASES}, p AS (SELECT read_id, CAST(k - 1 AS INTEGER) AS refpos, seq, CASE WHEN c = 'M' AND read_id % 3 <> 0 THEN CAST(floor(256 * pow(10.0::DOUBLE, -({_Q}) / 10.0::DOUBLE)) AS INTEGER) ELSE 0 END AS likelihood FROM b
