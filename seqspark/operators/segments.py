@@ -111,7 +111,8 @@ def balance_by_reference(records: DataFrame, reference: DataFrame, size: int, k:
     bins = bins.withColumn("bin_start", F.coalesce(F.lag("bin_end").over(Window.partitionBy(ref).orderBy("bin")), F.lit(0)))
     # a record's bins follow from its places; the last bin may be longer
     last = bins.groupBy(ref).agg(F.max("bin").alias("last_bin"))
-    own = records.join(last, ref).withColumn("bin", F.explode(F.sequence(F.least(F.floor(F.col(start) / size), F.col("last_bin")), F.greatest(F.least(F.floor((F.col(end) - 1) / size), F.col("last_bin")), F.least(F.floor(F.col(start) / size), F.col("last_bin"))))).cast("int"))
+    lo, hi = (F.least(F.floor(c / size), F.col("last_bin").cast("long")) for c in (F.col(start), F.col(end) - 1))
+    own = records.join(last, ref).withColumn("bin", F.explode(F.sequence(lo, F.greatest(lo, hi)))).withColumn("bin", F.col("bin").cast("int"))
     counts = bins.select(ref, "bin").join(own.groupBy(ref, "bin").agg(F.count("*").alias("n")), [ref, "bin"], "left").na.fill(0, ["n"])
     cap = counts.agg((F.avg("n") + k * F.greatest(F.stddev_pop("n"), F.lit(1.0))).alias("cap"))
     ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy(ref, "bin").orderBy(key)))

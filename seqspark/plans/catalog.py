@@ -61,6 +61,8 @@ def duck(sql: str) -> str:
     sql = sql.strip()
     if not views:
         return sql
+    if sql.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {views}, {sql[15:]}"
     return f"WITH {views}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {views} {sql}"
 
 
