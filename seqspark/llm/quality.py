@@ -90,11 +90,11 @@ def _base(data: np.ndarray, offsets: np.ndarray, powers: B.Powers, parts: tuple)
     symbols = _segment_sum(_SYMBOL[data], offsets)
     # lines: between texts' borders and newlines
     breaks = np.flatnonzero(data == 10)
-    line_start = np.sort(np.concatenate([offsets[:-1], breaks + 1]))
-    line_text = np.searchsorted(offsets[:-1], line_start, side="right") - 1
-    # two equal starts: an empty text's border, or a newline that ends a text; the end below settles both
-    order = np.argsort(np.concatenate([offsets[:-1], breaks + 1]), kind="stable")
-    line_text = np.concatenate([np.arange(texts), np.searchsorted(offsets[:-1], breaks, side="right") - 1])[order]
+    line_start = np.concatenate([offsets[:-1], breaks + 1])
+    line_text = np.concatenate([np.arange(texts), np.searchsorted(offsets, breaks, side="right") - 1])
+    # a newline that ends a text opens its last line at the next text's start: texts decide first
+    order = np.lexsort((line_start, line_text))
+    line_start, line_text = line_start[order], line_text[order]
     line_end = np.empty_like(line_start)
     line_end[:-1] = line_start[1:] - 1
     line_end[-1:] = offsets[-1]
