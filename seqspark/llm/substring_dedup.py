@@ -66,7 +66,13 @@ def _seeds(window: int, seed: int):
                 _, _, first, sums = _word_sums(data, offsets, powers)
                 at, _, _, key = word_anchors(sums, first, powers, window, seed)
                 row = np.searchsorted(first, at, side="right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(pa.array(row + lo)), pa.array((at - first[row]).astype(np.int32))], names=["key", "rk", "at"])
+                # one row for each seed of a text, however often the text repeats it
+                order = np.lexsort((at, key, row))
+                row, key, at = row[order], key[order], at[order]
+                begin = np.flatnonzero(np.concatenate([np.ones(min(len(row), 1), bool), (row[1:] != row[:-1]) | (key[1:] != key[:-1])]))
+                bounds = pa.array(np.concatenate([begin, [len(row)]]).astype(np.int32))
+                places = pa.ListArray.from_arrays(bounds, pa.array((at - first[row]).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(key[begin]), batch.column(0).take(pa.array(row[begin] + lo)), places], names=["key", "rk", "at"])
 
     return run
 
@@ -186,10 +192,11 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, group:
     # both joins below ask for the same rows of the same columns, so Spark deals the texts out once
     texts = docs.repartition("rk")
 
-    anchors = docs.select("rk", "text").mapInArrow(_seeds(window, seed), "key long, rk long, at int")
+    anchors = docs.select("rk", "text").mapInArrow(_seeds(window, seed), "key long, rk long, at array<int>")
     by_seed = Window.partitionBy("key")
-    shared = anchors.select("*", F.count("*").over(by_seed).alias("n"), F.min("rk").over(by_seed).alias("a"), F.max("rk").over(by_seed).alias("b")).where("a <> b")
-    asked = shared.groupBy("rk").agg(F.collect_set(F.struct("at", "n")).alias("items"))
+    shared = anchors.select("*", F.sum(F.size("at")).over(by_seed).alias("n"), F.min("rk").over(by_seed).alias("a"), F.max("rk").over(by_seed).alias("b")).where("a <> b")
+    items = F.flatten(F.transform(F.collect_set(F.struct("at", "n")), lambda x: F.transform(x["at"], lambda a: F.struct(a.alias("at"), x["n"].alias("n")))))
+    asked = shared.groupBy("rk").agg(items.alias("items"))
     kept = texts.join(asked, "rk").select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("did"), "rk", "th", "text", "items")
     extended = kept.mapInArrow(_extend(window, seed), "key long, did long, rk long, th long, n long, first int, windows binary")
 
