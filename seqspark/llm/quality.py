@@ -167,7 +167,7 @@ def _bucket_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             )
 
 
-def train_quality_model(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, epochs: int = 40, rate: float = 20.0) -> QualityModel | None:
+def train_quality_model(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, epochs: int = 60, rate: float = 20.0) -> QualityModel | None:
     """Fit on at most ``sample_rows`` labelled rows: those with the smallest hash of doc_id.
 
     Every fifth row of the sample is held out and calibrates the logit (Platt's scaling).
@@ -181,8 +181,9 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, sample_rows: int = S
         return None
     lengths = np.diff(rows.column("buckets").combine_chunks().offsets.to_numpy())
     bucket = rows.column("buckets").combine_chunks().flatten().to_numpy()
-    share = rows.column("shares").combine_chunks().flatten().to_numpy().astype(float)
-    row = np.repeat(np.arange(len(label)), lengths)
+    share = rows.column("shares").combine_chunks().flatten().to_numpy()
+    row = np.repeat(np.arange(len(label), dtype=np.int32), lengths)
+    del rows
     order = np.argsort(np.array([hash((float(y), int(n))) for y, n in zip(label, lengths, strict=True)]), kind="stable")
     rank = np.empty(len(label), dtype=int)
     rank[order] = np.arange(len(label))
@@ -191,13 +192,13 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, sample_rows: int = S
         held = np.zeros(len(label), dtype=bool)
     weight = np.where(label == 1, 0.5 / max(1, (label[~held] == 1).sum()), 0.5 / max(1, (label[~held] == 0).sum()))
     weight[held] = 0
-    w, bias, grad2 = np.zeros(BUCKETS), 0.0, np.full(BUCKETS, 1e-8)
+    w, bias, grad2 = np.zeros(BUCKETS, np.float32), 0.0, np.full(BUCKETS, 1e-8)
     for _ in range(epochs):
         logit = np.bincount(row, w[bucket] * share, minlength=len(label)) + bias
         error = weight * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - label)
         gradient = np.bincount(bucket, error[row] * share, minlength=BUCKETS)
         grad2 += gradient**2
-        w -= rate * 0.05 * gradient / np.sqrt(grad2)
+        w -= (rate * 0.05 * gradient / np.sqrt(grad2)).astype(np.float32)
         bias -= 0.5 * error.sum()
     raw = np.bincount(row, w[bucket] * share, minlength=len(label))
     use = held if held.any() else ~held
