@@ -114,7 +114,8 @@ def balance_by_reference(records: DataFrame, reference: DataFrame, size: int, k:
     lo, hi = (F.least(F.floor(c / size), F.col("last_bin").cast("long")) for c in (F.col(start), F.col(end) - 1))
     own = records.join(last, ref).withColumn("bin", F.explode(F.sequence(lo, F.greatest(lo, hi)))).withColumn("bin", F.col("bin").cast("int"))
     counts = bins.select(ref, "bin").join(own.groupBy(ref, "bin").agg(F.count("*").alias("n")), [ref, "bin"], "left").na.fill(0, ["n"])
-    cap = counts.agg((F.avg("n") + k * F.greatest(F.stddev_pop("n"), F.lit(1.0))).alias("cap"))
+    # rounded, so that the order of summation does not decide at a whole number
+    cap = counts.agg(F.round(F.avg("n") + k * F.greatest(F.stddev_pop("n"), F.lit(1.0)), 9).alias("cap"))
     ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy(ref, "bin").orderBy(key)))
     kept = ranked.withColumn("ok", F.col("rank") <= cap.scalar()).groupBy(key).agg(F.bool_and("ok").alias("ok")).where("ok").select(key)
     return records.join(kept, key, "left_semi")
