@@ -149,7 +149,7 @@ def partition_bounds(reads):
 t AS (SELECT a.contig, a.read_id, unnest(range(least(a.r_start // 500, 3), greatest(least((a.r_end - 1) // 500, 3), least(a.r_start // 500, 3)) + 1)) AS bin FROM fx_aln a),
 n AS (SELECT b.contig, b.bin, count(t.read_id) AS n FROM b LEFT JOIN t ON t.contig = b.contig AND t.bin = b.bin GROUP BY b.contig, b.bin),
 c AS (SELECT round(avg(n) + 0.5 * greatest(stddev_pop(n), 1), 9) AS cap FROM n), k AS (SELECT t.read_id, row_number() OVER (PARTITION BY contig, bin ORDER BY read_id) <= cap AS ok FROM t, c)
-SELECT read_id FROM k GROUP BY read_id HAVING bool_and(ok)""")
+SELECT read_id FROM fx_aln WHERE read_id IN (SELECT read_id FROM k GROUP BY read_id HAVING bool_and(ok))""")
 def balance(aln):
     reference = aln.select("contig").distinct().withColumn("length", F.lit(_LENGTH).cast("long"))
     return G.balance_by_reference(aln, reference, 500, 0.5).select("read_id")
