@@ -32,14 +32,14 @@ def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", perc
 
 
 def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", percent: int = RATIO_PERCENT, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``pages`` with their boilerplate lines removed, and two columns more: n_lines and n_dropped."""
-    found = boilerplate(pages, host, text, percent, min_pages).select(F.col("host").alias("_host"), F.col("lines").alias("_lines")).persist()
-    if found.agg(F.coalesce(F.sum(F.size("_lines")), F.lit(0))).first()[0] <= BROADCAST_ROWS:
+    """``pages`` with their boilerplate lines removed, and two columns more: n_lines and n_dropped (columns of these names are replaced)."""
+    found = boilerplate(pages, host, text, percent, min_pages).select(F.col("host").alias("_seqspark_host"), F.col("lines").alias("_seqspark_lines")).persist()
+    if found.agg(F.coalesce(F.sum(F.size("_seqspark_lines")), F.lit(0))).first()[0] <= BROADCAST_ROWS:
         found = F.broadcast(found)
-    rows = pages.join(found, pages[host].eqNullSafe(found["_host"]), "left")
+    rows = pages.join(found, pages[host].eqNullSafe(found["_seqspark_host"]), "left")
     lines = F.split(F.col(text), "\n", -1)
     # pages of hosts without boilerplate are not taken apart
-    kept = F.when(F.col("_lines").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("_lines", F.xxhash64(F.trim(x)))))
-    rows = rows.withColumn("_kept", kept).withColumn("n_lines", F.greatest(F.size(lines), F.lit(0)).cast("long"))
-    rows = rows.withColumn("n_dropped", F.when(F.col("_kept").isNull(), 0).otherwise(F.col("n_lines") - F.size("_kept")).cast("long"))
-    return rows.withColumn(text, F.when(F.col("n_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text))).drop("_host", "_lines", "_kept")
+    kept = F.when(F.col("_seqspark_lines").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("_seqspark_lines", F.xxhash64(F.trim(x)))))
+    rows = rows.withColumn("_seqspark_kept", kept).withColumn("n_lines", F.greatest(F.size(lines), F.lit(0)).cast("long"))
+    rows = rows.withColumn("n_dropped", F.when(F.col("_seqspark_kept").isNull(), 0).otherwise(F.col("n_lines") - F.size("_seqspark_kept")).cast("long"))
+    return rows.withColumn(text, F.when(F.col("n_dropped") > 0, F.array_join("_seqspark_kept", "\n")).otherwise(F.col(text))).drop("_seqspark_host", "_seqspark_lines", "_seqspark_kept")
