@@ -160,7 +160,7 @@ def batch_number(aln):
     return G.batch_number(aln.select("read_id"), "read_id").groupBy("batch").agg(F.count("*").alias("n"), F.min("read_id").alias("lo"), F.max("read_id").alias("hi"))
 
 
-@query("shuffle_split", "fx_aln")
+@query("shuffle_split", "fx_aln", sql="SELECT 'eval' AS split, least(count(*), 5000) AS n FROM fx_aln UNION ALL SELECT 'train', count(*) - 5000 FROM fx_aln HAVING count(*) > 5000")
 def shuffle_split(aln):
     return D.shuffle_split(aln.select("read_id"), 5000, "read_id").groupBy("split").agg(F.count("*").alias("n"))
 
