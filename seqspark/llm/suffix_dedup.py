@@ -35,7 +35,7 @@ from seqspark.llm.components import stored
 
 LENGTH = 400
 SEED = 50
-GROUP = 512
+GROUP = 4096
 #: Words of 8 bytes that the quicksort looks at before the tries take over.
 SHALLOW_WORDS = 4
 CHUNK_BYTES = 4 << 20
