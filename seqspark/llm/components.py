@@ -43,3 +43,12 @@ def connected_components(links: DataFrame) -> DataFrame:
         links = new
         if not changed:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(links.select(F.col("b"), F.col("b"))).distinct()
+
+
+def first_rows(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id names a component of ``grouped`` (doc_id, component_id); repeated rows, and those with a null id, once each."""
+    kept = grouped.where("doc_id = component_id").select("doc_id").distinct()
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    lone = docs.join(kept.join(again, "doc_id", "left_anti"), "doc_id", "left_semi")
+    several = docs.join(kept.join(again, "doc_id", "left_semi"), "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    return lone.unionByName(several.distinct())

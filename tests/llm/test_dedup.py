@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from seqspark.llm import line_dedup, simhash, substring_dedup, suffix_dedup
+from seqspark.llm import line_dedup, near_copies, simhash, substring_dedup, suffix_dedup
 
 WORD = r"[^\x20\x09-\x0D]+"
 SCHEMA = "doc_id long, text string"
@@ -193,6 +193,60 @@ def test_keep_one_keeps_the_first_of_each_group(spark):
     assert sorted(_key(r.doc_id) for r in simhash.keep_one(docs).collect()) == [1, 2, 1 << 62]
 
 
+def test_keep_one_keeps_repeated_rows_once(spark):
+    rows = [(1, "a b c d"), (1, "a b c d"), (1, "A b c d"), (None, "x"), (None, "x"), (None, "y"), (2, "a b c d")]
+    for operator in (simhash, near_copies):
+        got = Counter((_key(r.doc_id), r.text) for r in operator.keep_one(spark.createDataFrame(rows, SCHEMA)).collect())
+        assert got == Counter({(1, "a b c d"): 1, (1, "A b c d"): 1, (1 << 62, "x"): 1, (1 << 62, "y"): 1})
+
+
+def _shingles(text, n=5):
+    w = (text or "").lower().split()
+    return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
+
+
+@pytest.mark.parametrize("part", [512, 3])
+def test_near_copies_match_brute_force(spark, part):
+    rng = random.Random(21)
+    rows = [(None, None), (9, ""), (8, " \n"), (7, "One two"), (None, "one TWO"), (6, "x"), (6, "x")]
+    for g in range(12):
+        base = [f"w{rng.randrange(3000)}" for _ in range(120)]
+        for i in range(8):  # similarities from 0.6 to 1, most of them over three SimHash bits apart
+            w = list(base)
+            for _ in range(rng.randrange(5)):
+                w[rng.randrange(len(w))] = f"v{rng.randrange(3000)}"
+            rows.append((100 + 10 * g + i, " ".join(w)))
+    sets = [_shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= 0.8 * len(a | b):
+                parent[root(i)] = root(j)
+    least = defaultdict(lambda: 1 << 62)
+    for i, (d, _) in enumerate(rows):
+        least[root(i)] = min(least[root(i)], _key(d))
+    got = near_copies.groups(spark.createDataFrame(rows, SCHEMA), part_classes=part).collect()
+    assert sorted((_key(r.doc_id), _key(r.component_id)) for r in got) == sorted((_key(d), least[root(i)]) for i, (d, _) in enumerate(rows))
+    assert near_copies.groups(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_pipeline_drops_copies_of_similarity_over_080(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    other = list(base)
+    other[30], other[90] = "changed", "words"
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(other)), (3, " ".join(base[:75] + other[75:][::-1]))], SCHEMA)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3]
+
+
 def test_line_dedup(spark):
     rows = [(i, f"menu \nbody {i}\n\nfoot", "a") for i in range(20)] + [(50, "menu\nfoot", "a"), (51, None, "a"), (52, "", None), (60, "menu\nx", "b")]
     rows += [(100 + i, "copied page\nwith lines", "c") for i in range(20)]  # copies are one page
