@@ -3,17 +3,23 @@
 A text's numbers, names (capitalised words inside a sentence) and units after numbers become typed
 placeholders; case and punctuation go.  Windows of ``WINDOW`` template words are hashed and joined
 with the benchmark's, so that a question with other numbers or names still meets its original.
-A window counts only if most of its words are literal.  Then slots are checked: along one alignment
-of a document and an item, each value of the item must stand for one value of the document, and
-different values for different ones.  An item is found in a document when its consistent windows
-join to a run of ``RUN`` words, or make up half of the item's windows.
-
-Defined results: null and empty texts hold nothing; items of fewer words than a window are not
-searched for; rows with equal id and text count once; repeated items count each by its id.
+A template window counts only if most of its words are literal.  Windows are joined in three forms:
+with names inside sentences as placeholders, with every capitalised word as one (a name may begin a
+sentence), and as plain words, which finds literal copies of windows with any number of slots and in
+any case.  Then slots are checked: along one alignment of a document and an item, each value of the
+item must stand for one value of the document, and different values for different ones.  Windows that
+hold a slot which breaks this do not count; where only numbers break it, windows that hold the item's
+own values count all the same.  An item is found in a document when its consistent windows join to a
+run of ``RUN`` words, or make up half of the item's windows.
+
+Defined results: null and empty texts hold nothing; an item of fewer words than a window is one plain
+window of all its words; rows with equal id and text count once; repeated items count each by its id.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from seqspark.llm.components import stored
@@ -31,13 +37,21 @@ UNITS = "km|cm|mm|m|kg|mg|g|lb|lbs|oz|ml|l|mi|miles|hours|hour|minutes|minute|se
 _DROPPED = '.,;:!?"()*#&|\\t\\n\\r'
 
 
-def _template(text: str) -> str:
-    """SQL of the template words of a text column."""
+def _template(text: str, initial: bool = False) -> str:
+    """SQL of the template words of a text column; with ``initial``, any capitalised word is a name."""
     units = UNITS.replace("$", "\\\\$")
     numbered = f"regexp_replace({text}, '[0-9]++(?:[.,:/][0-9]++)*+', '⟨num⟩')"
-    named = f"regexp_replace({numbered}, '(?<=[\\\\p{{Ll}},;:]\\\\x20)\\\\p{{Lu}}[\\\\p{{L}}\\'’-]*+', '⟨name⟩')"
-    unit = f"regexp_replace({named}, '(?i)(⟨num⟩\\\\x20?)(?:{units})(?![\\\\p{{L}}\\\\p{{N}}])', '$1⟨unit⟩')"
-    return _plain(unit)
+    if initial:  # units first, for they may be capitals
+        return _plain(_named(_united(numbered, units), "(?<![\\\\p{L}\\\\p{N}])"))
+    return _plain(_united(_named(numbered, "(?<=[\\\\p{Ll},;:]\\\\x20)"), units))
+
+
+def _named(text: str, before: str) -> str:
+    return f"regexp_replace({text}, '{before}\\\\p{{Lu}}[\\\\p{{L}}\\'’-]*+', '⟨name⟩')"
+
+
+def _united(text: str, units: str) -> str:
+    return f"regexp_replace({text}, '(?i)(⟨num⟩\\\\x20?)(?:{units})(?![\\\\p{{L}}\\\\p{{N}}])', '$1⟨unit⟩')"
 
 
 def _plain(text: str) -> str:
@@ -46,39 +60,69 @@ def _plain(text: str) -> str:
     return f"split(trim(translate(lower({joined}), '{_DROPPED}', '{' ' * 16}')), ' +')"
 
 
-def _windows(words: str) -> str:
-    """SQL of (start, hash) of each template window with enough literal words; the words are evaluated once."""
-    parts = ", ".join(f"get(a, i + {j})" for j in range(WINDOW))
-    return f"transform(array({words}), a -> transform(sequence(0, greatest(size(a) - {WINDOW}, 0)), i -> IF(size(a) < {WINDOW}, CAST(NULL AS BIGINT), xxhash64({parts}))))[0]"
+#: The forms of a text's words: template, template with sentence-initial names, plain.
+FORMS = {"templ": _template("text"), "names": _template("text", True), "vals": _plain("text")}
+_PLAIN = 2
+
+
+def _windows(words: str, form: int, length: int = WINDOW) -> str:
+    """SQL of the hash of each window of ``length`` words; the words are evaluated and hashed once."""
+    each = f"transform(sequence(0, size(a) - {length}), i -> xxhash64(slice(a, i + 1, {length}), {form}))"
+    return f"transform(array(transform({words}, w -> xxhash64(w))), a -> IF(size(a) < {length}, CAST(array() AS ARRAY<BIGINT>), {each}))[0]"
 
 
 def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _marks(benchmark: DataFrame) -> DataFrame:
+    """One row for each indexed window of each item and form."""
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    items = items.selectExpr("item_id", *(f"{sql} AS {name}" for name, sql in FORMS.items())).where("vals <> array('')")
+    # a form whose words do not stand beside the plain ones has no slots that can be told
+    items = items.selectExpr("item_id", "vals", *(f"IF(size({t}) = size(vals), {t}, vals) AS {t}" for t in ("templ", "names")), f"least(size(vals), {WINDOW}) AS len")
+    rows = items.selectExpr("*", "explode(sequence(0, size(vals) - len)) AS q")
+    rows = rows.selectExpr("item_id", "q", "len", "size(vals) - len + 1 AS item_windows", *(f"slice({c}, q + 1, len) AS {c}" for c in FORMS))
+    forms = ", ".join(f"named_struct('form', {k}, 'item_templ', {t}, 'h', xxhash64(transform({w}, w -> xxhash64(w)), {k}))" for k, (t, w) in enumerate((("templ", "templ"), ("names", "names"), ("templ", "vals"))))
+    rows = rows.selectExpr("item_id", "q", "len", "item_windows", "vals AS item_vals", f"inline(array({forms}))")
+    # templates without slots are met in plain words, as are those with too many
+    slots = "size(filter(item_templ, w -> w LIKE '%⟨%'))"
+    return rows.where(f"form = {_PLAIN} OR len = {WINDOW} AND {slots} BETWEEN 1 AND {WINDOW - LITERALS}")
+
+
+def _consistent() -> str:
+    """SQL of the places of an alignment's windows ``ws`` (q, slots) that count."""
+    pairs = "array_distinct(flatten(transform(ws, w -> w.slots)))"
+    one_to_one = " AND ".join(f"size(ps) = size(array_distinct(transform(ps, x -> struct(x.kind, x.{c}))))" for c in ("was", "own"))
+    clash = f"IF({one_to_one}, filter(ps, x -> false), filter(ps, x -> exists(ps, y -> y.kind = x.kind AND (y.was = x.was) <> (y.own = x.own))))"
+    whole = "NOT exists(w.slots, s -> array_contains(bad, s))"
+    literal = "NOT exists(w.slots, s -> s.was <> s.own OR s.kind LIKE '%name%' AND array_contains(bad, s))"
+    return f"array_sort(array_distinct(transform(array({pairs}), ps -> transform(array({clash}), bad -> transform(filter(ws, w -> {whole} OR {literal}), w -> w.q))[0])[0]))"
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, share): the items found in each document, with their consistent windows and the share of the item's windows."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    items = items.selectExpr("item_id", f"{_template('text')} AS templ", f"{_plain('text')} AS vals").where(f"size(templ) >= {WINDOW} AND size(templ) = size(vals)")
-    slots = f"size(filter(slice(templ, q + 1, {WINDOW}), w -> w LIKE '%⟨%'))"
-    marks = items.selectExpr("item_id", "templ", "vals", f"posexplode({_windows('templ')}) AS (q, h)").where(f"{slots} <= {WINDOW - LITERALS}").selectExpr("item_id", "q", "h", f"size(templ) - {WINDOW - 1} AS item_windows", f"slice(templ, q + 1, {WINDOW}) AS item_templ", f"slice(vals, q + 1, {WINDOW}) AS item_vals")
-    marks = stored(marks, "marks")
-    hits = docs.selectExpr("doc_id", "xxhash64(text) AS th", f"posexplode({_windows(_template('text'))}) AS (p, h)").where("h IS NOT NULL")
-    hits = stored(hits.join(_sized(marks.select("h").distinct()), "h").dropDuplicates(["doc_id", "th", "p"]), "hits")
+    marks = stored(_marks(benchmark), "marks")
+    lengths = [(form, WINDOW) for form in range(len(FORMS))] + [(_PLAIN, r.len) for r in marks.where(f"len < {WINDOW}").select("len").distinct().collect()]
+    sought = _sized(marks.select("h").distinct())
+    words = list(FORMS.values())
+    found = [docs.selectExpr("doc_id", "xxhash64(text) AS th", f"posexplode({_windows(words[form], form, n)}) AS (p, h)").join(sought, "h") for form, n in lengths]
+    hits = stored(reduce(DataFrame.unionByName, found).dropDuplicates(["doc_id", "th", "p", "h"]), "hits")
     # the values at the slots, for documents with a hit alone
     own = _sized(hits.select(F.col("doc_id").alias("own_id"), F.col("th").alias("own_th")).distinct())
     held = docs.withColumn("th", F.xxhash64("text"))
     held = held.join(own, held["doc_id"].eqNullSafe(own["own_id"]) & (held["th"] == own["own_th"]), "left_semi").dropDuplicates(["doc_id", "th"])
-    held = held.selectExpr("doc_id AS d", "th AS t", f"{_plain('text')} AS vals", f"{_template('text')} AS templ")
-    both = hits.join(held, hits["doc_id"].eqNullSafe(held["d"]) & (hits["th"] == held["t"])).selectExpr("doc_id", "th", "p", "h", f"slice(vals, p + 1, {WINDOW}) AS vals", f"slice(templ, p + 1, {WINDOW}) AS templ")
-    both = both.join(_sized(marks), "h").where("templ = item_templ")
-    both = both.selectExpr("doc_id", "th", "item_id", "item_windows", "p - q AS diagonal", "q", f"filter(transform(sequence(0, {WINDOW - 1}), i -> named_struct('at', q + i, 'kind', templ[i], 'was', item_vals[i], 'is', vals[i])), s -> s.kind LIKE '%⟨%') AS slots")
-    # an alignment is consistent if its slots map values one to one
-    pairs = both.where("size(slots) > 0").select("doc_id", "th", "item_id", "diagonal", F.explode("slots").alias("s")).select("doc_id", "th", "item_id", "diagonal", "s.kind", "s.was", "s.is").distinct()
-    clash = pairs.groupBy("doc_id", "th", "item_id", "diagonal", "kind").agg(F.count("*").alias("n"), F.countDistinct("was").alias("w"), F.countDistinct("is").alias("i")).where("n > w OR n > i").selectExpr("doc_id AS cd", "th AS ct", "item_id AS ci", "diagonal AS cg")
-    good = both.join(clash, both["doc_id"].eqNullSafe(clash["cd"]) & (both["th"] == clash["ct"]) & (both["item_id"].eqNullSafe(clash["ci"])) & (both["diagonal"] == clash["cg"]), "left_anti")
-    runs = good.groupBy("doc_id", "th", "item_id", "item_windows", "diagonal").agg(F.array_sort(F.collect_set("q")).alias("qs"))
+    held = held.selectExpr("doc_id AS d", "th AS t", *(f"{sql} AS {name}" for name, sql in FORMS.items()))
+    met = hits.join(_sized(marks), "h")
+    both = met.join(held, met["doc_id"].eqNullSafe(held["d"]) & (met["th"] == held["t"]))
+    both = both.withColumn("templ", F.expr("slice(CASE form WHEN 0 THEN templ WHEN 1 THEN names ELSE vals END, p + 1, len)")).withColumn("vals", F.expr("slice(vals, p + 1, len)"))
+    both = both.where(f"IF(form = {_PLAIN}, vals = item_vals, templ = item_templ)")
+    # the forms' slots are checked apart, for their names differ
+    slots = "filter(transform(sequence(0, len - 1), i -> named_struct('kind', IF(form = 1, concat('any', item_templ[i]), item_templ[i]), 'was', item_vals[i], 'own', vals[i])), s -> s.kind LIKE '%⟨%')"
+    both = both.selectExpr("doc_id", "th", "item_id", "item_windows", "p - q AS diagonal", "q", f"{slots} AS slots")
+    runs = both.groupBy("doc_id", "th", "item_id", "item_windows", "diagonal").agg(F.collect_list(F.struct("q", "slots")).alias("ws"))
+    runs = runs.selectExpr("doc_id", "item_id", "item_windows", f"{_consistent()} AS qs").where("size(qs) > 0")
     longest = "aggregate(qs, named_struct('last', -2, 'run', 0, 'best', 0), (s, q) -> named_struct('last', q, 'run', IF(q = s.last + 1, s.run + 1, 1), 'best', greatest(s.best, IF(q = s.last + 1, s.run + 1, 1))), s -> s.best)"
     runs = runs.selectExpr("doc_id", "item_id", "item_windows", "qs", f"{longest} AS best")
     found = runs.groupBy("doc_id", "item_id", "item_windows").agg(F.max("best").alias("best"), F.size(F.array_distinct(F.flatten(F.collect_list("qs")))).alias("n"))

@@ -135,6 +135,30 @@ def test_decontamination_catches_new_parameters_and_checks_slots(spark):
     assert decontaminate.find_leaks(docs.limit(0), bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def _found(spark, texts, item):
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), SCHEMA), spark.createDataFrame([(7, item)], "item_id long, text string")
+    return {r.doc_id for r in decontaminate.find_leaks(docs, bench).collect()}
+
+
+def test_a_clash_drops_only_the_windows_that_hold_it(spark):
+    plain = "we all walk along the quiet river bank until the bridge comes into sight and then turn back "
+    item = plain + "with 2 apples and 2 pears in the bag"
+    # the equal old numbers get different new ones; the words before have no slot
+    assert _found(spark, [item.replace("2 apples", "3 apples").replace("2 pears", "5 pears"), "quite other words"], item) == {0}
+    # a literal window counts though its number clashes elsewhere
+    item = "there are 4 boxes on the long table near the old door of this house and they stay closed all day but 4 jars"
+    assert _found(spark, [item.replace("4 jars", "9 jars")], item) == {0}
+
+
+def test_dense_and_short_items_and_initial_names_are_found(spark):
+    dense = "What is 12 + 7 * 3 - 4 or 5 / 6?"
+    assert _found(spark, ["So. " + dense, dense.replace("12", "13").replace("7", "9")], dense) == {0}
+    assert _found(spark, ["It said: Name the largest moon. Then", "name the moon"], "Name the largest moon") == {0}
+    names = "Tom has 5 apples. Tom gives 2 to his sister. Tom eats one and sells the others at the market."
+    assert _found(spark, [names.replace("Tom", "Anna").replace("5", "8"), names.lower()], names) == {0, 1}
+    assert _found(spark, [ITEM.lower()], ITEM) == {0}
+
+
 def test_packing_holds_every_token_once(spark):
     rng = random.Random(4)
     rows = [(i, "w " * rng.randrange(0, 300)) for i in range(200)] + [(900, None), (901, ""), (None, "a b"), (902, "w " * 5000), (902, "w " * 5000)]
