@@ -3,11 +3,14 @@
 The classifier is a logistic regression over hashed word unigrams and bigrams and hashed
 character n-grams.  It is trained on a bounded sample of the labelled rows
 (``sample_rows``), calibrated on a held-out part of that sample, and applied to all rows
-in Arrow batches against a fixed threshold.
+in Arrow batches against a fixed threshold.  A second one rejects toxic texts: a sparse
+logistic regression over which words a text holds (a few words make a text toxic, however
+long it is), trained on the column ``toxic`` of the same sample and calibrated with both
+classes of equal weight.
 
 Defined results: a null text is the empty text (no words, base_failed); without labelled rows
-of both kinds there is no classifier and the base rules alone decide; repeated rows are scored
-each; columns of the input other than the id and the text pass through in ``keep_quality``.
+of both kinds there is no classifier and the base rules alone decide; of a labelled id that repeats in
+the documents, the smallest text is trained on; repeated rows are scored each; columns of the input other than the id and the text pass through in ``keep_quality``.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from seqspark.llm import bytesops as B
@@ -30,13 +34,34 @@ _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
 
+# bytes of words without case: ASCII punctuation parts words
+_BARE = np.arange(256, dtype=np.uint8)
+_BARE[[i for i in range(128) if not chr(i).isalnum()]] = 32
+_BARE[65:91] += 32
+
+
+@dataclass(frozen=True)
+class ToxicModel:
+    """Weights by word bucket, and slope and intercept of the calibrated logit."""
+
+    weights: np.ndarray
+    slope: float
+    intercept: float
+
+    def toxic(self, data: np.ndarray, offsets: np.ndarray, powers: B.Powers) -> np.ndarray:
+        owner, bucket = _held_words(data, offsets, powers)
+        raw = np.bincount(owner, self.weights[bucket], minlength=len(offsets) - 1)
+        return self.slope * raw + self.intercept >= 0
+
+
 @dataclass(frozen=True)
 class QualityModel:
-    """Weights by bucket, and slope and intercept of the calibrated logit."""
+    """Weights by bucket, slope and intercept of the calibrated logit, and what rejects toxic texts."""
 
     weights: np.ndarray
     slope: float
     intercept: float
+    toxic: ToxicModel | None = None
 
     def probability(self, raw: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.intercept, -30, 30)))
@@ -72,6 +97,15 @@ def _features(data: np.ndarray, offsets: np.ndarray, powers: B.Powers, parts: tu
             yield (mixed >> np.uint64(48)).astype(np.int32), np.searchsorted(kept, offsets)
 
 
+def _held_words(data: np.ndarray, offsets: np.ndarray, powers: B.Powers) -> tuple[np.ndarray, np.ndarray]:
+    """Text and bucket of each distinct word bucket of each text."""
+    data = _BARE[data]
+    start, end, first = B.words(data, offsets)
+    bucket = (B.span_hash(B.prefix(powers.table[data], powers), start, end, powers) >> np.uint64(48)).astype(np.int64)
+    held = np.unique(np.repeat(np.arange(len(offsets) - 1), np.diff(first)) * BUCKETS + bucket)
+    return held // BUCKETS, held % BUCKETS
+
+
 def _raw_scores(weights: np.ndarray, data, offsets, powers, parts) -> np.ndarray:
     """Mean weight of each kind of n-gram, added over the kinds."""
     out = np.zeros(len(offsets) - 1)
@@ -140,7 +174,10 @@ def _score_batches(model: QualityModel | None, threshold: float, text: str):
                 score = np.ones(hi - lo) if model is None else model.probability(_raw_scores(model.weights, data, offsets, powers, parts))
                 columns = [batch.column(i).slice(lo, hi - lo) for i in rest]
                 columns += [pa.array(v.astype(np.int64)) for v in base.values()]
-                columns += [pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold))]
+                kept = ~failed & (score >= threshold)
+                if model is not None and model.toxic is not None:
+                    kept &= ~model.toxic.toxic(data, offsets, powers)
+                columns += [pa.array(failed), pa.array(score), pa.array(kept)]
                 yield pa.RecordBatch.from_arrays(columns, names=[batch.schema.names[i] for i in rest] + [*base, "base_failed", "quality_score", "kept"])
 
     return run
@@ -150,7 +187,7 @@ _SCORES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 
 
 def _bucket_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """label, and the text's buckets with their mean counts, one value list per text."""
+    """label and toxic, the text's buckets with their mean counts, one value list per text, and its word buckets."""
     powers = B.Powers()
     for batch in batches:
         for lo, hi, data, offsets in B.blocks(batch.column("text")):
@@ -161,24 +198,74 @@ def _bucket_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                     own, n = np.unique(bucket[bounds[i] : bounds[i + 1]], return_counts=True)
                     for b, v in zip(own.tolist(), (n / max(1, n.sum())).tolist(), strict=True):
                         row[b] = row.get(b, 0.0) + v
+            owner, held = _held_words(data, offsets, powers)
+            words = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(hi - lo + 1)), pa.int32()), pa.array(held, pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("label").slice(lo, hi - lo), pa.array([list(r) for r in rows], pa.list_(pa.int32())), pa.array([list(r.values()) for r in rows], pa.list_(pa.float32()))],
-                names=["label", "buckets", "shares"],
+                [*(batch.column(c).slice(lo, hi - lo) for c in ("label", "toxic")), pa.array([list(r) for r in rows], pa.list_(pa.int32())), pa.array([list(r.values()) for r in rows], pa.list_(pa.float32())), words],
+                names=["label", "toxic", "buckets", "shares", "words"],
             )
 
 
+def _train_toxic(rows: pa.Table, epochs: int = 200, sparse: float = 0.002) -> ToxicModel | None:
+    """Fit on the sample's words and ``toxic``; a fifth of each class is held out and calibrates.  Null without rows of both classes."""
+    rows = rows.filter(pc.is_valid(rows.column("toxic")))
+    y = (rows.column("toxic").to_numpy() > 0).astype(float)
+    if not len(y) or y.min() == y.max():
+        return None
+    words = rows.column("words").combine_chunks()
+    lengths, bucket = np.diff(words.offsets.to_numpy()), words.flatten().to_numpy()
+    row = np.repeat(np.arange(len(y)), lengths)
+    held = np.zeros(len(y), dtype=bool)
+    for kind in (0, 1):
+        own = np.flatnonzero(y == kind)
+        # by the words, so that the order of rows does not matter
+        key = B.mix(np.bincount(row, bucket, minlength=len(y))[own].astype(np.uint64) + np.uint64(kind))
+        if len(own) >= 10:
+            held[own[np.argsort(key, kind="stable")][::5]] = True
+    if not (held & (y == 1)).any() or not (held & (y == 0)).any():
+        held[:] = False
+    weight = np.where(y == 1, 0.5 / (y[~held] == 1).sum(), 0.5 / (y[~held] == 0).sum())
+    weight[held] = 0
+    w, bias, grad2 = np.zeros(BUCKETS), 0.0, np.full(BUCKETS, 1e-8)
+    for _ in range(epochs):
+        logit = np.bincount(row, w[bucket], minlength=len(y)) + bias
+        error = weight * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y)
+        gradient = np.bincount(bucket, error[row], minlength=BUCKETS)
+        grad2 += gradient**2
+        step = 0.1 / np.sqrt(grad2)
+        w -= step * gradient
+        w = np.sign(w) * np.maximum(np.abs(w) - step * sparse, 0)  # most words say nothing
+        bias -= 0.5 * error.sum()
+    raw = np.bincount(row, w[bucket], minlength=len(y))
+    use = held if held.any() else ~held
+    x, target = raw[use], y[use]
+    share = np.where(target == 1, 0.5 / (target == 1).sum(), 0.5 / (target == 0).sum())
+    centre, scale = x.mean(), x.std() or 1.0
+    z, a, b = (x - centre) / scale, 1.0, 0.0
+    for _ in range(500):
+        error = share * (1 / (1 + np.exp(-np.clip(a * z + b, -30, 30))) - target)
+        a -= 0.5 * (error * z).sum()
+        b -= 0.5 * error.sum()
+    return ToxicModel(w.astype(np.float32), a / scale, b - a * centre / scale)
+
+
 def train_quality_model(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, epochs: int = 60, rate: float = 20.0) -> QualityModel | None:
     """Fit on at most ``sample_rows`` labelled rows: those with the smallest hash of doc_id.
 
     Every fifth row of the sample is held out and calibrates the logit (Platt's scaling).
     Null without rows of both classes.
     """
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
+    toxic = F.col("toxic").cast("int") if "toxic" in labels.columns else F.lit(None).cast("int")
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("label"), toxic.alias("toxic")).where("doc_id IS NOT NULL AND (label IS NOT NULL OR toxic IS NOT NULL)")
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"), F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "label", "text").mapInArrow(_bucket_batches, "label int, buckets array<int>, shares array<float>").toArrow()
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").groupBy("doc_id", "label", "toxic").agg(F.min("text").alias("text"))
+    rows = rows.mapInArrow(_bucket_batches, "label int, toxic int, buckets array<int>, shares array<float>, words array<int>").toArrow()
+    rejects = _train_toxic(rows)
+    rows = rows.filter(pc.is_valid(rows.column("label")))
     label = rows.column("label").to_numpy().astype(float)
     if not len(label) or label.min() == label.max():
-        return None
+        return None if rejects is None else QualityModel(np.zeros(BUCKETS, np.float32), 0.0, 30.0, rejects)
     lengths = np.diff(rows.column("buckets").combine_chunks().offsets.to_numpy())
     bucket = rows.column("buckets").combine_chunks().flatten().to_numpy()
     share = rows.column("shares").combine_chunks().flatten().to_numpy()
@@ -210,7 +297,7 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, sample_rows: int = S
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
         a -= 0.5 * ((p - target) * z).mean()
         b -= 0.5 * (p - target).mean()
-    return QualityModel(w.astype(np.float32), a / scale, b - a * centre / scale)
+    return QualityModel(w.astype(np.float32), a / scale, b - a * centre / scale, rejects)
 
 
 def score_quality(docs: DataFrame, model: QualityModel | None, threshold: float = THRESHOLD) -> DataFrame:

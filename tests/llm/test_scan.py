@@ -211,6 +211,24 @@ def test_quality_model_on_held_out_rows(spark):
     assert quality.keep_quality(docs.limit(0), model).columns == ["doc_id", "text"]
 
 
+def test_quality_rejects_held_out_toxic_rows(spark):
+    rng = random.Random(10)
+    words, insults = [f"word{i}" for i in range(3000)], "Idiot moron, worthless clown".split()
+    rows = []
+    for i in range(700):
+        text = [rng.choice(words) for _ in range(150)]
+        if i % 5 == 0:
+            for _ in range(3):
+                text[rng.randrange(150)] = rng.choice(insults)
+        rows.append((i, " ".join(text), i % 5 == 0))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, int(y)) for i, _, y in rows if i < 500], "doc_id long, quality int, toxic int")
+    model = quality.train_quality_model(docs, labels)
+    kept = {r.doc_id: r.kept for r in quality.score_quality(docs, model).collect()}
+    assert sum(not kept[i] for i, _, y in rows if i >= 500 and y) >= 34  # of 40
+    assert sum(kept[i] for i, _, y in rows if i >= 500 and not y) >= 150  # of 160
+
+
 def test_pipeline_stages_keep_columns(spark, tmp_path):
     import corpus_pipeline
 
