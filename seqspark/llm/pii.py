@@ -104,28 +104,34 @@ def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS):
 
 def find(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, the base matches (s, e, v) by kind, and ``other``: the further spans the trees select."""
+    return _find(docs, threshold).drop("th")
+
+
+def _find(docs: DataFrame, threshold: float) -> DataFrame:
+    """The result of ``find`` with ``th``, the hash of the text."""
     found = stored(propose(docs), "pii")
     score = train(_candidate_rows(found))
     none = S.EMPTY
     if score is None:
-        return found.selectExpr("doc_id", *BASE, f"{none} AS other")
+        return found.selectExpr("doc_id", "th", *BASE, f"{none} AS other")
     chosen = score(_candidate_rows(found).where("label = 0")).where(F.col("probability") >= threshold)
     # of overlapping candidates the likeliest stays; the first in the text on ties
     chosen = chosen.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct((-F.col("probability")).alias("p"), "s", "e", "v"))).alias("all"))
     greedy = f"aggregate(all, {none}, (a, x) -> IF(exists(a, y -> y.s < x.e AND y.e > x.s), a, array_append(a, named_struct('s', x.s, 'e', x.e, 'v', x.v))))"
     chosen = chosen.selectExpr("doc_id AS chosen_id", "th AS chosen_th", f"{greedy} AS more")
     rows = found.join(chosen, found["doc_id"].eqNullSafe(chosen["chosen_id"]) & (found["th"] == chosen["chosen_th"]), "left")
-    return rows.selectExpr("doc_id", *BASE, f"coalesce(more, {none}) AS other")
+    return rows.selectExpr("doc_id", "th", *BASE, f"coalesce(more, {none}) AS other")
 
 
 def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id and the text with each base span replaced by its kind in angle brackets."""
-    text = "text"
-    for kind, (pattern, gate, keep) in BASE.items():
-        spans = S.matches("t", pattern, gate.replace("text", "t"), keep)
-        cut = f"aggregate({spans}, named_struct('at', 0, 'out', ''), (a, x) -> named_struct('at', x.e, 'out', concat(a.out, substring(t, a.at + 1, x.s - a.at), '<{kind}>')), a -> concat(a.out, substring(t, a.at + 1)))"
-        text = f"transform(array({text}), t -> {cut})[0]"
-    return docs.selectExpr("doc_id", f"{text} AS text")
+    """doc_id and the text with each span of ``find`` replaced by its kind in angle brackets; overlapping spans become one, of the kind that begins first."""
+    every = ", ".join(S.of_kind(kind, n) for n, kind in enumerate(KINDS))
+    spans = _find(docs, threshold).dropDuplicates(["doc_id", "th"]).selectExpr("doc_id AS d", "th", f"array_sort(concat({every})) AS spans")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = rows.join(spans, rows["doc_id"].eqNullSafe(spans["d"]) & (F.xxhash64(F.coalesce(rows["text"], F.lit(""))) == spans["th"]), "left")
+    names = ", ".join(f"'<{k}>'" for k in KINDS)
+    cut = f"aggregate(spans, named_struct('at', 0, 'out', ''), (a, x) -> named_struct('at', greatest(a.at, x.e), 'out', IF(x.s < a.at, a.out, concat(a.out, substring(text, a.at + 1, x.s - a.at), array({names})[x.k]))), a -> concat(a.out, substring(text, a.at + 1)))"
+    return rows.selectExpr("doc_id", f"{cut} AS text")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -89,6 +89,12 @@ def test_trees_add_candidates_and_keep_base_spans(spark):
     assert pii.find(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_redact_cuts_what_find_reports(spark):
+    rows = [(1, "call +4757965300669 or u@m.org now"), (1, "no data"), (None, "x@y.zz"), (2, None)]
+    got = {(_id(r.doc_id), r.text) for r in pii.redact(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(1, "call <phone> or <email> now"), (1, "no data"), (None, "<email>"), (2, None)}
+
+
 PAGES = [(5, "http://a é/", "x"), (2, None, "x"), (3, "u", None), (4, "u", ""), (None, "u", "x"), (2, "z", "x"), (9, "w", "<p>" + "y" * 600_000)]
 
 
