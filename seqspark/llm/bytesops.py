@@ -1,8 +1,11 @@
 """Vectorised helpers over the UTF-8 bytes of Arrow string columns.
 
-Texts of a batch are cut into blocks of a few MB, so that a task's arrays stay
+Texts of a batch are cut into blocks of half a MB, so that a task's arrays stay
 small however many or long its rows are.  A text over the block size is a block of
 its own; no text is shortened.
+
+Hashes mix after every step, so no two strings of a simple pattern (as those that a polynomial
+modulo a power of two confuses) fall together by construction.
 """
 
 from __future__ import annotations
@@ -12,16 +15,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
-BLOCK_BYTES = 2 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
+BLOCK_BYTES = 1 << 19
+#: Bytes of a range up to which its hash is folded in arrays.
+SHORT = 64
 _U = np.uint64
 
 
-def _byte_table() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = np.asarray(x, dtype=np.uint64)
@@ -30,33 +31,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-        self.table = _byte_table()
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes of each range [start, end).
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            inverse = pow(_BASE, -1, 1 << 64)
-            self.up, self.down = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, b, dtype=np.uint64))]) for b in (_BASE, inverse))
-        return self.up[:n], self.down[:n]
-
-
-def prefix(values: np.ndarray, powers: Powers) -> np.ndarray:
-    """Prefix sums of values[i] * base**i; ``span_hash`` reads the hash of any range off them."""
-    up, _ = powers.upto(len(values) + 1)
-    out = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * up[: len(values)], out=out[1:])
+    Up to ``SHORT`` bytes are folded 8 at a time, all ranges at once; longer ones go through XXH64 one by one.
+    """
+    length = end - start
+    out = mix(length.astype(np.uint64) + _U(1))
+    eights = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(9, np.uint8)]), 0, (1,)) if len(data) else np.zeros(1, np.uint64)
+    open_ = np.flatnonzero((length > 0) & (length <= SHORT))
+    at = 0
+    while len(open_):
+        left = np.minimum(length[open_] - at, 8)
+        value = eights[start[open_] + at] & (_U(0xFFFFFFFFFFFFFFFF) >> (_U(64) - _U(8) * left.astype(np.uint64)))
+        out[open_] = mix(out[open_] * _U(3) + value)
+        at += 8
+        open_ = open_[length[open_] > at]
+    raw = data.data
+    for i in np.flatnonzero(length > SHORT).tolist():
+        out[i] = xxhash.xxh64_intdigest(raw[start[i] : end[i]], 42)
     return out
 
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, powers: Powers) -> np.ndarray:
-    """64-bit hash of each range [start, end), the same wherever the range stands."""
-    _, down = powers.upto(len(sums))
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _U(0xA0761D6478BD642F))
+def sequence_hashes(items: np.ndarray, length: int) -> np.ndarray:
+    """64-bit hash of items[i : i + length] for each i that has so many: hashes of 1, 2, 4, .. items, each mixed from two halves, and two of them that cover the range."""
+    items, size = mix(np.asarray(items, dtype=np.uint64) + _U(0x9E3779B97F4A7C15)), 1
+    if len(items) < length:
+        return items[:0]
+    while 2 * size <= length:
+        items = mix(items[:-size] * _U(5) + items[size:])
+        size *= 2
+    rest = length - size
+    return mix(items[: len(items) - rest] * _U(7) + items[rest:] + _U(length))
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -88,8 +94,8 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, in
         row = stop
 
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +103,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
     A word never crosses a text's border.
     """
-    inside = ~_SPACE[data]
+    inside = ~SPACE[data]
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     opens = inside.copy()

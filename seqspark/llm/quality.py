@@ -10,7 +10,8 @@ classes of equal weight.
 
 Defined results: a null text is the empty text (no words, base_failed); without labelled rows
 of both kinds there is no classifier and the base rules alone decide; of a labelled id that repeats in
-the documents, the smallest text is trained on; repeated rows are scored each; columns of the input other than the id and the text pass through in ``keep_quality``.
+the documents, the smallest text is trained on; repeated rows are scored each; columns of the input other than the id and the text pass
+through in ``keep_quality``, whatever their names.  A very long text is a block of its own; its memory follows its words, not its characters.
 """
 
 from __future__ import annotations
@@ -21,13 +22,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from seqspark.llm import bytesops as B
 
 BUCKETS = 1 << 16
 CHAR_N = (3, 5)
 SAMPLE_ROWS = 2048
+SAMPLE_BYTES = 16 << 20
+#: Bytes of a text that one step of the character n-grams looks at.
+SLICE = 1 << 18
 THRESHOLD = 0.5
 WINDOW = 8
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -48,8 +52,8 @@ class ToxicModel:
     slope: float
     intercept: float
 
-    def toxic(self, data: np.ndarray, offsets: np.ndarray, powers: B.Powers) -> np.ndarray:
-        owner, bucket = _held_words(data, offsets, powers)
+    def toxic(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        owner, bucket = _held_words(data, offsets)
         raw = np.bincount(owner, self.weights[bucket], minlength=len(offsets) - 1)
         return self.slope * raw + self.intercept >= 0
 
@@ -67,61 +71,77 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.intercept, -30, 30)))
 
 
-def _segment_sum(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sum of values between consecutive bounds; empty segments give 0."""
-    total = np.concatenate([np.zeros(1, dtype=np.float64 if values.dtype.kind == "f" else np.int64), np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)])
-    return total[bounds[1:]] - total[bounds[:-1]]
-
-
-def _features(data: np.ndarray, offsets: np.ndarray, powers: B.Powers, parts: tuple) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each kind of n-gram: the bucket of each occurrence, and where each text's occurrences begin."""
-    sums, start, end, first = parts
-    lone = B.span_hash(sums, start, end, powers)
-    yield (lone >> np.uint64(48)).astype(np.int32), first
+def _features(data: np.ndarray, offsets: np.ndarray, words: tuple) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Number of the kind, and text and bucket of each occurrence, for each kind of n-gram; character n-grams in slices."""
+    lone, first = words[2], words[3]
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    yield 0, owner, (lone >> np.uint64(48)).astype(np.int32)
     if len(lone) > 1:
-        # a pair that crosses a border counts for the earlier text's neighbour only through its own words
-        pair = B.mix(lone[:-1] * np.uint64(3) + lone[1:])
-        owner = np.searchsorted(first, np.arange(len(pair)), side="right") - 1
-        inside = np.arange(1, len(lone)) < first[owner + 1]
-        kept = np.flatnonzero(inside)
-        yield (pair[kept] >> np.uint64(48)).astype(np.int32), np.searchsorted(kept, first)
-    for n in CHAR_N:
-        at = np.arange(max(0, len(data) - n + 1))
-        if len(at):
-            owner_end = np.repeat(offsets[1:], np.diff(offsets))[: len(at)]
-            kept = np.flatnonzero(at + n <= owner_end)
-            gram = np.zeros(len(at), dtype=np.uint64)
+        # no pair crosses a text's border
+        inside = np.flatnonzero(owner[1:] == owner[:-1])
+        yield 1, owner[inside], (B.sequence_hashes(lone, 2)[inside] >> np.uint64(48)).astype(np.int32)
+    for kind, n in enumerate(CHAR_N, 2):
+        for lo in range(0, len(data) - n + 1, SLICE):
+            part = data[lo : lo + SLICE + n - 1].astype(np.uint64)
+            gram = np.zeros(len(part) - n + 1, dtype=np.uint64)
             for j in range(n):
-                gram = (gram << np.uint64(8)) | data[j : j + len(at)].astype(np.uint64)
-            mixed = B.mix(gram + np.uint64(n << 56))[kept]
-            yield (mixed >> np.uint64(48)).astype(np.int32), np.searchsorted(kept, offsets)
+                gram = (gram << np.uint64(8)) | part[j : j + len(gram)]
+            at = np.arange(lo, lo + len(gram))
+            own = np.searchsorted(offsets, at, side="right") - 1
+            kept = np.flatnonzero(at + n <= offsets[own + 1])
+            yield kind, own[kept], (B.mix(gram[kept] + np.uint64(n << 56)) >> np.uint64(48)).astype(np.int32)
+
+
+_KINDS = 2 + len(CHAR_N)
 
 
-def _held_words(data: np.ndarray, offsets: np.ndarray, powers: B.Powers) -> tuple[np.ndarray, np.ndarray]:
+def _held_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Text and bucket of each distinct word bucket of each text."""
     data = _BARE[data]
     start, end, first = B.words(data, offsets)
-    bucket = (B.span_hash(B.prefix(powers.table[data], powers), start, end, powers) >> np.uint64(48)).astype(np.int64)
+    bucket = (B.span_hashes(data, start, end) >> np.uint64(48)).astype(np.int64)
     held = np.unique(np.repeat(np.arange(len(offsets) - 1), np.diff(first)) * BUCKETS + bucket)
     return held // BUCKETS, held % BUCKETS
 
 
-def _raw_scores(weights: np.ndarray, data, offsets, powers, parts) -> np.ndarray:
+def _raw_scores(weights: np.ndarray, data, offsets, words) -> np.ndarray:
     """Mean weight of each kind of n-gram, added over the kinds."""
-    out = np.zeros(len(offsets) - 1)
-    for bucket, bounds in _features(data, offsets, powers, parts):
-        count = np.diff(bounds)
-        out += _segment_sum(weights[bucket], bounds) / np.maximum(count, 1)
+    texts = len(offsets) - 1
+    total, count = np.zeros((_KINDS, texts)), np.zeros((_KINDS, texts))
+    for kind, owner, bucket in _features(data, offsets, words):
+        total[kind] += np.bincount(owner, weights[bucket], minlength=texts)
+        count[kind] += np.bincount(owner, minlength=texts)
+    return (total / np.maximum(count, 1)).sum(axis=0)
+
+
+def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sum of small values between consecutive bounds; empty segments give 0."""
+    out = np.zeros(len(bounds) - 1, dtype=np.int64)
+    filled = np.flatnonzero(np.diff(bounds))
+    if len(filled):
+        out[filled] = np.add.reduceat(values.view(np.int8) if values.dtype == bool else values, bounds[filled], dtype=np.int64)
     return out
 
 
-def _base(data: np.ndarray, offsets: np.ndarray, powers: B.Powers, parts: tuple) -> dict[str, np.ndarray]:
-    sums, start, end, first = parts
+def _twice(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which hashes another of the same text equals, and which are not the first such; owners ascend."""
+    order = np.lexsort((np.arange(len(hashes)), hashes, owner))
+    same = (hashes[order][1:] == hashes[order][:-1]) & (owner[order][1:] == owner[order][:-1])
+    twice, again = np.zeros(len(hashes), dtype=bool), np.zeros(len(hashes), dtype=bool)
+    again[order[1:][same]] = True
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    return twice, again
+
+
+def _base(data: np.ndarray, offsets: np.ndarray, words: tuple) -> dict[str, np.ndarray]:
+    start, end, lone, first = words
     texts = len(offsets) - 1
-    n_words = np.diff(first)
-    lead = np.concatenate([np.zeros(1, np.int64), np.cumsum((data & 0xC0) != 0x80)])
-    word_chars = _segment_sum(lead[end] - lead[start], first)
-    symbols = _segment_sum(_SYMBOL[data], offsets)
+    # code points: bytes that do not continue one
+    inside = (data & 0xC0) != 0x80
+    inside &= ~B.SPACE[data]
+    word_chars = _sums(inside, offsets)
+    symbols = _sums(_SYMBOL[data], offsets)
     # lines: between texts' borders and newlines
     breaks = np.flatnonzero(data == 10)
     line_start = np.concatenate([offsets[:-1], breaks + 1])
@@ -137,48 +157,59 @@ def _base(data: np.ndarray, offsets: np.ndarray, powers: B.Powers, parts: tuple)
     line_end[last] = offsets[line_text[last] + 1]
     filled = np.searchsorted(start, line_end) > np.searchsorted(start, line_start)
     line_start, line_end, line_text = line_start[filled], line_end[filled], line_text[filled]
-    line_hash = B.mix(B.span_hash(sums, line_start, line_end, powers) + line_text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    fresh = np.unique(line_hash, return_index=True)[1]
-    n_dup = np.bincount(line_text, minlength=texts) - np.bincount(line_text[fresh], minlength=texts)
+    again = _twice(line_text, B.span_hashes(data, line_start, line_end))[1]
+    n_dup = np.bincount(line_text[again], minlength=texts)
     # windows of words
     repeated = np.zeros(len(start), dtype=bool)
     if len(start) >= WINDOW:
-        word_sums = B.prefix(B.span_hash(sums, start, end, powers), powers)
-        at = np.arange(len(start) - WINDOW + 1)
-        owner = np.searchsorted(first, at, side="right") - 1
-        at = at[at + WINDOW <= first[owner + 1]]
+        h = B.sequence_hashes(lone, WINDOW)
+        at = np.arange(len(h))
         owner = np.searchsorted(first, at, side="right") - 1
-        h = B.mix(B.span_hash(word_sums, at, at + WINDOW, powers) + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        order = np.argsort(h)
-        same = h[order][1:] == h[order][:-1]
-        twice = np.zeros(len(h), dtype=bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
+        own = np.flatnonzero(at + WINDOW <= first[owner + 1])
+        at = own[_twice(owner[own], h[own])[0]]
         edge = np.zeros(len(start) + 1, dtype=np.int64)
-        np.add.at(edge, at[twice], 1)
-        np.add.at(edge, at[twice] + WINDOW, -1)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + WINDOW, -1)
         repeated = np.cumsum(edge)[:-1] > 0
-    return {"n_words": n_words, "word_chars": word_chars, "n_symbols": symbols, "n_dup_lines": n_dup, "n_repeat_words": _segment_sum(repeated, first)}
+    return {"n_words": np.diff(first), "word_chars": word_chars, "n_symbols": symbols, "n_dup_lines": n_dup, "n_repeat_words": _sums(repeated, first)}
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Starts, ends and hashes of the words, and the first word of each text."""
+    start, end, first = B.words(data, offsets)
+    return start, end, B.span_hashes(data, start, end), first
+
+
+def _judged(model: QualityModel | None, threshold: float, column: pa.Array) -> Iterator[tuple[int, int, dict[str, np.ndarray]]]:
+    """(first row, last row + 1, columns of ``_SCORES``) for each block of a column of texts."""
+    for lo, hi, data, offsets in B.blocks(column):
+        words = _words(data, offsets)
+        out = _base(data, offsets, words)
+        out["base_failed"] = (out["n_words"] < 20) | (100 * out["n_repeat_words"] > 30 * out["n_words"])
+        out["quality_score"] = np.ones(hi - lo) if model is None else model.probability(_raw_scores(model.weights, data, offsets, words))
+        out["kept"] = ~out["base_failed"] & (out["quality_score"] >= threshold)
+        if model is not None and model.toxic is not None:
+            out["kept"] &= ~model.toxic.toxic(data, offsets)
+        yield lo, hi, out
+
+
+def _score_batches(model: QualityModel | None, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, scores in _judged(model, threshold, batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(v) for v in scores.values())], names=["doc_id", *scores])
+
+    return run
+
 
+def _kept_batches(model: QualityModel | None, threshold: float, text: int):
+    """The rows that pass, unchanged: a text crosses to Python once, and only kept ones come back."""
 
-def _score_batches(model: QualityModel | None, threshold: float, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = B.Powers()
         for batch in batches:
-            rest = [i for i in range(batch.num_columns) if batch.schema.names[i] != text]
-            for lo, hi, data, offsets in B.blocks(batch.column(text)):
-                start, end, first = B.words(data, offsets)
-                parts = (B.prefix(powers.table[data], powers), start, end, first)
-                base = _base(data, offsets, powers, parts)
-                failed = (base["n_words"] < 20) | (100 * base["n_repeat_words"] > 30 * base["n_words"])
-                score = np.ones(hi - lo) if model is None else model.probability(_raw_scores(model.weights, data, offsets, powers, parts))
-                columns = [batch.column(i).slice(lo, hi - lo) for i in rest]
-                columns += [pa.array(v.astype(np.int64)) for v in base.values()]
-                kept = ~failed & (score >= threshold)
-                if model is not None and model.toxic is not None:
-                    kept &= ~model.toxic.toxic(data, offsets, powers)
-                columns += [pa.array(failed), pa.array(score), pa.array(kept)]
-                yield pa.RecordBatch.from_arrays(columns, names=[batch.schema.names[i] for i in rest] + [*base, "base_failed", "quality_score", "kept"])
+            kept = [scores["kept"] for _, _, scores in _judged(model, threshold, batch.column(text))]
+            if kept:
+                yield batch.filter(pa.array(np.concatenate(kept)))
 
     return run
 
@@ -187,25 +218,40 @@ _SCORES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 
 
 def _bucket_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """label and toxic, the text's buckets with their mean counts, one value list per text, and its word buckets."""
-    powers = B.Powers()
+    """h, label and toxic, the text's buckets with their mean counts, one value list per text, and its word buckets."""
     for batch in batches:
         for lo, hi, data, offsets in B.blocks(batch.column("text")):
-            start, end, first = B.words(data, offsets)
-            rows: list[dict[int, float]] = [{} for _ in range(hi - lo)]
-            for bucket, bounds in _features(data, offsets, powers, (B.prefix(powers.table[data], powers), start, end, first)):
-                for i, row in enumerate(rows):
-                    own, n = np.unique(bucket[bounds[i] : bounds[i + 1]], return_counts=True)
-                    for b, v in zip(own.tolist(), (n / max(1, n.sum())).tolist(), strict=True):
-                        row[b] = row.get(b, 0.0) + v
-            owner, held = _held_words(data, offsets, powers)
-            words = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(hi - lo + 1)), pa.int32()), pa.array(held, pa.int32()))
+            texts = hi - lo
+            key, share = [np.zeros(0, np.int64)], [np.zeros(0)]
+            found: list[list[np.ndarray]] = [[] for _ in range(_KINDS)]
+            for kind, owner, bucket in _features(data, offsets, _words(data, offsets)):
+                found[kind].append(owner * BUCKETS + bucket)
+            for parts in found:
+                own, n = np.unique(np.concatenate([*parts, np.zeros(0, np.int64)]), return_counts=True)
+                total = np.bincount(own // BUCKETS, n, minlength=texts)
+                key.append(own)
+                share.append(n / np.maximum(total, 1)[own // BUCKETS])
+            own, at = np.unique(np.concatenate(key), return_inverse=True)
+            value = np.bincount(at, np.concatenate(share), minlength=len(own))
+            bounds = pa.array(np.searchsorted(own // BUCKETS, np.arange(texts + 1)).astype(np.int32))
+            owner, held = _held_words(data, offsets)
+            words = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(texts + 1)).astype(np.int32)), pa.array(held.astype(np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).slice(lo, hi - lo) for c in ("label", "toxic")), pa.array([list(r) for r in rows], pa.list_(pa.int32())), pa.array([list(r.values()) for r in rows], pa.list_(pa.float32())), words],
-                names=["label", "toxic", "buckets", "shares", "words"],
+                [*(batch.column(c).slice(lo, texts) for c in ("h", "label", "toxic")), pa.ListArray.from_arrays(bounds, pa.array((own % BUCKETS).astype(np.int32))), pa.ListArray.from_arrays(bounds, pa.array(value.astype(np.float32))), words],
+                names=["h", "label", "toxic", "buckets", "shares", "words"],
             )
 
 
+def _held_out(h: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Every fifth row of each class in the order of ``h``, the hash of the id; none if a class would be left without rows on a side."""
+    held = np.zeros(len(y), dtype=bool)
+    for kind in (0, 1):
+        own = np.flatnonzero(y == kind)
+        if len(own) >= 10:
+            held[own[np.argsort(h[own], kind="stable")][::5]] = True
+    return held if (held & (y == 1)).any() and (held & (y == 0)).any() else np.zeros(len(y), dtype=bool)
+
+
 def _train_toxic(rows: pa.Table, epochs: int = 200, sparse: float = 0.002) -> ToxicModel | None:
     """Fit on the sample's words and ``toxic``; a fifth of each class is held out and calibrates.  Null without rows of both classes."""
     rows = rows.filter(pc.is_valid(rows.column("toxic")))
@@ -215,15 +261,7 @@ def _train_toxic(rows: pa.Table, epochs: int = 200, sparse: float = 0.002) -> To
     words = rows.column("words").combine_chunks()
     lengths, bucket = np.diff(words.offsets.to_numpy()), words.flatten().to_numpy()
     row = np.repeat(np.arange(len(y)), lengths)
-    held = np.zeros(len(y), dtype=bool)
-    for kind in (0, 1):
-        own = np.flatnonzero(y == kind)
-        # by the words, so that the order of rows does not matter
-        key = B.mix(np.bincount(row, bucket, minlength=len(y))[own].astype(np.uint64) + np.uint64(kind))
-        if len(own) >= 10:
-            held[own[np.argsort(key, kind="stable")][::5]] = True
-    if not (held & (y == 1)).any() or not (held & (y == 0)).any():
-        held[:] = False
+    held = _held_out(rows.column("h").to_numpy(), y)
     weight = np.where(y == 1, 0.5 / (y[~held] == 1).sum(), 0.5 / (y[~held] == 0).sum())
     weight[held] = 0
     w, bias, grad2 = np.zeros(BUCKETS), 0.0, np.full(BUCKETS, 1e-8)
@@ -249,45 +287,49 @@ def _train_toxic(rows: pa.Table, epochs: int = 200, sparse: float = 0.002) -> To
     return ToxicModel(w.astype(np.float32), a / scale, b - a * centre / scale)
 
 
-def train_quality_model(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, epochs: int = 60, rate: float = 20.0) -> QualityModel | None:
-    """Fit on at most ``sample_rows`` labelled rows: those with the smallest hash of doc_id.
+def train_quality_model(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, epochs: int = 60, rate: float = 20.0) -> QualityModel | None:
+    """Fit on at most ``sample_rows`` labelled rows, those with the smallest hash of doc_id, while their texts hold at most ``sample_bytes``.
 
-    Every fifth row of the sample is held out and calibrates the logit (Platt's scaling).
+    Every fifth row of a class is held out and calibrates the logit (Platt's scaling).
     Null without rows of both classes.
     """
     toxic = F.col("toxic").cast("int") if "toxic" in labels.columns else F.lit(None).cast("int")
     known = labels.select("doc_id", F.col("quality").cast("int").alias("label"), toxic.alias("toxic")).where("doc_id IS NOT NULL AND (label IS NOT NULL OR toxic IS NOT NULL)")
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"), F.max("toxic").alias("toxic"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").groupBy("doc_id", "label", "toxic").agg(F.min("text").alias("text"))
-    rows = rows.mapInArrow(_bucket_batches, "label int, toxic int, buckets array<int>, shares array<float>, words array<int>").toArrow()
+    known = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample_rows)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").groupBy("doc_id", "h", "label", "toxic").agg(F.min("text").alias("text"))
+    # at most ``sample_rows`` rows stand in this window
+    rows = rows.withColumn("bytes", F.sum(F.octet_length("text")).over(Window.orderBy("h", "doc_id"))).where(F.col("bytes") <= sample_bytes)
+    rows = rows.mapInArrow(_bucket_batches, "h long, label int, toxic int, buckets array<int>, shares array<float>, words array<int>").toArrow()
+    # the order of rows decides the order of sums
+    rows = rows.sort_by("h")
     rejects = _train_toxic(rows)
     rows = rows.filter(pc.is_valid(rows.column("label")))
     label = rows.column("label").to_numpy().astype(float)
     if not len(label) or label.min() == label.max():
         return None if rejects is None else QualityModel(np.zeros(BUCKETS, np.float32), 0.0, 30.0, rejects)
+    held = _held_out(rows.column("h").to_numpy(), label)
     lengths = np.diff(rows.column("buckets").combine_chunks().offsets.to_numpy())
     bucket = rows.column("buckets").combine_chunks().flatten().to_numpy()
     share = rows.column("shares").combine_chunks().flatten().to_numpy()
     row = np.repeat(np.arange(len(label), dtype=np.int32), lengths)
     del rows
-    order = np.argsort(np.array([hash((float(y), int(n))) for y, n in zip(label, lengths, strict=True)]), kind="stable")
-    rank = np.empty(len(label), dtype=int)
-    rank[order] = np.arange(len(label))
-    held = rank % 5 == 0
-    if held.all() or len(set(label[~held])) < 2 or len(set(label[held])) < 2:
-        held = np.zeros(len(label), dtype=bool)
+    steps = [slice(lo, lo + (1 << 19)) for lo in range(0, len(row), 1 << 19)]
+
+    def scores(w: np.ndarray) -> np.ndarray:
+        return sum((np.bincount(row[p], w[bucket[p]] * share[p], minlength=len(label)) for p in steps), np.zeros(len(label)))
+
     weight = np.where(label == 1, 0.5 / max(1, (label[~held] == 1).sum()), 0.5 / max(1, (label[~held] == 0).sum()))
     weight[held] = 0
     w, bias, grad2 = np.zeros(BUCKETS, np.float32), 0.0, np.full(BUCKETS, 1e-8)
     for _ in range(epochs):
-        logit = np.bincount(row, w[bucket] * share, minlength=len(label)) + bias
+        logit = scores(w) + bias
         error = weight * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - label)
-        gradient = np.bincount(bucket, error[row] * share, minlength=BUCKETS)
+        gradient = sum((np.bincount(bucket[p], error[row[p]] * share[p], minlength=BUCKETS) for p in steps), np.zeros(BUCKETS))
         grad2 += gradient**2
         w -= (rate * 0.05 * gradient / np.sqrt(grad2)).astype(np.float32)
         bias -= 0.5 * error.sum()
-    raw = np.bincount(row, w[bucket] * share, minlength=len(label))
+    raw = scores(w)
     use = held if held.any() else ~held
     x, y = raw[use], label[use]
     target = np.where(y == 1, ((y == 1).sum() + 1) / ((y == 1).sum() + 2), 1 / ((y == 0).sum() + 2))
@@ -301,13 +343,11 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, sample_rows: int = S
 
 
 def score_quality(docs: DataFrame, model: QualityModel | None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, the five base statistics, base_failed, quality_score and kept of every row of ``docs``."""
+    """doc_id, the five base statistics, base_failed, quality_score and kept of every row of ``docs``; other columns are ignored."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_score_batches(model, threshold, "text"), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {_SCORES}")
+    return rows.mapInArrow(_score_batches(model, threshold), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {_SCORES}")
 
 
 def keep_quality(docs: DataFrame, model: QualityModel | None, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns."""
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, {_SCORES}"
-    return rows.mapInArrow(_score_batches(model, threshold, "text"), schema).where("kept").select("row.*")
+    """The rows of ``docs`` that pass, with their own columns; ``text`` is a string."""
+    return docs.mapInArrow(_kept_batches(model, threshold, docs.columns.index("text")), docs.schema)

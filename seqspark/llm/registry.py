@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = suffix_dedup.drop_repeats(_table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes", "n_passages")
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

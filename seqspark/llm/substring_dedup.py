@@ -5,6 +5,7 @@ Seeds are winnowed: of the ``SEED``-word sequences in each window, the one with
 last such) is the window's anchor, so equal windows have their anchor at the same place.
 
 1. Anchors (seed hash, text, place) are joined on the seed; seeds that stand in one text alone go.
+   Frequent seeds are told by a sample beforehand and stay out of this join.
 2. Each text extends its remaining anchors both ways, to the windows that have this anchor.
 3. Around each seed, texts come in the order of their ids; a window goes where a smaller id has shown it.
    Seeds with over ``GROUP`` anchors are split by window: counted with partial minima, and joined back.
@@ -12,6 +13,7 @@ last such) is the window's anchor, so equal windows have their anchor at the sam
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` unchanged; a null text has none; a null id is larger than
 any other and equal to itself; rows with equal ids do not delete from each other; further columns are ignored.
+Words and windows are compared by 64-bit hashes beside the 64-bit hash of their seed.
 """
 
 from __future__ import annotations
@@ -24,28 +26,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from seqspark.llm import bytesops as B
+from seqspark.llm.components import stored
 
 WINDOW = 13
 SEED = 4
 #: Anchors of one seed that one task takes in order; seeds with more are split by window.
-GROUP = 20_000
-CHUNK_WINDOWS = 1 << 18
+GROUP = 4096
+#: One text in ``HOT_SAMPLE`` is asked for frequent seeds, and at most ``HOT_SEEDS`` of them are broadcast; this decides the way, not the result.
+HOT_SAMPLE, HOT_SEEDS = 64, 100_000
 _PLACE = (1 << 24) - 1
 
 
-def _word_sums(data: np.ndarray, offsets: np.ndarray, powers: B.Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and first word of each text, and prefix sums over the words' hashes."""
+def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word of each text, and the words' hashes."""
     start, end, first = B.words(data, offsets)
-    return start, end, first, B.prefix(B.span_hash(B.prefix(powers.table[data], powers), start, end, powers), powers)
+    return first, B.span_hashes(data, start, end)
 
 
-def word_anchors(sums: np.ndarray, first: np.ndarray, powers: B.Powers, window: int, seed: int) -> tuple[np.ndarray, ...]:
+def word_anchors(hashes: np.ndarray, first: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, ...]:
     """anchor, first window, number of windows, seed hash; in words of the block; no window crosses a text's border."""
-    n = len(sums) - 1
+    n = len(hashes)
     if n < window:
         return tuple(np.zeros(0, np.int64) for _ in range(4))
-    at = np.arange(n - seed + 1)
-    h = B.span_hash(sums, at, at + seed, powers)
+    h = B.sequence_hashes(hashes, seed)
+    at = np.arange(len(h))
     place = np.uint64(_PLACE)
     least = B.sliding_min((h & ~place) | (place - (at.astype(np.uint64) & place)), window - seed + 1)
     ends = np.repeat(first[1:], np.diff(first))
@@ -60,11 +64,10 @@ def word_anchors(sums: np.ndarray, first: np.ndarray, powers: B.Powers, window:
 
 def _seeds(window: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = B.Powers()
         for batch in batches:
-            for lo, _, data, offsets in B.blocks(batch.column(1), 1 << 20):
-                _, _, first, sums = _word_sums(data, offsets, powers)
-                at, _, _, key = word_anchors(sums, first, powers, window, seed)
+            for lo, _, data, offsets in B.blocks(batch.column(1)):
+                first, hashes = _word_hashes(data, offsets)
+                at, _, _, key = word_anchors(hashes, first, window, seed)
                 row = np.searchsorted(first, at, side="right") - 1
                 # one row for each seed of a text, however often the text repeats it
                 order = np.lexsort((at, key, row))
@@ -82,12 +85,11 @@ def _extend(window: int, seed: int):
     schema = pa.schema([("key", pa.int64()), ("did", pa.int64()), ("rk", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("first", pa.int32()), ("windows", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = B.Powers()
         for batch in batches:
             column = batch.schema.get_field_index("items")
-            for lo, hi, data, offsets in B.blocks(batch.column("text"), 1 << 20):
-                _, _, first, sums = _word_sums(data, offsets, powers)
-                at, start, count, key = word_anchors(sums, first, powers, window, seed)
+            for lo, hi, data, offsets in B.blocks(batch.column("text")):
+                first, hashes = _word_hashes(data, offsets)
+                at, start, count, key = word_anchors(hashes, first, window, seed)
                 items = batch.column(column).slice(lo, hi - lo)
                 owner = np.repeat(np.arange(hi - lo), np.diff(items.offsets.to_numpy()))
                 own = items.flatten()
@@ -98,7 +100,7 @@ def _extend(window: int, seed: int):
                 slot, owner, n = slot[good], owner[good], n[good]
                 count, start, key = count[slot], start[slot], key[slot]
                 begin = np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
-                h = B.span_hash(sums, begin, begin + window, powers)
+                h = B.sequence_hashes(hashes, window)[begin]
                 bounds = np.concatenate([[0], np.cumsum(count) * 8]).astype(np.int32)
                 packed = pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(h.tobytes())])
                 take = pa.array(owner + lo)
@@ -193,8 +195,14 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, group:
     texts = docs.repartition("rk")
 
     anchors = docs.select("rk", "text").mapInArrow(_seeds(window, seed), "key long, rk long, at array<int>")
-    by_seed = Window.partitionBy("key")
-    shared = anchors.select("*", F.sum(F.size("at")).over(by_seed).alias("n"), F.min("rk").over(by_seed).alias("a"), F.max("rk").over(by_seed).alias("b")).where("a <> b")
+    # seeds that are frequent in a sample of the texts are not gathered by seed: they are known to stand in several texts
+    seen = docs.where(F.pmod("rk", F.lit(HOT_SAMPLE)) == 0).select("rk", "text").mapInArrow(_seeds(window, seed), "key long, rk long, at array<int>")
+    seen = seen.groupBy("key").agg(F.count("*").alias("texts"), F.min("rk").alias("a"), F.max("rk").alias("b")).where(f"texts >= {max(2, group // HOT_SAMPLE)} AND a <> b")
+    hot = stored(seen.orderBy(F.desc("texts"), "key").limit(HOT_SEEDS).select("key", F.lit(True).alias("hot")), "hot-seeds")
+    by_seed = Window.partitionBy("key", "salt")
+    shared = anchors.join(F.broadcast(hot), "key", "left").withColumn("salt", F.when(F.col("hot"), F.col("rk")))
+    shared = shared.select("*", F.sum(F.size("at")).over(by_seed).alias("own_n"), F.min("rk").over(by_seed).alias("a"), F.max("rk").over(by_seed).alias("b")).where("hot OR a <> b")
+    shared = shared.select("rk", "at", F.when(F.col("hot"), group + 1).otherwise(F.col("own_n")).alias("n"))
     items = F.flatten(F.transform(F.collect_set(F.struct("at", "n")), lambda x: F.transform(x["at"], lambda a: F.struct(a.alias("at"), x["n"].alias("n")))))
     asked = shared.groupBy("rk").agg(items.alias("items"))
     kept = texts.join(asked, "rk").select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("did"), "rk", "th", "text", "items")

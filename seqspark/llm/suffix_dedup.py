@@ -1,24 +1,26 @@
 """Exact substring dedup over suffixes sorted deep and shallow.
 
 A byte goes if a ``LENGTH``-byte string that covers it also starts anywhere else, in the same text or
-another.  Equal strings hold equal winnowing anchors: in each window of LENGTH bytes the seed of
+another.  Bytes covered by a repeated string of ``PASSAGE`` bytes, some fifty short words, are counted
+besides.  Equal strings hold equal winnowing anchors: in each window of PASSAGE bytes the seed of
 ``SEED`` bytes with the smallest hash (the last such) is the window's anchor, so equal windows have
-their anchor at the same place.  Only suffixes at anchors are sorted.
+their anchor at the same place; a longer string has the anchor of its first PASSAGE bytes.  Only suffixes
+at anchors are sorted.
 
-1. Each text's anchors, with the range of windows that each serves, go to a table: the hash of the
-   seed (``key``) and of all bytes of these windows (``ctx``).
-2. Anchors are counted by (key, ctx), and contexts by key.  Contexts that occur twice are repeated as a
-   whole.  Keys with one context that occurs once are unique.
+1. The hashes of the seeds at anchors (``key``) are counted; anchors with a key of their own go.  The others
+   go to a table, with the range of windows that each serves and the hash of all bytes of these windows (``ctx``).
+2. Anchors are counted by (key, ctx), and contexts by key.  Contexts that occur twice are repeated as a whole.
 3. For keys with several contexts, one text of each context supplies its bytes.  In a task, the suffixes
    right of the anchors are sorted by multikey quicksort on 8-byte words down to a shallow depth; what
    still shares that prefix is put in order by blind tries.  The reversed bytes left of the anchors
    likewise.  The two orders with their common-prefix lengths tell, for each offset, which windows are equal.
 4. A key with over ``GROUP`` contexts is not sorted in one task: the hashes of its windows are counted
-   instead, with partial sums before the shuffle.
+   instead, with partial sums before the shuffle; this gives the same windows.
 5. Repeated windows return to the anchors, and to the texts.
 
-Defined results: a null text is the empty text; texts shorter than LENGTH bytes lose nothing; rows that
-repeat a text repeat its windows, whatever their ids; further columns are ignored.
+Defined results: a null text is the empty text; texts shorter than PASSAGE bytes lose and count nothing; rows
+that repeat a text repeat its windows, whatever their ids, null ones included; further columns are ignored.
+Keys, contexts and the windows of large keys are told apart by 64-bit hashes, contexts and windows inside their key.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ from seqspark.llm import bytesops as B
 from seqspark.llm.components import stored
 
 LENGTH = 400
+PASSAGE = 256
 SEED = 50
 GROUP = 4096
 #: Words of 8 bytes that the quicksort looks at before the tries take over.
@@ -44,63 +47,74 @@ _PLACE = (1 << 24) - 1
 PIECE_BYTES = 4 << 20
 
 
-def window_anchors(data: np.ndarray, offsets: np.ndarray, powers: B.Powers, length: int, seed: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """row, anchor, first window, last window (all inside the row's text), key and context hash, for the texts of a block."""
+def window_anchors(data: np.ndarray, offsets: np.ndarray, length: int, passage: int, seed: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """row, key, context hash, anchor, first window, last window and end of the context (all inside the row's text), for the texts of a block.
+
+    Windows have ``passage`` bytes; a context reaches ``length`` bytes from its last window's start, or to the text's end.
+    """
     for base in range(0, max(len(data), 1), PIECE_BYTES):
-        part = data[base : base + PIECE_BYTES + length - 1] if len(offsets) == 2 else data
-        if len(part) < length:
+        lone = len(offsets) == 2
+        part = data[base : base + PIECE_BYTES + length - 1] if lone else data
+        if len(part) < passage:
             return
-        ends = np.repeat(offsets[1:], np.diff(offsets)) if len(offsets) > 2 else np.full(len(part), len(part))
-        sums = B.prefix(powers.table[part], powers)
-        at = np.arange(len(part) - seed + 1)
-        h = B.span_hash(sums, at, at + seed, powers)
+        ends = np.full(len(part), len(part)) if lone else np.repeat(offsets[1:], np.diff(offsets))
+        h = B.sequence_hashes(part, seed)
+        at = np.arange(len(h))
         place = np.uint64(_PLACE)
-        least = B.sliding_min((h & ~place) | (place - at.astype(np.uint64)), length - seed + 1)
-        windows = np.flatnonzero(ends[: len(least)] - np.arange(len(least)) >= length)
-        if len(offsets) == 2:
+        least = B.sliding_min((h & ~place) | (place - at.astype(np.uint64)), passage - seed + 1)
+        windows = np.flatnonzero(ends[: len(least)] - np.arange(len(least)) >= passage)
+        if lone:
             windows = windows[windows < PIECE_BYTES]
         if len(windows):
             anchor = (place - (least[windows] & place)).astype(np.int64)
             cut = np.flatnonzero((anchor[1:] != anchor[:-1]) | (windows[1:] != windows[:-1] + 1)) + 1
             lo, hi = np.concatenate([[0], cut]), np.concatenate([cut, [len(windows)]]) - 1
             first, last, anchor = windows[lo], windows[hi], anchor[lo]
-            ctx = B.mix(B.span_hash(sums, first, last + length, powers) + (anchor - first).astype(np.uint64))
+            stop = np.minimum(last + length, ends[first])
+            ctx = B.mix(B.span_hashes(part, first, stop) + ((anchor - first) * (1 << 20) + last - first).astype(np.uint64))
             row = np.searchsorted(offsets, first + base, side="right") - 1
             shift = base - offsets[row]
-            yield row, anchor + shift, first + shift, last + shift, h[anchor].view(np.int64), ctx.view(np.int64)
-        if len(offsets) > 2 or base + PIECE_BYTES + length - 1 >= len(data):
+            yield row, h[anchor].view(np.int64), ctx.view(np.int64), anchor + shift, first + shift, last + shift, stop + shift
+        if not lone or base + PIECE_BYTES + length - 1 >= len(data):
             return
 
 
-def _anchors(length: int, seed: int):
+_ANCHORS = "rk long, th long, key long, ctx long, at int, first int, last int, stop int"
+
+
+def _anchors(length: int, passage: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = B.Powers()
         for batch in batches:
-            for lo, hi, data, offsets in B.blocks(batch.column(2), 1 << 20):
-                for row, at, first, last, key, ctx in window_anchors(data, offsets, powers, length, seed):
+            for lo, hi, data, offsets in B.blocks(batch.column(2)):
+                for row, key, ctx, *places in window_anchors(data, offsets, length, passage, seed):
                     take = pa.array(row + lo)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x) for x in (key, ctx)), *(pa.array(x.astype(np.int32)) for x in (at, first, last))], names=["rk", "th", "key", "ctx", "at", "first", "last"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(key), pa.array(ctx), *(pa.array(x.astype(np.int32)) for x in places)], names=["rk", "th", "key", "ctx", "at", "first", "last", "stop"])
 
     return run
 
 
-def _contexts(length: int):
-    """The bytes of the contexts listed with each text."""
-    schema = pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("left", pa.int32()), ("windows", pa.int32()), ("bytes", pa.binary())])
-
+def _keys(length: int, passage: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, items in zip(batch.column(0), batch.column(1), strict=True):
-                raw = text.as_buffer().to_pybytes()
-                own = items.values
-                key, ctx, n, m = (own.field(x) for x in ("key", "ctx", "n", "m"))
-                at, first, last = (own.field(x).to_numpy() for x in ("at", "first", "last"))
-                cut = pa.array([raw[a:b] for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([key, ctx, n, m, pa.array((at - first).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), cut], schema=schema)
+            for _, _, data, offsets in B.blocks(batch.column(0)):
+                for _, key, *_ in window_anchors(data, offsets, length, passage, seed):
+                    yield pa.RecordBatch.from_arrays([pa.array(key)], names=["key"])
 
     return run
 
 
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the contexts listed with each text."""
+    schema = pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("m", pa.int64()), ("left", pa.int32()), ("windows", pa.int32()), ("bytes", pa.binary())])
+    for batch in batches:
+        for text, items in zip(batch.column(0), batch.column(1), strict=True):
+            raw = text.as_buffer().to_pybytes()
+            own = items.values
+            at, first, last, stop = (own.field(x).to_numpy() for x in ("at", "first", "last", "stop"))
+            cut = pa.array([raw[a:b] for a, b in zip(first.tolist(), stop.tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(own.field(x) for x in ("key", "ctx", "m")), pa.array((at - first).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), cut], schema=schema)
+
+
 def _trie_order(strings: list[bytes]) -> list[int]:
     """Order of the strings by a blind trie: descend by branching bytes alone, compare once, insert."""
     root: list = [None, 0]  # a leaf: [None, member, ...]; a branch: [depth, {byte: node}]
@@ -131,33 +145,60 @@ def _trie_order(strings: list[bytes]) -> list[int]:
     return out
 
 
+def _three_ways(segment: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One step of multikey quicksort for all segments at once: the order that parts each segment into values under, equal to and over its pivot, and each place's part (0, 1, 2).
+
+    The pivot is the median of a segment's first, middle and last value; places keep their order inside a part.
+    """
+    first = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
+    size = np.diff(np.concatenate([first, [len(segment)]]))
+    a, b, c = value[first], value[first + size // 2], value[first + size - 1]
+    pivot = np.repeat(np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)), size)
+    part = np.where(value < pivot, 0, np.where(value == pivot, 1, 2))
+    start = np.repeat(first, size)
+    target = np.empty(len(value), dtype=np.int64)
+    below = np.zeros(len(first), dtype=np.int64)
+    for which in range(3):
+        own = part == which
+        seen = np.concatenate([[0], np.cumsum(own)])
+        count = seen[first + size] - seen[first]
+        target[own] = (start + np.repeat(below - seen[first], size) + seen[:-1])[own]
+        below += count
+    order = np.empty(len(value), dtype=np.int64)
+    order[target] = np.arange(len(value))
+    return order, part[order]
+
+
 def suffix_order(strings: np.ndarray, group: np.ndarray, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Order of zero-padded strings (rows of bytes, a multiple of 8 wide) by group and content, and the common prefix of each with the one before (-1 at a group's first).
 
-    The first ``skip`` words are known to be equal inside a group.
+    Multikey quicksort on 8-byte words: a segment is parted in three ways around a pivot; its equal part goes on with the next word, down
+    to ``SHALLOW_WORDS`` words.  All open segments take a step together.  What is still tied then is put in order by blind tries.  The first
+    ``skip`` words are known to be equal inside a group.
     """
     wide = strings.view(">u8").astype(np.uint64)
-    order, rank = np.argsort(group, kind="stable"), None
-    rank = np.concatenate([[0], np.cumsum(group[order][1:] != group[order][:-1])])
-    for word in range(skip, min(skip + SHALLOW_WORDS, wide.shape[1])):
+    order = np.argsort(group, kind="stable")
+    segment = np.cumsum(np.concatenate([[0], group[order][1:] != group[order][:-1]])) if len(order) else order
+    last = min(skip + SHALLOW_WORDS, wide.shape[1])
+    word = np.full(len(order), skip)
+    while True:
         tied = np.zeros(len(order), dtype=bool)
-        same = rank[1:] == rank[:-1]
+        same = segment[1:] == segment[:-1]
         tied[1:] |= same
         tied[:-1] |= same
-        open_ = np.flatnonzero(tied)
+        open_ = np.flatnonzero(tied & (word < last))
         if not len(open_):
             break
-        w = wide[order[open_], word]
-        inner = np.lexsort((w, rank[open_]))
+        inner, part = _three_ways(segment[open_], wide[order[open_], word[open_]])
         order[open_] = order[open_][inner]
-        column = np.zeros(len(order), dtype=np.uint64)
-        column[open_] = w[inner]
-        rank = np.concatenate([[0], np.cumsum((rank[1:] != rank[:-1]) | (column[1:] != column[:-1]))])
-    bounds = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1], [True]]))
-    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        if hi - lo > 1:
-            members = order[lo:hi]
-            order[lo:hi] = members[_trie_order([strings[i].tobytes() for i in members.tolist()])]
+        word[open_] += part == 1
+        parts = np.zeros(len(order), dtype=np.int64)
+        parts[open_] = part
+        segment = np.cumsum(np.concatenate([[0], (segment[1:] != segment[:-1]) | (parts[1:] != parts[:-1])]))
+    bounds = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1], [True]]))
+    for lo in np.flatnonzero(np.diff(bounds) > 1).tolist():
+        members = order[bounds[lo] : bounds[lo + 1]]
+        order[bounds[lo] : bounds[lo + 1]] = members[_trie_order([strings[i].tobytes() for i in members.tolist()])]
     common = np.full(len(order), -1)
     if len(order) > 1:
         differ = strings[order[1:]] != strings[order[:-1]]
@@ -166,10 +207,10 @@ def suffix_order(strings: np.ndarray, group: np.ndarray, skip: int = 0) -> tuple
     return order, common
 
 
-def repeated_windows(group: np.ndarray, left: np.ndarray, windows: np.ndarray, contexts: list[bytes], length: int, seed: int) -> np.ndarray:
-    """For each context, and each distance of a window's start left of the anchor, whether another context of the group has the same window there."""
-    n, reach = len(group), length - seed + 1
-    right_bytes = np.zeros((n, -(-length // 8) * 8), dtype=np.uint8)
+def repeated_windows(group: np.ndarray, left: np.ndarray, windows: np.ndarray, contexts: list[bytes], lengths: tuple[int, int], seed: int) -> list[np.ndarray]:
+    """For each length, context, and distance of a window's start left of the anchor: whether another context of the group has the same window there."""
+    n, longest, reach = len(group), max(lengths), min(lengths) - seed + 1
+    right_bytes = np.zeros((n, -(-longest // 8) * 8), dtype=np.uint8)
     left_bytes = np.zeros((n, -(-reach // 8) * 8), dtype=np.uint8)
     for i, c in enumerate(contexts):
         raw = np.frombuffer(c, dtype=np.uint8)
@@ -178,24 +219,32 @@ def repeated_windows(group: np.ndarray, left: np.ndarray, windows: np.ndarray, c
     right_order, right_common = suffix_order(right_bytes, group, seed // 8)
     left_order, left_common = suffix_order(left_bytes, group)
     near, far = left - windows + 1, left
-    out = np.zeros((n, reach), dtype=bool)
+    held = np.array([len(c) for c in contexts]) - left
+    out = [np.zeros((n, reach), dtype=bool) for _ in lengths]
     right_class, left_class = np.empty(n, np.int64), np.empty(n, np.int64)
     for d in range(reach):
-        own = np.flatnonzero((near <= d) & (d <= far))
-        if len(own) < 2:
+        served = (near <= d) & (d <= far)
+        if served.sum() < 2:
             continue
-        right_class[right_order] = np.cumsum(right_common < length - d)
         left_class[left_order] = np.cumsum(left_common < d)
-        pair = right_class[own] * (n + 1) + left_class[own]
-        order = np.argsort(pair)
-        same = pair[order][1:] == pair[order][:-1]
-        out[own[order[1:][same]], d] = True
-        out[own[order[:-1][same]], d] = True
+        for hit, length in zip(out, lengths, strict=True):
+            own = np.flatnonzero(served & (held >= length - d))
+            if len(own) < 2:
+                continue
+            right_class[right_order] = np.cumsum(right_common < length - d)
+            pair = right_class[own] * (n + 1) + left_class[own]
+            order = np.argsort(pair)
+            same = pair[order][1:] == pair[order][:-1]
+            hit[own[order[1:][same]], d] = True
+            hit[own[order[:-1][same]], d] = True
     return out
 
 
-def _sorted_groups(length: int, seed: int):
-    schema = pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32()))])
+_RANGES = ("lo", "hi", "plo", "phi")
+
+
+def _sorted_groups(length: int, passage: int, seed: int):
+    schema = pa.schema([("key", pa.int64()), ("ctx", pa.int64()), *((c, pa.list_(pa.int32())) for c in _RANGES)])
 
     def solve(table: pa.Table) -> pa.RecordBatch:
         key, ctx = table.column("key").to_numpy(), table.column("ctx").to_numpy()
@@ -203,13 +252,15 @@ def _sorted_groups(length: int, seed: int):
         fresh = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1])]))
         table, key, ctx = table.take(pa.array(fresh)), key[fresh], ctx[fresh]
         left, windows = table.column("left").to_numpy().astype(np.int64), table.column("windows").to_numpy().astype(np.int64)
-        hit = repeated_windows(key, left, windows, table.column("bytes").to_pylist(), length, seed)
-        edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        row, start = np.nonzero(edge == 1)
-        stop = np.nonzero(edge == -1)[1]
-        bounds = pa.array(np.searchsorted(row, np.arange(len(key) + 1)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in (1 - stop, length - start)]
-        some = pa.array(np.flatnonzero(hit.any(axis=1)))
+        lengths, lists = (length, passage), []
+        hits = repeated_windows(key, left, windows, table.column("bytes").to_pylist(), lengths, seed)
+        for hit, size in zip(hits, lengths, strict=True):
+            edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+            row, start = np.nonzero(edge == 1)
+            stop = np.nonzero(edge == -1)[1]
+            bounds = pa.array(np.searchsorted(row, np.arange(len(key) + 1)).astype(np.int32))
+            lists += [pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in (1 - stop, size - start)]
+        some = pa.array(np.flatnonzero(hits[0].any(axis=1) | hits[1].any(axis=1)))
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ctx), *lists], schema=schema).take(some)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,71 +288,84 @@ def _sorted_groups(length: int, seed: int):
     return run
 
 
-def _window_hashes(length: int):
-    """Every window of each context: its distance from the anchor and its hash."""
+def _window_hashes(length: int, passage: int):
+    """Every window of each context, of both lengths: its length, its distance from the anchor and its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = B.Powers()
         for batch in batches:
             for i in range(batch.num_rows):
                 raw = np.frombuffer(batch.column("bytes")[i].as_buffer(), dtype=np.uint8)
-                sums = B.prefix(powers.table[raw], powers)
-                start = np.arange(batch.column("windows")[i].as_py())
-                h = B.span_hash(sums, start, start + length, powers).view(np.int64)
-                own = pa.array(np.full(len(start), i))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in ("key", "ctx", "n")), pa.array((batch.column("left")[i].as_py() - start).astype(np.int32)), pa.array(h)], names=["key", "ctx", "n", "d", "h"])
+                left, windows = batch.column("left")[i].as_py(), batch.column("windows")[i].as_py()
+                for size in (length, passage):
+                    h = B.sequence_hashes(raw, size)[:windows].view(np.int64)
+                    own = pa.array(np.full(len(h), i))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in ("key", "ctx")), pa.array(np.full(len(h), size, np.int32)), pa.array((left - np.arange(len(h))).astype(np.int32)), pa.array(h)], names=["key", "ctx", "size", "d", "h"])
 
     return run
 
 
+def _union(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
+    """The union of ranges, ascending."""
+    if not len(lo):
+        return []
+    order = np.argsort(lo, kind="stable")
+    lo, hi = lo[order], np.maximum.accumulate(hi[order])
+    new = np.flatnonzero(np.concatenate([[True], lo[1:] > hi[:-1]]))
+    return list(zip(lo[new].tolist(), hi[np.concatenate([new[1:], [len(lo)]]) - 1].tolist(), strict=True))
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union of the ranges listed with each text, and what is left."""
+    """Union of the ranges listed with each text, and what is left; bytes and number of the repeated passages."""
     for batch in batches:
         out: list[tuple] = []
-        for text, starts, ends in zip(batch.column("text"), batch.column("lo"), batch.column("hi"), strict=True):
+        for text, *ranges in zip(*(batch.column(c) for c in ("text", *_RANGES)), strict=True):
             raw = text.as_buffer().to_pybytes()
-            spans: list[tuple[int, int]] = []
-            if starts.is_valid:
-                lo, hi = starts.values.to_numpy(), ends.values.to_numpy()
-                order = np.argsort(lo, kind="stable")
-                lo, hi = lo[order], np.maximum.accumulate(hi[order])
-                new = np.flatnonzero(np.concatenate([[True], lo[1:] > hi[:-1]]))
-                spans = list(zip(lo[new].tolist(), hi[np.concatenate([new[1:], [len(lo)]]) - 1].tolist(), strict=True)) if len(lo) else []
+            lo, hi, plo, phi = (x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32) for x in ranges)
+            spans, passages = _union(lo, hi), _union(plo, phi)
             at, kept = 0, []
             for a, b in spans:
                 kept.append(raw[at:a])
                 at = b
             kept.append(raw[at:])
             rest = b"".join(kept)
-            out.append((len(raw), len(raw) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), rest, [a for a, _ in spans], [b for _, b in spans]))
-        columns = list(zip(*out, strict=True)) or [[]] * 7
-        kinds = [pa.int64()] * 3 + [pa.string(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "span_starts", "span_ends"])
+            out.append((len(raw), len(raw) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), sum(b - a for a, b in passages), len(passages), rest, [a for a, _ in spans], [b for _, b in spans]))
+        columns = list(zip(*out, strict=True)) or [[]] * 9
+        kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes", "n_passages", "kept", "span_starts", "span_ends"])
 
 
-def drop_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, group: int = GROUP) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, the kept bytes, and the removed runs, of each row of ``docs``."""
+def drop_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, group: int = GROUP, passage: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_bytes, n_passages, the kept bytes, and the removed runs, of each row of ``docs``.
+
+    ``passage``, from ``seed`` to ``length``, is the length of the shorter repeats that are counted but not removed (PASSAGE / LENGTH of ``length`` unless given).
+    """
+    passage = max(seed, length * PASSAGE // LENGTH) if passage is None else passage
+    if not 8 <= seed <= passage <= length < 1 << 19:
+        raise ValueError("seed, passage and length must ascend from 8")
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.select(F.xxhash64("doc_id", "text").alias("rk"), F.xxhash64("text").alias("th"), "doc_id", "text")
-    anchors = stored(docs.select("rk", "th", "text").mapInArrow(_anchors(length, seed), "rk long, th long, key long, ctx long, at int, first int, last int"), "anchors")
-    classes = anchors.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("rk", "th", "at", "first", "last")).alias("rep"))
-    keys = classes.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("all")).where(F.col("all") > 1).select("key", "m")
-    classes = stored(classes.join(keys, "key").select("key", "ctx", "n", "m", "rep.*"), "contexts")
+    # the anchors are found twice, which costs less than to keep or to deal out those with a key of their own
+    keys = docs.select("text").mapInArrow(_keys(length, passage, seed), "key long").groupBy("key").agg(F.count("*").alias("all")).where(F.col("all") > 1).select("key")
+    anchors = stored(docs.select("rk", "th", "text").mapInArrow(_anchors(length, passage, seed), _ANCHORS).join(keys, "key"), "anchors")
+    classes = anchors.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("rk", "th", "at", "first", "last", "stop")).alias("rep"))
+    several = anchors.groupBy("key").agg(F.count_distinct("ctx").alias("m"))
+    classes = stored(classes.join(several, "key").where("n > 1 OR m > 1").select("key", "ctx", "n", "m", "rep.*"), "contexts")
 
     texts = docs.select("rk", "th", "doc_id", F.col("text").cast("binary").alias("text"))
-    asked = classes.where("m > 1").groupBy("rk", "th").agg(F.collect_list(F.struct("key", "ctx", "n", "m", "at", "first", "last")).alias("items"))
-    contexts = texts.join(asked, ["rk", "th"]).select("text", "items").mapInArrow(_contexts(length), "key long, ctx long, n long, m long, left int, windows int, bytes binary")
-    usual = contexts.where(F.col("m") <= group).repartition("key").sortWithinPartitions("key", "ctx").mapInArrow(_sorted_groups(length, seed), "key long, ctx long, lo array<int>, hi array<int>")
-    parts = [usual]
+    asked = classes.where("m > 1").groupBy("rk", "th").agg(F.collect_list(F.struct("key", "ctx", "m", "at", "first", "last", "stop")).alias("items"))
+    contexts = texts.join(asked, ["rk", "th"]).select("text", "items").mapInArrow(_contexts, "key long, ctx long, m long, left int, windows int, bytes binary")
+    lists = ", ".join(f"{c} array<int>" for c in _RANGES)
+    found = contexts.where(F.col("m") <= group).repartition("key").sortWithinPartitions("key", "ctx").mapInArrow(_sorted_groups(length, passage, seed), f"key long, ctx long, {lists}")
     if classes.where(F.col("m") > group).limit(1).count():
-        windows = contexts.where(F.col("m") > group).mapInArrow(_window_hashes(length), "key long, ctx long, n long, d int, h long")
-        twice = windows.groupBy("key", "d", "h").agg(F.min("ctx").alias("a"), F.max("ctx").alias("b")).where("a <> b").select("key", "d", "h")
-        found = windows.join(twice, ["key", "d", "h"]).groupBy("key", "ctx").agg(F.collect_set("d").alias("ds"))
-        parts.append(found.selectExpr("key", "ctx", "transform(ds, d -> -d) AS lo", f"transform(ds, d -> {length} - d) AS hi"))
-    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    whole = classes.where("n > 1").select("key", "ctx", F.lit(None).cast("array<int>").alias("lo"), F.lit(None).cast("array<int>").alias("hi"))
-    hits = anchors.join(whole.unionByName(found), ["key", "ctx"]).selectExpr("rk", "th", "coalesce(transform(lo, x -> x + at), array(first)) AS lo", f"coalesce(transform(hi, x -> x + at), array(last + {length})) AS hi")
-    ranges = hits.groupBy("rk", "th").agg(F.flatten(F.collect_list("lo")).alias("lo"), F.flatten(F.collect_list("hi")).alias("hi"))
-    rows = texts.join(ranges, ["rk", "th"], "left").select("doc_id", "text", "lo", "hi")
+        windows = contexts.where(F.col("m") > group).mapInArrow(_window_hashes(length, passage), "key long, ctx long, size int, d int, h long")
+        twice = windows.groupBy("key", "size", "d", "h").agg(F.min("ctx").alias("a"), F.max("ctx").alias("b")).where("a <> b").select("key", "size", "d", "h")
+        split = windows.join(twice, ["key", "size", "d", "h"]).groupBy("key", "ctx").agg(*(F.collect_set(F.when(F.col("size") == n, F.col("d"))).alias(c) for n, c in ((length, "ds"), (passage, "ps"))))
+        found = found.unionByName(split.selectExpr("key", "ctx", "transform(ds, d -> -d) AS lo", f"transform(ds, d -> {length} - d) AS hi", "transform(ps, d -> -d) AS plo", f"transform(ps, d -> {passage} - d) AS phi"))
+    none = "CAST(array() AS ARRAY<INT>)"
+    places = [f"transform({c}, x -> x + at) AS {c}" for c in _RANGES]
+    parts = anchors.join(found, ["key", "ctx"]).selectExpr("rk", "th", *places)
+    whole = anchors.join(classes.where("n > 1").select("key", "ctx"), ["key", "ctx"]).selectExpr("rk", "th", f"IF(stop - first >= {length}, array(first), {none}) AS lo", f"IF(stop - first >= {length}, array(stop), {none}) AS hi", "array(first) AS plo", f"array(last + {passage}) AS phi")
+    ranges = parts.unionByName(whole).groupBy("rk", "th").agg(F.collect_set(F.struct(*_RANGES)).alias("x")).selectExpr("rk", "th", *(f"flatten(x.{c}) AS {c}" for c in _RANGES))
+    rows = texts.join(ranges, ["rk", "th"], "left").select("doc_id", "text", *_RANGES)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, span_starts array<long>, span_ends array<long>")
+    return rows.mapInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long, n_passages long, kept binary, span_starts array<long>, span_ends array<long>")

@@ -44,20 +44,51 @@ def _texts(seed):
     return texts
 
 
+def _covered(texts, length):
+    """Bytes of each text under a repeated string of ``length`` bytes, and their runs."""
+    return [(r[1], r[2]) for r in _bytes(texts, length)]
+
+
+def _suffix_rows(df):
+    rows = sorted((_key(r.doc_id), (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256), (r.n_passage_bytes, r.n_passages)) for r in df.collect())
+    return [r[1] for r in rows], [r[2] for r in rows]
+
+
 @pytest.mark.parametrize("group", [4096, 3])
 def test_suffix_dedup_is_exact(spark, group):
     texts = _texts(5)
-    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], f"{SCHEMA}, key string, at int")
-    rows = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.drop_repeats(docs, 40, 8, group).collect()}
-    assert [rows[i] for i in range(len(texts))] == _bytes(texts, 40)
+    docs = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in enumerate(texts)], f"{SCHEMA}, key string, at int, ctx int")
+    for passage in (25, 40):
+        got = _suffix_rows(suffix_dedup.drop_repeats(docs, 40, 8, group, passage))
+        assert got == (_bytes(texts, 40), _covered(texts, passage))
 
 
 def test_suffix_dedup_reads_long_texts_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", 300)
     texts = _texts(6)
     docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(60)
-    rows = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.drop_repeats(docs, 40, 8).collect()}
-    assert [rows[i] for i in range(len(texts))] == _bytes(texts, 40)
+    assert _suffix_rows(suffix_dedup.drop_repeats(docs, 40, 8, passage=30)) == (_bytes(texts, 40), _covered(texts, 30))
+
+
+def test_suffix_dedup_of_null_and_repeated_ids(spark):
+    text = "".join(random.Random(3).choice("abcdef ") for _ in range(500))
+    rows = [(None, text), (None, text), (1, text), (1, "x" + text), (2, "short"), (None, None)]
+    got = Counter((_key(r.doc_id), r.n_bytes, r.n_removed) for r in suffix_dedup.drop_repeats(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == Counter({(1 << 62, 500, 500): 2, (1, 500, 500): 1, (1, 501, 500): 1, (2, 5, 0): 1, (1 << 62, 0, 0): 1})
+
+
+def _thue_morse(n, a, b):
+    """Words that a polynomial hash modulo 2**64 cannot tell from those with a and b exchanged."""
+    return ["".join((a, b)[(bin(i).count("1") + f) % 2] for i in range(n)) for f in (0, 1)]
+
+
+def test_equality_is_not_decided_by_a_polynomial(spark):
+    one, two = _thue_morse(4096, "a", "b")
+    lead = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"{lead} {one}"), (2, f"{lead} {two}")], SCHEMA)
+    assert {r.n_removed for r in substring_dedup.drop_repeats(docs).collect()} == {0}
+    docs = spark.createDataFrame([(1, "x" + one[:200]), (2, "y" + two[:200])], SCHEMA)
+    assert _suffix_rows(suffix_dedup.drop_repeats(docs, 200, 8))[0] == _bytes(["x" + one[:200], "y" + two[:200]], 200)
 
 
 def test_suffix_order_is_the_sorted_order():
