@@ -8,12 +8,14 @@ with names inside sentences as placeholders, with every capitalised word as one
 sentence), and as plain words, which finds literal copies of windows with any number of slots and in
 any case.  Then slots are checked: along one alignment of a document and an item, each value of the
 item must stand for one value of the document, and different values for different ones.  Windows that
-hold a slot which breaks this do not count; where only numbers break it, windows that hold the item's
-own values count all the same.  An item is found in a document when its consistent windows join to a
+hold a slot which breaks this do not count, but for those that hold the item's own values in all slots: they
+are literal copies, whatever clashes elsewhere.  An item is found in a document when its consistent windows join to a
 run of ``RUN`` words, or make up half of the item's windows.
 
 Defined results: null and empty texts hold nothing; an item of fewer words than a window is one plain
-window of all its words; rows with equal id and text count once; repeated items count each by its id.
+window of all its words; where a template has not one word for each plain word, the plain words stand in
+for it; rows with equal id and text count once; repeated items count each by its id; texts of any
+length are searched whole; extra columns are ignored by ``find_leaks`` and kept by ``drop_leaks``.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from seqspark.llm.components import stored
 WINDOW = 8
 LITERALS = 5
 RUN = 13
-#: Benchmark windows, or documents with a hit, up to this number are broadcast (some 50 MB); more are shuffled.
+#: Hashes of benchmark windows, or documents with a hit, up to this number are broadcast (some 30 MB); more are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: The same for benchmark windows with their words (some 50 MB).
+BROADCAST_WINDOWS = 100_000
 
 # Units that may follow a number.
 UNITS = "km|cm|mm|m|kg|mg|g|lb|lbs|oz|ml|l|mi|miles|hours|hour|minutes|minute|seconds|days|years|dollars|euros|cents|percent|mph|kmh|°c|°f|%|$|€|£"
@@ -71,8 +75,8 @@ def _windows(words: str, form: int, length: int = WINDOW) -> str:
     return f"transform(array(transform({words}, w -> xxhash64(w))), a -> IF(size(a) < {length}, CAST(array() AS ARRAY<BIGINT>), {each}))[0]"
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
 def _marks(benchmark: DataFrame) -> DataFrame:
@@ -96,7 +100,7 @@ def _consistent() -> str:
     one_to_one = " AND ".join(f"size(ps) = size(array_distinct(transform(ps, x -> struct(x.kind, x.{c}))))" for c in ("was", "own"))
     clash = f"IF({one_to_one}, filter(ps, x -> false), filter(ps, x -> exists(ps, y -> y.kind = x.kind AND (y.was = x.was) <> (y.own = x.own))))"
     whole = "NOT exists(w.slots, s -> array_contains(bad, s))"
-    literal = "NOT exists(w.slots, s -> s.was <> s.own OR s.kind LIKE '%name%' AND array_contains(bad, s))"
+    literal = "NOT exists(w.slots, s -> s.was <> s.own)"
     return f"array_sort(array_distinct(transform(array({pairs}), ps -> transform(array({clash}), bad -> transform(filter(ws, w -> {whole} OR {literal}), w -> w.q))[0])[0]))"
 
 
@@ -114,7 +118,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     held = docs.withColumn("th", F.xxhash64("text"))
     held = held.join(own, held["doc_id"].eqNullSafe(own["own_id"]) & (held["th"] == own["own_th"]), "left_semi").dropDuplicates(["doc_id", "th"])
     held = held.selectExpr("doc_id AS d", "th AS t", *(f"{sql} AS {name}" for name, sql in FORMS.items()))
-    met = hits.join(_sized(marks), "h")
+    met = hits.join(_sized(marks, BROADCAST_WINDOWS), "h")
     both = met.join(held, met["doc_id"].eqNullSafe(held["d"]) & (met["th"] == held["t"]))
     both = both.withColumn("templ", F.expr("slice(CASE form WHEN 0 THEN templ WHEN 1 THEN names ELSE vals END, p + 1, len)")).withColumn("vals", F.expr("slice(vals, p + 1, len)"))
     both = both.where(f"IF(form = {_PLAIN}, vals = item_vals, templ = item_templ)")

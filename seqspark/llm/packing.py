@@ -1,14 +1,16 @@
 """Best-fit packing of documents into sequences of several permitted lengths.
 
-Documents over the largest capacity are cut into pieces of that capacity and a rest.  Pieces are
-packed in blocks of ``block`` pieces, each block apart, in the task that reads it: longest first,
-into the open bin with the least room that still holds the piece.  Where none does, the bin size
-of least cost for each token it can hold is opened: the tokens are the piece and as many of the
-smaller unplaced ones as could fill the rest.  At the end each bin shrinks to the smallest permitted
-capacity that holds its contents.  Only ids and lengths leave the text's task; nothing is shuffled.
+Documents over the largest capacity are cut into pieces of that capacity and a rest.  Pieces are dealt
+by a hash of their row to as many parts as the table has blocks of ``block`` pieces, so the packing
+follows from the rows alone, not from how they came.  A part packs its pieces in the order of their
+hash, ``block`` at a time: longest first, into the open bin with the least room that still holds the
+piece.  Where none does, the bin size of least cost for each token it can hold is opened: the tokens are
+the piece and as many of the smaller unplaced ones as could fill the rest.  At the end each bin shrinks
+to the smallest permitted capacity that holds its contents.  Only ids and lengths leave the text's task.
 
 Defined results: a text without words (null, empty) gets one row of length 0 with null bin and
-capacity; repeated rows and null ids are packed each; the same input splits give the same packing.
+capacity; repeated rows and null ids are packed each; of equally long pieces the one with the smaller
+hash comes first; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,11 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from seqspark.llm import bytesops as B
+from seqspark.llm.components import stored
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: What a sequence costs besides its length, in tokens.
 OVERHEAD = 64
-BLOCK = 1 << 16
+BLOCK = 1 << 15
 
 
 def best_fit(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -60,57 +63,54 @@ def best_fit(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, over
     return bins, offsets, [min(c for c in capacities if c >= n) for n in filled]
 
 
-def _pack(capacities: tuple[int, ...], overhead: int, block: int):
-    largest = max(capacities)
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi, data, offsets in B.blocks(batch.column(2)):
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(2)), pa.array(np.diff(B.words(data, offsets)[2]))], names=["doc_id", "h", "words"])
 
+
+def _pack(capacities: tuple[int, ...], overhead: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         base = (task.partitionId() if task else 0) << 40
-        ids: list = []
-        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        n = 0
-
-        def close() -> Iterator[pa.RecordBatch]:
-            nonlocal base, ids, waiting, n
-            if not waiting:
-                return
-            row, piece, length = (np.concatenate([w[i] for w in waiting]) for i in range(3))
+        waiting: list[pa.RecordBatch] = []
+
+        def close(table: pa.Table) -> pa.RecordBatch:
+            nonlocal base
+            length = table.column("n_tokens").to_numpy()
             held = np.flatnonzero(length > 0)
             bins, offsets, caps = best_fit(length[held], capacities, overhead)
-            out = [np.full(len(row), -1, np.int64) for _ in range(3)]
+            out = [np.full(len(length), -1, np.int64) for _ in range(3)]
             if len(held):
                 out[0][held], out[1][held], out[2][held] = bins + base, offsets, np.array(caps, np.int64)[bins]
             base += len(caps)
-            none = length == 0
-            yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays(ids).take(pa.array(row)), pa.array(piece), pa.array(piece * largest), pa.array(length), *(pa.array(x, mask=none) for x in out)],
-                names=["doc_id", "piece", "first_token", "n_tokens", "bin_id", "bin_offset", "capacity"],
-            )
-            ids, waiting, n = [], [], 0
-
-        rows = 0
+            columns = [table.column(c).combine_chunks() for c in ("doc_id", "piece", "first_token", "n_tokens")]
+            return pa.RecordBatch.from_arrays([*columns, *(pa.array(x, mask=length == 0) for x in out)], names=["doc_id", "piece", "first_token", "n_tokens", "bin_id", "bin_offset", "capacity"])
+
         for batch in batches:
-            for lo, hi, data, offsets in B.blocks(batch.column(1)):
-                count = np.diff(B.words(data, offsets)[2])
-                pieces = np.maximum(1, -(-count // largest))
-                row = np.repeat(np.arange(hi - lo), pieces)
-                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                length = np.minimum(largest, count[row] - piece * largest)
-                if not waiting:
-                    rows = 0
-                ids.append(batch.column(0).slice(lo, hi - lo))
-                waiting.append((row + rows, piece, length))
-                rows += hi - lo
-                n += len(row)
-                if n >= block:
-                    yield from close()
-        yield from close()
+            waiting.append(batch)
+            while (rows := sum(b.num_rows for b in waiting)) >= block:
+                table = pa.Table.from_batches(waiting)
+                yield close(table.slice(0, block))
+                waiting = table.slice(block).to_batches() if rows > block else []
+        if sum(b.num_rows for b in waiting):
+            yield close(pa.Table.from_batches(waiting))
 
     return run
 
 
 def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, block: int = BLOCK) -> DataFrame:
     """doc_id, piece, first_token, n_tokens, bin_id, bin_offset, capacity of every piece; tokens are words."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece long, first_token long, n_tokens long, bin_id long, bin_offset long, capacity long"
-    return rows.mapInArrow(_pack(tuple(sorted(capacities)), overhead, block), schema)
+    largest = max(capacities)
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), F.col("text").cast("string").alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    counts = stored(rows.mapInArrow(_counts, f"doc_id {kind}, h long, words long"), "lengths")
+    pieces = F.greatest(F.lit(1), F.ceil(F.col("words") / largest)).cast("long")
+    total = counts.agg(F.coalesce(F.sum(pieces), F.lit(0))).first()[0]
+    # equal rows are numbered, so that many of them do not go to one part
+    rows = counts.groupBy("doc_id", "h", "words").agg(F.count("*").alias("n")).select("doc_id", "h", "words", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
+    rows = rows.select("doc_id", "h", "words", "copy", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("piece"))
+    first = F.col("piece") * largest
+    rows = rows.select("doc_id", "h", "copy", "piece", first.alias("first_token"), F.least(F.lit(largest).cast("long"), F.col("words") - first).alias("n_tokens"))
+    rows = rows.repartition(max(1, -(-total // block)), "h", "copy", "piece").sortWithinPartitions("h", "doc_id", "copy", "piece").select("doc_id", "piece", "first_token", "n_tokens")
+    return rows.mapInArrow(_pack(tuple(sorted(capacities)), overhead, block), f"doc_id {kind}, piece long, first_token long, n_tokens long, bin_id long, bin_offset long, capacity long")

@@ -2,10 +2,15 @@
 
 Strict patterns give the base spans.  High-recall generators propose further, overlapping spans:
 anything around an at-sign, digit groups with separators, dotted numbers, account-like codes.
-Boosted trees score each candidate on its format and its context.  They are trained on a bounded,
-deterministic sample of candidates (``SAMPLE_ROWS``), labelled by whether a base span covers them,
-and their margin is calibrated on a held-out fifth.  Candidates over ``THRESHOLD`` that touch no base
-span become spans of kind ``other``; of overlapping ones the likeliest stays.  Base spans always stay.
+Boosted trees score each candidate on its format and its context.  They are not trained to repeat the
+strict patterns: each candidate that a base span touches is written anew in forms that the patterns
+miss (without its plus sign or country code, with other separators, an address without its domain's end,
+bare digits after a cue word), which are positive, and as bare digits in its own place without a cue,
+which is negative, as are the candidates that no base span touches and that do not look like the
+positive ones to trees grown beforehand.  The sample is bounded and
+deterministic (``SAMPLE_ROWS`` candidates); a fifth of its texts is held out and calibrates the margin.
+Candidates over ``THRESHOLD`` that touch no base span become spans of kind ``other``; of overlapping ones
+the likeliest stays.  Base spans always stay.
 
 Defined results: a null text is the empty text; rows with null or repeated ids are each searched;
 without candidates of both labels nothing is added; other columns are ignored.
@@ -46,14 +51,14 @@ _FEATURES = {
     "length": "least(length(v), 200)",
     "digits": "least(length(regexp_replace(v, '[^0-9]', '')), 100)",
     "letters": "least(length(regexp_replace(v, '[^A-Za-z]', '')), 100)",
-    "separators": "length(regexp_replace(substring(v, 1, 200), '[^ ()./-]', ''))",
-    "dots": "length(regexp_replace(substring(v, 1, 200), '[^.]', ''))",
+    "separators": "least(length(regexp_replace(v, '[^ ()./-]', '')), 100)",
+    "dots": "least(length(regexp_replace(v, '[^.]', '')), 100)",
     "at": "IF(contains(v, '@'), 1, 0)",
     "dot_after_at": "IF(v RLIKE '@[A-Za-z0-9-]+[.][A-Za-z0-9-]', 1, 0)",
     "plus": "IF(v LIKE '+%', 1, 0)",
     "bracket": "IF(contains(v, '('), 1, 0)",
-    "large_part": r"IF(exists(split(substring(v, 1, 200), '[^0-9]+'), p -> coalesce(TRY_CAST(p AS DOUBLE) > 255, false)), 1, 0)",
-    "luhn": f"IF(length(regexp_replace(v, '[^0-9]', '')) BETWEEN 2 AND 30 AND {_LUHN.format(d='''regexp_replace(v, '[^0-9]', '')''')}, 1, 0)",
+    "large_part": r"IF(exists(split(v, '[^0-9]+'), p -> coalesce(TRY_CAST(p AS DOUBLE) > 255, false)), 1, 0)",
+    "luhn": f"IF(length(regexp_replace(v, '[^0-9]', '')) BETWEEN 12 AND 19 AND {_LUHN.format(d='''regexp_replace(v, '[^0-9]', '')''')}, 1, 0)",
     "joined_left": "IF(before RLIKE '[A-Za-z0-9]$', 1, 0)",
     "joined_right": "IF(after RLIKE '^[A-Za-z0-9]', 1, 0)",
     "cue_phone": "IF(lower(before) RLIKE 'phone|tel|call|fax|mobile', 1, 0)",
@@ -73,11 +78,40 @@ def propose(docs: DataFrame) -> DataFrame:
 
 
 def _candidate_rows(found: DataFrame) -> DataFrame:
-    """One row for each candidate, with its features and whether a base span touches it."""
+    """One row for each candidate, and ``label``: whether a base span touches it."""
     bases = ", ".join(BASE)
     rows = found.where("size(candidates) > 0").dropDuplicates(["doc_id", "th"]).selectExpr("doc_id", "th", f"transform(concat({bases}), x -> named_struct('s', x.s, 'e', x.e)) AS base", "inline(candidates)")
     touched = "CAST(exists(base, b -> b.s < e AND b.e > s) AS DOUBLE) AS label"
-    return rows.selectExpr("doc_id", "th", "s", "e", "v", "before", "after", touched).selectExpr("*", *(f"CAST({f} AS DOUBLE) AS f_{n}" for n, f in _FEATURES.items()))
+    return rows.selectExpr("doc_id", "th", "s", "e", "v", "before", "after", touched)
+
+
+def _with_features(rows: DataFrame) -> DataFrame:
+    return rows.selectExpr("*", *(f"CAST({f} AS DOUBLE) AS f_{n}" for n, f in _FEATURES.items()))
+
+
+# forms of a value that a base span touches: value, cue before it, label
+_BARE_DIGITS = "regexp_replace(v, '[^0-9]', '')"
+_FORMS = (
+    ("v", "before", 1),
+    ("IF(contains(v, '@'), regexp_replace(v, '(@[^.]*)[.].*$', '$1'), regexp_replace(v, '^[+]', ''))", "before", 1),
+    ("IF(contains(v, '@'), translate(v, '.', ','), regexp_replace(v, '^[+][0-9]+[ -]?', ''))", "before", 1),
+    ("IF(contains(v, '@'), regexp_replace(v, '[0-9]', ''), trim(BOTH '.' FROM translate(regexp_replace(v, '[ ()-]+', '.'), '+', '')))", "before", 1),
+    ("IF(contains(v, '@'), v, trim(BOTH '-' FROM translate(regexp_replace(v, '[ ().-]+', '-'), '+', '')))", "before", 1),
+    ("IF(contains(v, '@'), v, trim(BOTH '.' FROM regexp_replace(regexp_replace(v, '^[+][0-9]+[ -]?', ''), '[ ()-]+', '.')))", "before", 1),
+    ("IF(contains(v, '@'), v, trim(BOTH '-' FROM regexp_replace(regexp_replace(v, '^[+][0-9]+[ -]?', ''), '[ ().-]+', '-')))", "before", 1),
+    (f"IF(contains(v, '@'), v, {_BARE_DIGITS})", "concat(before, array('phone ', 'call ', 'tel: ', 'card ', 'account ')[CAST(pmod(s, 5) AS INT)])", 1),
+    ("IF(contains(v, '@'), '', regexp_replace(regexp_replace(v, '^[+][0-9]+[ -]?', ''), '[^0-9]', ''))", "concat(before, array('call ', 'phone: ', 'tel ', 'fax ', 'mobile ')[CAST(pmod(s, 5) AS INT)])", 1),
+    (f"IF(contains(v, '@'), '', concat({_BARE_DIGITS}, '7'))", "before", 0),
+    ("IF(contains(v, '@'), '', regexp_replace(regexp_replace(v, '^[+][0-9]+[ -]?', ''), '[^0-9]', ''))", "before", 0),
+    (f"IF(contains(v, '@'), '', left({_BARE_DIGITS}, 8))", "before", 0),
+)
+
+
+def _written_anew(sample: DataFrame) -> DataFrame:
+    """Untouched candidates, and the forms of the touched ones."""
+    forms = ", ".join(f"named_struct('w', {w}, 'b', {b}, 'y', {y}.0D)" for w, b, y in _FORMS)
+    rows = sample.selectExpr("doc_id", "th", "s", "e", "after", "label = 1 AS touched", f"inline(IF(label = 0, array(named_struct('w', v, 'b', before, 'y', 0.0D)), array({forms})))")
+    return rows.where("w <> ''").selectExpr("doc_id", "th", "s", "e", "w AS v", "b AS before", "after", "touched", "y AS label").distinct()
 
 
 def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS):
@@ -86,14 +120,27 @@ def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS):
     The sample holds the ``sample_rows`` candidates with the smallest hash.
     """
     key = F.xxhash64("doc_id", "s", "e", "v")
-    sample = stored(rows.withColumn("key", key).orderBy("key", "s", "e").limit(sample_rows).coalesce(2), "candidate-sample")
-    fit, held = sample.where("pmod(key, 5) > 0"), sample.where("pmod(key, 5) = 0")
-    if min(x.select("label").distinct().count() for x in (fit, held)) < 2:
-        return None
+    sample = rows.withColumn("key", key).orderBy("key", "s", "e").limit(sample_rows)
+    sample = stored(_with_features(_written_anew(sample)).coalesce(2), "candidate-sample")
     vector = VectorAssembler(inputCols=[f"f_{n}" for n in _FEATURES], outputCol="features")
-    trees = Pipeline(stages=[vector, GBTClassifier(labelCol="label", featuresCol="features", maxDepth=4, maxIter=12, seed=7)]).fit(fit)
+    grower = Pipeline(stages=[vector, GBTClassifier(labelCol="label", featuresCol="features", maxDepth=5, maxIter=20, stepSize=0.4, seed=7)])
+    side = F.pmod(F.xxhash64("doc_id", "th"), F.lit(5))
+
+    def mixed(df: DataFrame) -> bool:
+        return df.select("label").distinct().count() == 2
+
+    if not mixed(sample.where(side > 0)):
+        return None
+    # an untouched candidate that looks like the touched ones may well be personal data: it does not count as negative
+    first = vector_to_array(F.col("probability"))[1]
+    sample = stored(grower.fit(sample.where(side > 0)).transform(sample).where(F.col("touched") | (first <= 0.5)).select(sample.columns), "candidate-labels")
+    fit, held = sample.where(side > 0), sample.where(side == 0)
+    if not (mixed(fit) and mixed(held)):
+        return None
+    trees = grower.fit(fit)
 
     def margin(df: DataFrame) -> DataFrame:
+        df = df if "f_length" in df.columns else _with_features(df)
         return trees.transform(df).withColumn("margin", vector_to_array("rawPrediction")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
     line = VectorAssembler(inputCols=["margin"], outputCol="features")
@@ -135,7 +182,7 @@ def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts of the base kinds, the digest of their spans, and all spans, from the result of ``find``."""
+    """Counts of the base kinds, the digest of their spans, all spans and their number, from the result of ``find``."""
     every = [S.of_kind(kind, n) for n, kind in enumerate(KINDS)]
     own = S.joined(f"concat({', '.join(every[:-1])})", KINDS)
-    return found.selectExpr("doc_id", *(f"CAST(size({k}) AS BIGINT) AS n_{k}" for k in BASE), f"sha2({own}, 256) AS base_sha256", f"{S.joined(f'concat({", ".join(every)})', KINDS)} AS spans")
+    return found.selectExpr("doc_id", *(f"CAST(size({k}) AS BIGINT) AS n_{k}" for k in BASE), f"sha2({own}, 256) AS base_sha256", f"{S.joined(f'concat({", ".join(every)})', KINDS)} AS spans", f"CAST({' + '.join(f'size({k})' for k in KINDS)} AS BIGINT) AS n_spans")

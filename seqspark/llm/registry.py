@@ -62,11 +62,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LINE_SQL = f"""
 WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
-totals AS (SELECT source, count(DISTINCT text) AS total FROM d GROUP BY source),
-l AS (SELECT source, text, unnest(list_distinct(list_transform(lines, lambda x: trim(x, ' ')))) AS line FROM d),
-c AS (SELECT source, line, count(DISTINCT text) AS n FROM l WHERE line <> '' GROUP BY source, line),
+totals AS (SELECT source, count(*) AS total FROM d WHERE text IS NOT NULL GROUP BY source),
+l AS (SELECT source, unnest(list_distinct(list_transform(lines, lambda x: trim(x, ' ')))) AS line FROM d),
+c AS (SELECT source, line, count(*) AS n FROM l WHERE line <> '' GROUP BY source, line),
 b AS (SELECT c.source, list(c.line) AS ls FROM c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
-      WHERE c.n >= {line_dedup.MIN_PAGES} AND c.n * 100 > t.total * {line_dedup.RATIO_PERCENT} GROUP BY c.source),
+      WHERE c.n > 1 AND c.n * 100 > t.total * {line_dedup.RATIO_PERCENT} GROUP BY c.source),
 k AS (SELECT d.doc_id, d.text, d.lines, list_filter(d.lines, lambda x: NOT coalesce(list_contains(b.ls, trim(x, ' ')), false)) AS kept
       FROM d LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines) - len(kept), 0) AS BIGINT) AS n_dropped,

@@ -123,8 +123,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
 
 
 def digest(found: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, base: tuple[Rule, ...] = BASE) -> DataFrame:
-    """Counts of the base rules, the digest of their spans, and all spans, from the result of ``scan``."""
+    """Counts of the base rules, the digest of their spans, all spans and their number, from the result of ``scan``."""
     names = tuple(r.name for r in rules)
     every = [S.of_kind(r.name, n) for n, r in enumerate(rules)]
     own = S.joined(f"concat({', '.join(every[: len(base)])})", names)
-    return found.selectExpr("doc_id", *(f"CAST(size({r.name}) AS BIGINT) AS n_{r.name}" for r in base), f"sha2({own}, 256) AS base_sha256", f"{S.joined(f'concat({", ".join(every)})', names)} AS spans")
+    return found.selectExpr("doc_id", *(f"CAST(size({r.name}) AS BIGINT) AS n_{r.name}" for r in base), f"sha2({own}, 256) AS base_sha256", f"{S.joined(f'concat({", ".join(every)})', names)} AS spans", f"CAST({' + '.join(f'size({n})' for n in names)} AS BIGINT) AS n_spans")

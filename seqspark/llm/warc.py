@@ -8,11 +8,14 @@ binary rows below the cluster's shared folder, so its commit protocol covers los
 store will do; ``export_bundles`` writes them as plain ``.warc.zst`` files.
 
 Of records with equal payloads of at least ``min_payload`` bytes, the one with the smallest page_id
-is a response, the others are revisits of it; smaller ones are all responses.
+is a response, the others are revisits of it; smaller ones are all responses.  A record's identifier
+follows from its row (page_id, payload digest, hash of the url, number among equal rows), so a revisit
+names a record that the map lists.
 
 Defined results: a null html is the empty payload; rows that repeat the smallest page_id with the
-same payload are responses too; a null page_id is never the smallest unless all are null; extra
-columns are ignored.
+same payload are responses too (revisits name the one with the smallest hash of its url); a null page_id
+is never the smallest unless all are null, and then all are responses; page_ids may be numbers or text;
+urls may be null or of any length; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -32,28 +35,31 @@ from seqspark.llm.components import stored
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 4 << 20
-#: Digests of repeated payloads up to this number are broadcast (under 100 MB); more are joined by digest.
+#: Digests of repeated payloads, and repeated page_ids, up to this number are broadcast (under 100 MB); more are joined by digest or page_id.
 BROADCAST_ROWS = 1_000_000
 # Fixed values of the seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 
 BUNDLE_SCHEMA = "bundle string, content binary, records array<struct<record_id: string, frame: int, offset: int, length: int>>"
-RECORD_SCHEMA = "record_id string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, bundle string, frame int, offset int"
+RECORD_SCHEMA = "record_id string, page_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary, bundle string, frame int, offset int"
 
 
-def _record_id(page_id: int | None, row: str) -> str:
-    return f"<urn:page:{'null' if page_id is None else page_id}:{row}>"
+def _record_id(page_id: str | None, digest: str, url_key: str, tie: int) -> str:
+    return f"<urn:page:{'-' if page_id is None else '=' + quote(page_id, safe='')}:{digest}:{url_key}:{tie}>"
 
 
-def _page_of(record_id: str) -> int | None:
+def _page_of(record_id: str) -> str | None:
     page = record_id.strip("<>").split(":")[2]
-    return None if page == "null" else int(page)
+    return unquote(page[1:]) if page[0] == "=" else None
+
+
+def payload_digest(payload: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
 def record_bytes(record_id: str, url: str | None, payload: bytes, refers_to: str | None) -> bytes:
     """One WARC record; a revisit has no body, but the full payload's digest and length."""
-    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     kind, body = ("response", payload) if refers_to is None else ("revisit", b"")
     head = [
         "WARC/1.1",
@@ -61,7 +67,7 @@ def record_bytes(record_id: str, url: str | None, payload: bytes, refers_to: str
         f"WARC-Record-ID: {record_id}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         *([] if url is None else [f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~')}"]),
-        f"WARC-Payload-Digest: sha1:{digest}",
+        f"WARC-Payload-Digest: sha1:{payload_digest(payload)}",
         f"X-Payload-Length: {len(payload)}",
         *([] if refers_to is None else ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {refers_to}"]),
         "Content-Type: text/html",
@@ -72,7 +78,11 @@ def record_bytes(record_id: str, url: str | None, payload: bytes, refers_to: str
 
 def parse_record(data: memoryview, at: int) -> tuple[dict[str, str], bytes, int]:
     """Headers, body and end of the record at ``at``."""
-    stop = bytes(data[at : at + 65536]).index(b"\r\n\r\n")
+    size = 4096
+    while (stop := bytes(data[at : at + size]).find(b"\r\n\r\n")) < 0:
+        if at + size >= len(data):
+            raise ValueError("a record's header has no end")
+        size *= 4
     head = dict(line.split(": ", 1) for line in bytes(data[at : at + stop]).decode().split("\r\n")[1:])
     begin = at + stop + 4
     end = begin + int(head["Content-Length"])
@@ -109,7 +119,7 @@ def _bundles(frame_bytes: int, bundle_bytes: int):
         task = TaskContext.get()
         part = task.partitionId() if task else 0
         packer = zstandard.ZstdCompressor(level=3)
-        made, row = 0, 0
+        made = 0
         content, sizes, places, plain = bytearray(), [], [], bytearray()
 
         def end_frame() -> None:
@@ -129,13 +139,12 @@ def _bundles(frame_bytes: int, bundle_bytes: int):
             return out
 
         for batch in batches:
-            for page_id, url, html, first, dup in zip(*(batch.column(i) for i in range(5)), strict=True):
-                key = page_id.as_py()
-                me = _record_id(key, f"{part}-{row}")
-                row += 1
-                original = first.as_py()
-                refers = _record_id(original, "first") if dup.as_py() and original is not None and original != key else None
-                data = record_bytes(me, url.as_py(), html.as_buffer().to_pybytes() if html.is_valid else b"", refers)
+            columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "url_key", "tie", "revisit", "first_id", "first_key")]
+            for html, page_id, url, url_key, tie, revisit, first_id, first_key in zip(batch.column("html"), *columns, strict=True):
+                payload = html.as_buffer().to_pybytes()
+                digest = payload_digest(payload)
+                me = _record_id(page_id, digest, url_key, tie)
+                data = record_bytes(me, url, payload, _record_id(first_id, digest, first_key, 0) if revisit else None)
                 places.append({"record_id": me, "frame": len(sizes), "offset": len(plain), "length": len(data)})
                 plain += data
                 if len(plain) >= frame_bytes:
@@ -153,37 +162,55 @@ _ARROW = pa.schema([("bundle", pa.string()), ("content", pa.binary()), ("records
 
 def write_bundles(pages: DataFrame, min_payload: int = 0, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """Bundles of ``pages(page_id, url, html)``, written to the shared folder: bundle, content, records."""
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    size = F.octet_length("html")
-    again = pages.where(size >= min_payload).groupBy(F.sha1("html").alias("digest")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first").persist()
-    if again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        again = F.broadcast(again)
-    rows = pages.withColumn("digest", F.when(size >= min_payload, F.sha1("html"))).join(again, "digest", "left")
-    return stored(rows.select("page_id", "url", F.col("html").cast("binary").alias("html"), "first", F.col("first").isNotNull().alias("dup")).mapInArrow(_bundles(frame_bytes, bundle_bytes), BUNDLE_SCHEMA), "warc")
+    url_key = F.lower(F.hex(F.xxhash64("url")))
+    pages = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    pages = pages.withColumn("digest", F.sha1("html")).withColumn("url_key", url_key)
+    # equal rows are numbered: rows of a repeated page_id become one for each page_id, url and payload, and as many again
+    repeated = _sized(stored(pages.groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("page_id").alias("again")), "repeated-ids"))
+    same = pages["page_id"].eqNullSafe(repeated["again"])
+    lone = pages.join(repeated, same, "left_anti").withColumn("tie", F.lit(0).cast("long"))
+    several = pages.join(repeated, same, "left_semi").groupBy("page_id", "url", "digest", "url_key").agg(F.min("html").alias("html"), F.count("*").alias("n"))
+    several = several.select("page_id", "url", "html", "digest", "url_key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("tie"))
+    rows = lone.unionByName(several)
+
+    held = F.octet_length("html") >= min_payload
+    least = F.min(F.struct(F.col("page_id").isNull(), "page_id", "url_key"))
+    first = pages.where(held).groupBy("digest").agg(least.alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = _sized(stored(first.select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url_key").alias("first_key")), "repeated-payloads"))
+    rows = rows.withColumn("digest", F.when(held, F.col("digest"))).join(first, "digest", "left")
+    text = lambda c: F.col(c).cast("string").alias(c)
+    revisit = F.col("first_key").isNotNull() & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    rows = rows.select(text("page_id"), "url", F.col("html").cast("binary").alias("html"), "url_key", "tie", revisit.alias("revisit"), text("first_id"), "first_key")
+    return stored(rows.mapInArrow(_bundles(frame_bytes, bundle_bytes), BUNDLE_SCHEMA), "warc")
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("bundle", pa.string()), ("frame", pa.int32()), ("offset", pa.int32())])
+    schema = pa.schema([("record_id", pa.string()), ("page_id", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("bundle", pa.string()), ("frame", pa.int32()), ("offset", pa.int32())])
     for batch in batches:
         for name, content in zip(batch.column("bundle").to_pylist(), batch.column("content"), strict=True):
             content = content.as_buffer().to_pybytes()
             unpack = zstandard.ZstdDecompressor()
             for n, (at, size, plain) in enumerate(frame_offsets(content)):
-                data = memoryview(unpack.decompress(content[at : at + size], max_output_size=plain))
+                data = memoryview(unpack.decompress(content[at : at + size], max_output_size=max(plain, 1)))
                 place, rows = 0, []
                 while place < len(data):
                     head, body, end = parse_record(data, place)
                     refers = head.get("WARC-Refers-To")
                     kind = head["WARC-Type"]
-                    digest = base64.b32encode(hashlib.sha1(body).digest()).decode() if kind == "response" else head["WARC-Payload-Digest"].removeprefix("sha1:")
+                    digest = payload_digest(body) if kind == "response" else head["WARC-Payload-Digest"].removeprefix("sha1:")
                     rows.append((head["WARC-Record-ID"], _page_of(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), kind, refers and _page_of(refers), len(body) if kind == "response" else int(head["X-Payload-Length"]), digest, body, name, n, place))
                     place = end
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def read_bundles(bundles: DataFrame) -> DataFrame:
-    """Every record of the bundles, frame by frame; responses' digests are computed from what was read."""
-    return bundles.select("bundle", "content").mapInArrow(_records, RECORD_SCHEMA)
+def read_bundles(bundles: DataFrame, page_type: str = "long") -> DataFrame:
+    """Every record of the bundles, frame by frame; responses' digests are computed from what was read.  ``page_type`` is the type of the page_ids that were written."""
+    rows = bundles.select("bundle", "content").mapInArrow(_records, RECORD_SCHEMA)
+    return rows.withColumns({c: F.col(c).cast(page_type) for c in ("page_id", "refers_to")})
 
 
 def record_index(bundles: DataFrame) -> DataFrame:

@@ -280,14 +280,19 @@ def test_pipeline_drops_copies_of_similarity_over_080(spark):
 
 def test_line_dedup(spark):
     rows = [(i, f"menu \nbody {i}\n\nfoot", "a") for i in range(20)] + [(50, "menu\nfoot", "a"), (51, None, "a"), (52, "", None), (60, "menu\nx", "b")]
-    rows += [(100 + i, "copied page\nwith lines", "c") for i in range(20)]  # copies are one page
-    docs = spark.createDataFrame(rows, f"{SCHEMA}, source string")
-    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup.drop_boilerplate(docs).collect()}
+    rows += [(100 + i, "copied page\nwith lines", "c") for i in range(20)]
+    rows += [(200, "word " * 200_000 + "\nmenu", "a"), (None, "menu", "a"), (201, "x\nx\ny", None), (202, "x", None)]
+    docs = spark.createDataFrame([(*r, 7, "k") for r in rows], f"{SCHEMA}, source string, n_lines int, host string")
+    got = {_key(r.doc_id): (r.text, r.n_lines, r.n_dropped) for r in line_dedup.drop_boilerplate(docs).collect()}
     assert got[0] == ("body 0\n", 4, 2)
-    assert got[50] == ("", 2, 2)
+    assert got[50] == ("", 2, 2) and got[1 << 62] == ("", 1, 1)
     assert got[51] == (None, 0, 0) and got[52] == ("", 1, 0)
     assert got[60] == ("menu\nx", 2, 0)
-    assert got[100] == ("copied page\nwith lines", 2, 0)
+    assert got[100] == ("", 2, 2)  # pages count each
+    assert got[200] == ("word " * 200_000, 2, 1)
+    assert got[201] == ("y", 3, 2) and got[202] == ("", 1, 1)  # a null host is one
+    got = {_key(r.doc_id): r.text for r in line_dedup.drop_boilerplate(docs, distinct=True).collect()}
+    assert got[0] == "body 0\n" and got[100] == "copied page\nwith lines"  # copies are one page
 
 
 def test_components_follow_long_paths(spark):
