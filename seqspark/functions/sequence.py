@@ -151,22 +151,26 @@ def kmer_alternatives(kmer: Column | str, base: str = "A", other: str = "M") ->
 
 def max_loop(seq: Column | str, limit: int = 10) -> Column:
     """Tandem repeats: for each loop size from 2, the least over its phases of the longest run of one letter in every size-th base; the greatest of these."""
-    def longest(run: Column) -> Column:
-        start = F.struct(F.lit("").alias("last"), F.lit(0).alias("n"), F.lit(0).alias("best"))
-
-        def step(a: Column, b: Column) -> Column:
-            n = F.when(b == a["last"], a["n"] + 1).otherwise(1)
-            return F.struct(b.alias("last"), n.alias("n"), F.greatest(a["best"], n).alias("best"))
-
-        return F.aggregate(run, start, step, lambda a: a["best"])
-
     def strided(plain: Column, size: int, phase: int) -> Column:
-        return F.filter(plain, lambda _, i: i % size == phase)
+        # a base and up to size - 1 more that are skipped
+        return F.regexp_replace(F.substring(plain, F.lit(phase + 1), F.length(plain)), f"(?s)(.).{{0,{size - 1}}}", "$1")
+
+    def longest(text: Column) -> Column:
+        return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit(r"(?s)((.)\2*+)"), 1), lambda run: F.length(run))), F.lit(0))
 
     def sizes(plain: Column) -> Column:
         return F.greatest(*[F.array_min(F.array(*[longest(strided(plain, size, phase)) for phase in range(size)])) for size in range(2, limit)])
 
-    return let(letters(m_to_a(seq)), sizes)
+    return let(m_to_a(seq), sizes)
+
+
+def count_kmers(df: DataFrame, seq: str, k: int) -> DataFrame:
+    """kmer, n over all sequences: each sequence's k-mers are put in order and counted by the places where they change, so a row for each of its different k-mers leaves it."""
+    own = evaluated(df.select(seq), "_kmers", F.array_sort(kmers(seq, k))).where(F.size("_kmers") > 0)
+    changes = F.filter(F.transform("_kmers", lambda x, i: F.when((i == 0) | (x != F.get("_kmers", i - 1)), i)), lambda i: i.isNotNull())
+    own = evaluated(own, "_at", changes)
+    counted = F.transform("_at", lambda at, i: F.struct(F.get("_kmers", at).alias("kmer"), (F.coalesce(F.get("_at", i + 1), F.size("_kmers")) - at).cast("long").alias("n")))
+    return own.select(F.explode(counted).alias("x")).groupBy("x.kmer").agg(F.sum("x.n").alias("n"))
 
 
 _OPS = r"([0-9]+)([MIDNSHP=X])"

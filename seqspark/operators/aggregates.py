@@ -10,6 +10,8 @@ from seqspark.functions.sequence import as_column, cigar_ops, kmers, letters
 from seqspark.operators.segments import runs
 
 NAN = float("nan")
+#: Training steps that are smoothed in one row.
+BLOCK_STEPS = 4096
 
 
 def count_letter(seq: Column | str, letter: str) -> Column:
@@ -202,18 +204,35 @@ def am_ratio_decode(posteriors: DataFrame, thresholds: tuple[float, ...], keys:
 def training_curve(errors: DataFrame, smooth: float) -> DataFrame:
     """step, mean, std over the runs (NaN ignored), and the exponential mean of the means from the first.
 
-    The smoothing walks the ordered means of one curve: as many as training steps.
+    A step without a number starts the smoothing anew.  Steps are smoothed in blocks of ``BLOCK_STEPS``: what a block makes of the value
+    before it is linear, so the values between blocks follow from one row for each block, and each block is then smoothed apart.
     """
     clean = F.when(~F.isnan("error"), F.col("error"))
     steps = errors.groupBy("step").agg(F.avg(clean).alias("mean"), F.stddev_pop(clean).alias("std"))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("out"))
+    none = F.lit(None).cast("double")
 
     def step(a: Column, x: Column) -> Column:
         now = F.coalesce(a["last"] * smooth + (1 - smooth) * x["mean"], x["mean"])
         return F.struct(now.alias("last"), F.array_append(a["out"], now).alias("out"))
 
-    row = steps.agg(F.array_sort(F.collect_list(F.struct("step", "mean", "std"))).alias("x")).select("x", F.aggregate("x", start, step, lambda a: a["out"]).alias("s"))
-    return row.select(F.explode(F.arrays_zip("x", "s")).alias("z")).select("z.x.step", "z.x.mean", "z.x.std", F.col("z.s").alias("smooth"))
+    def smoothed(first: Column) -> Column:
+        return F.aggregate("x", F.struct(first.alias("last"), F.array().cast("array<double>").alias("out")), step, lambda a: a["out"])
+
+    # a block's last value is share * (value before it) + rest; share is 0 behind a step without a number, where rest may be null
+    def linear(a: Column, x: Column) -> Column:
+        cut = x["mean"].isNull()
+        fresh = (a["share"] == 0) & a["rest"].isNull()
+        rest = F.when(cut, none).when(fresh, x["mean"]).otherwise(a["rest"] * smooth + (1 - smooth) * x["mean"])
+        return F.struct(F.when(cut | fresh, 0.0).otherwise(a["share"] * smooth).alias("share"), rest.alias("rest"))
+
+    blocks = steps.groupBy(F.floor(F.col("step") / BLOCK_STEPS).alias("block")).agg(F.array_sort(F.collect_list(F.struct("step", "mean", "std"))).alias("x"))
+    made = blocks.select("block", F.aggregate("x", F.struct(F.lit(1.0).alias("share"), F.lit(0.0).alias("rest")), linear).alias("line"), F.element_at(smoothed(none), -1).alias("alone"))
+    follow = lambda a, b: F.when(a.isNull(), b["alone"]).when(b["line"]["share"] == 0, b["line"]["rest"]).otherwise(b["line"]["share"] * a + b["line"]["rest"])
+    row = made.agg(F.array_sort(F.collect_list(F.struct("block", "line", "alone"))).alias("b"))
+    ends = F.aggregate("b", F.array(none), lambda a, x: F.array_append(a, follow(F.element_at(a, -1), x)))
+    before = row.select(F.explode(F.arrays_zip("b", F.slice(ends, F.lit(1), F.size("b")).alias("first"))).alias("z")).select("z.b.block", "z.first")
+    rows = blocks.join(before, "block").select(F.explode(F.arrays_zip("x", smoothed(F.col("first")).alias("s"))).alias("z"))
+    return rows.select("z.x.step", "z.x.mean", "z.x.std", F.col("z.s").alias("smooth"))
 
 
 def segment_mse(path: DataFrame, model: DataFrame, key: str = "read_id", state: str = "state", value: str = "value") -> DataFrame:

@@ -7,6 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from seqspark.functions.sequence import a_to_m
+from seqspark.operators.ranks import numbered
+
+#: Rows of a source that a single task may put in order.
+GROUP_LIMIT = 1000
 
 
 def modified_posterior(frames: DataFrame, lengths: DataFrame, n: int = 3, a: int = 1, m: int = 5, key: tuple[str, ...] = ("read_id",)) -> DataFrame:
@@ -33,7 +37,12 @@ def argmax_call(frames: DataFrame, keys: tuple[str, ...] = ("read_id", "t"), cls
 
 
 def limit_per_dataset(df: DataFrame, n: int, source: str, order: str) -> DataFrame:
-    """The first ``n`` rows of each source."""
+    """The first ``n`` rows of each source.
+
+    Up to ``GROUP_LIMIT``, each task passes on no more than ``n`` rows of a source (Spark's window group limit); beyond it, rows are numbered over ranges.
+    """
+    if n > GROUP_LIMIT:
+        return numbered(df, order, source).where(F.col("_n") <= n).drop("_n")
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(source).orderBy(order))).where(F.col("_n") <= n).drop("_n")
 
 
@@ -61,7 +70,7 @@ def merge_equal(dfs: list[DataFrame | None], order: str) -> DataFrame:
     rows = reduce(DataFrame.unionByName, parts)
     # a source without rows is the smallest
     least = rows.groupBy("source").agg(F.count("*").alias("c")).agg(F.when(F.count("*") == len(parts), F.min("c")).otherwise(0).alias("least"))
-    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy("source").orderBy(order)))
+    ranked = numbered(rows, order, "source")
     return ranked.where(F.col("_n") <= least.scalar()).drop("_n")
 
 
@@ -78,7 +87,7 @@ def mix_methylation(control: DataFrame, meth: DataFrame, ratio: float, order: st
         meth = meth.withColumn("_move", move / F.col("mad")).withColumn("signal", F.transform("signal", lambda x: x + F.col("_move"))).drop("_move")
     rows = meth.withColumn("is_control", F.lit(False)).unionByName(control.withColumn("is_control", F.lit(True)))
     cap = F.when(F.col("is_control"), F.floor(meth.agg(F.count("*")).scalar() * ratio)).otherwise(F.floor(control.agg(F.count("*")).scalar() / ratio))
-    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy("is_control").orderBy(order)))
+    ranked = numbered(rows, order, "is_control")
     return ranked.where(F.col("_n") <= cap).drop("_n")
 
 

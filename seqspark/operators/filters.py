@@ -37,10 +37,15 @@ def mono_share(seq: Column | str, alphabet: str = "ACGTM") -> Column:
 
 def filter_motif(df: DataFrame, column: str, motif: str, anchor: str = "start", reach: int = 0) -> DataFrame:
     """Rows whose window starts with a motif; ``anchor='center'`` puts the motif's middle at ``reach`` bases from the window's start."""
+    return df.where(F.col(column).rlike(motif_pattern(motif, anchor, reach)))
+
+
+def motif_pattern(motif: str, anchor: str = "start", reach: int = 0) -> str:
+    """The regular expression of ``filter_motif``."""
     if unknown := set(motif) - set(IUPAC):
         raise ValueError(f"not in the IUPAC code: {sorted(unknown)}")
     skip = max(reach - len(motif) // 2, 0) if anchor == "center" else 0
-    return df.where(F.col(column).rlike(f"^.{{{skip}}}{iupac_to_regex(motif)}"))
+    return f"^.{{{skip}}}{iupac_to_regex(motif)}"
 
 
 def chunk_reason(seq: Column | str, chunk_len: int, limits: ChunkLimits = RNA) -> Column:

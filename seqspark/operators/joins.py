@@ -9,17 +9,10 @@ from seqspark.functions.tags import GROUP
 from seqspark.operators.aggregates import site_statistics
 from seqspark.operators.filters import select_kmers
 
-#: Rows of a site table up to which it is broadcast.
-BROADCAST_ROWS = 1_000_000
 #: Bases in a piece of a reference.
 SLICE = 256
 
 
-def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows, as it is otherwise."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def overlap_join(sites: DataFrame, alignments: DataFrame, reference: DataFrame, bin_size: int = 256, contig: str = "contig") -> DataFrame:
     """Pairs of a site (contig, s, e) and a read (contig, r_start, r_end) with r_start < min(e + 1, length) and r_end > max(s - 1, 0).
 

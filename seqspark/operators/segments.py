@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqspark.functions.sequence import as_column, let, partition_bounds
+from seqspark.operators.ranks import numbered
 
 
 def runs(path: DataFrame, key: str = "read_id", order: str = "pos", state: str = "state", *more: Column) -> DataFrame:
@@ -124,38 +125,28 @@ def balance_by_reference(records: DataFrame, reference: DataFrame, size: int, k:
 def batch_number(df: DataFrame, order: str, size: int = 4000) -> DataFrame:
     """``df`` with batch: rows in the order of ``order``, ``size`` to a batch.
 
-    Rows are ranged over partitions first; a partition's rank starts after the counts of those before it, so no task sees all rows.
+    Rows are ranged over partitions first, so no task sees all rows.
     """
-    ranged = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    # one row for each partition
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    ranked = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1).join(F.broadcast(starts), "_part")
-    return ranked.withColumn("batch", F.floor((F.col("_rank") + F.col("_before")) / size)).drop("_part", "_rank", "_before")
+    return numbered(df, order).withColumn("batch", F.floor((F.col("_n") - 1) / size)).drop("_n")
 
 
 def invariant_segments(path: DataFrame, invariant: Callable[[Column], Column], min_len: int = 500, key: str = "read_id", order: str = "pos", state: str = "state") -> DataFrame:
     """key, start, end, first, last: spans between runs of invariant states, at least ``min_len`` points long.
 
     A span runs from one invariant run to the first later one that makes it long enough; ends are exclusive, and the states
-    at both ends are recorded.  The walk is greedy, so each read is one group; only its runs reach Python.
+    at both ends are recorded.  The walk is greedy: a fold over a read's invariant runs.
     """
-    marks = runs(path, key, order, state).withColumn("cut", invariant(F.col(state)))
-    schema = f"{key} {path.schema[key].dataType.simpleString()}, start long, end long, first string, last string"
+    cuts = runs(path, key, order, state).where(invariant(F.col(state)))
+    cuts = cuts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("at"), F.col(state).cast("string").alias("state")))).alias("cuts"))
+    span = "struct<start:bigint,end:bigint,first:string,last:string>"
+    begin = F.struct(F.lit(None).cast("struct<at:bigint,state:string>").alias("open"), F.array().cast(f"array<{span}>").alias("out"))
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("start")
-        out, open_ = [], None
-        for row in group[group["cut"]].itertuples(index=False):
-            here = getattr(row, "start")
-            if open_ is not None and here - open_[0] >= min_len:
-                out.append((group[key].iloc[0], open_[0], here, open_[1], getattr(row, state)))
-                open_ = None
-            if open_ is None:
-                open_ = (here, getattr(row, state))
-        return pd.DataFrame(out, columns=[key, "start", "end", "first", "last"])
-
-    return marks.groupBy(key).applyInPandas(walk, schema)
+    def walk(a: Column, x: Column) -> Column:
+        long_enough = F.coalesce(x["at"] - a["open"]["at"] >= min_len, F.lit(False))
+        made = F.struct(a["open"]["at"].alias("start"), x["at"].alias("end"), a["open"]["state"].alias("first"), x["state"].alias("last")).cast(span)
+        return F.struct(F.when(long_enough | a["open"].isNull(), x).otherwise(a["open"]).alias("open"), F.when(long_enough, F.array_append(a["out"], made)).otherwise(a["out"]).alias("out"))
+
+    return cuts.select(key, F.explode(F.aggregate("cuts", begin, walk, lambda a: a["out"])).alias("x")).select(key, "x.*")
 
 
 def stick(calls: DataFrame, key: str = "read_id", order: str = "chunk_no", seq: str = "seq") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+# fx_frames: 64 values and two more make eleven frames of six classes
 _BOTH = {
     "fx_ref": "SELECT read_id AS contig, replace(seq, 'M', 'A') AS seq, CAST(length(seq) AS BIGINT) AS length FROM fx_reads",
     "fx_signal": "SELECT user_id AS read_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS pos, value FROM events",
@@ -23,11 +24,11 @@ _BOTH = {
 }
 SPARK_VIEWS = _BOTH | {
     "fx_reads": "SELECT doc_id AS read_id, source AS contig, regexp_replace(upper(text), '[^ACGTM]', '') AS seq FROM documents",
-    "fx_frames": "SELECT label AS read_id, vec_id AS chunk_id, CAST(i DIV 6 AS BIGINT) AS t, CAST(i % 6 AS BIGINT) AS cls, CAST(v AS DOUBLE) AS logit FROM embeddings LATERAL VIEW posexplode(embedding) e AS i, v WHERE i < 60",
+    "fx_frames": "SELECT label AS read_id, vec_id AS chunk_id, CAST(i DIV 6 AS BIGINT) AS t, CAST(i % 6 AS BIGINT) AS cls, CAST(v AS DOUBLE) AS logit FROM embeddings LATERAL VIEW posexplode(concat(embedding, array(CAST(-1 AS FLOAT), CAST(-2 AS FLOAT)))) e AS i, v",
 }
 DUCK_VIEWS = _BOTH | {
     "fx_reads": "SELECT doc_id AS read_id, source AS contig, regexp_replace(upper(text), '[^ACGTM]', '', 'g') AS seq FROM documents",
-    "fx_frames": "SELECT read_id, chunk_id, CAST(i // 6 AS BIGINT) AS t, CAST(i % 6 AS BIGINT) AS cls, CAST(v AS DOUBLE) AS logit FROM (SELECT label AS read_id, vec_id AS chunk_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) WHERE i < 60",
+    "fx_frames": "SELECT read_id, chunk_id, CAST(i // 6 AS BIGINT) AS t, CAST(i % 6 AS BIGINT) AS cls, CAST(v AS DOUBLE) AS logit FROM (SELECT label AS read_id, vec_id AS chunk_id, unnest(list_concat(embedding, [-1::FLOAT, -2::FLOAT])) AS v, generate_subscripts(list_concat(embedding, [-1::FLOAT, -2::FLOAT]), 1) - 1 AS i FROM embeddings)",
 }
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -1,21 +1,15 @@
 """Queries that write tables in the field's text formats below the shared folder and read them back."""
 
-from uuid import uuid4
-
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import functions as F
 
 from seqspark.functions.sequence import evaluated
 from seqspark.functions.tags import mm_from_seq, mm_text, parse_mm
 from seqspark.plans.catalog import query
 from seqspark.plans.reads import _DUCK_A, _DUCK_MODEL, _Q, _DUCK_BASES, model, quality
+from seqspark.shared import shared_path as _folder
 from seqspark.sources import text as X
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/seqspark-checkpoint"
-    return f"{base.rstrip('/')}/{name}-{uuid4().hex}"
-
-
 @query("fasta_roundtrip", "fx_ref", sql="SELECT CAST(contig AS VARCHAR) AS contig, seq, length FROM fx_ref WHERE seq <> ''")
 def fasta_roundtrip(ref):
     path = _folder(ref.sparkSession, "fasta")
@@ -89,4 +83,4 @@ def index_io(reads):
 def pileup_tsv(aln):
     path = _folder(aln.sparkSession, "pileup")
     X.write_pileup_tsv(aln.where("modified").select(F.col("r_start").alias("refpos"), "contig", "read_id"), path)
-    return aln.sparkSession.read.csv(path, sep="\t", header=True)
+    return X.read_pileup_tsv(aln.sparkSession, path)

@@ -46,7 +46,7 @@ _DUCK_KMERS = "k AS (SELECT read_id, seq[i : i + 4] AS kmer, i FROM (SELECT read
 
 @query("kmer_counts", "fx_reads", sql=f"WITH {_DUCK_KMERS} SELECT kmer, count(*) AS n FROM k GROUP BY kmer")
 def kmer_counts(reads):
-    return reads.select(F.explode(S.kmers("seq", 5)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    return S.count_kmers(reads, "seq", 5)
 
 
 @query("kmer_codes", "fx_reads", sql=f"""WITH {_DUCK_KMERS}, c AS (SELECT kmer, CAST(count(*) AS BIGINT) AS n FROM k GROUP BY kmer)
@@ -153,32 +153,33 @@ def phred(reads):
     return q.select("read_id", T.phred_string("q").alias("text"), F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-# One of five alignments for each read: clips, insertions, deletions of one and three bases.
+# One of five alignments for each read: clips, insertions, deletions of one and three bases; reads too short for them match as a whole.
 _CIGARS = ("concat(length(seq), 'M')", "concat('5H', length(seq), 'M3H')", "concat('2S', length(seq) - 2, 'M')", "concat('4M1D', length(seq) - 4, 'M')", "concat('3M2I', length(seq) - 9, 'M3D4M')")
-_ALIGNED = f"SELECT read_id, seq, CASE read_id % 5 {' '.join(f'WHEN {i} THEN {c}' for i, c in enumerate(_CIGARS))} END AS cigar, CASE read_id % 5 WHEN 1 THEN 5 ELSE 0 END AS lead, CASE read_id % 5 WHEN 1 THEN 3 ELSE 0 END AS trail FROM fx_reads WHERE length(seq) >= 20"
+_FORM = "CASE WHEN length(seq) < 20 THEN 0 ELSE read_id % 5 END"
+_ALIGNED = f"SELECT read_id, seq, {_FORM} AS k, CASE {_FORM} WHEN 1 THEN 5 ELSE 0 END AS lead, CASE {_FORM} WHEN 1 THEN 3 ELSE 0 END AS trail FROM fx_reads WHERE seq <> ''"
 
 
 def aligned(reads: DataFrame) -> DataFrame:
-    """Reads of at least 20 bases with a CIGAR that follows their id."""
-    return reads.where("length(seq) >= 20").selectExpr("read_id", "contig", "seq", f"CASE read_id % 5 {' '.join(f'WHEN {i} THEN {c}' for i, c in enumerate(_CIGARS))} END AS cigar")
+    """Reads with a CIGAR that follows their id; a read without bases has no alignment."""
+    return reads.where("seq <> ''").selectExpr("read_id", "contig", "seq", f"CASE {_FORM} {' '.join(f'WHEN {i} THEN {c}' for i, c in enumerate(_CIGARS))} END AS cigar")
 
 
 @query("cigar_stats", "fx_reads", sql=f"""SELECT read_id, lead AS leading, trail AS trailing,
-CAST(length(seq) - CASE read_id % 5 WHEN 2 THEN 2 WHEN 4 THEN 2 ELSE 0 END AS INTEGER) AS n_match, CASE read_id % 5 WHEN 3 THEN 1 WHEN 4 THEN 3 ELSE 0 END AS n_delete FROM ({_ALIGNED})""")
+CAST(length(seq) - CASE k WHEN 2 THEN 2 WHEN 4 THEN 2 ELSE 0 END AS INTEGER) AS n_match, CASE k WHEN 3 THEN 1 WHEN 4 THEN 3 ELSE 0 END AS n_delete FROM ({_ALIGNED})""")
 def cigar_stats(reads):
     return aligned(reads).select("read_id", S.hard_clips("cigar").alias("h"), S.count_cigar("cigar", "M").alias("n_match"), S.count_cigar("cigar", "D").alias("n_delete")).select("read_id", "h.*", "n_match", "n_delete")
 
 
-@query("aligned_pairs", "fx_reads", sql=f"""WITH a AS ({_ALIGNED}), q AS (SELECT read_id, length(seq) AS n, unnest(range(0, length(seq))) AS qpos FROM a)
-SELECT read_id, CAST(qpos AS INTEGER) AS qpos, CAST(7 + CASE read_id % 5 WHEN 2 THEN CASE WHEN qpos < 2 THEN NULL ELSE qpos - 2 END WHEN 3 THEN CASE WHEN qpos < 4 THEN qpos ELSE qpos + 1 END
+@query("aligned_pairs", "fx_reads", sql=f"""WITH a AS ({_ALIGNED}), q AS (SELECT read_id, k, length(seq) AS n, unnest(range(0, length(seq))) AS qpos FROM a)
+SELECT read_id, CAST(qpos AS INTEGER) AS qpos, CAST(7 + CASE k WHEN 2 THEN CASE WHEN qpos < 2 THEN NULL ELSE qpos - 2 END WHEN 3 THEN CASE WHEN qpos < 4 THEN qpos ELSE qpos + 1 END
     WHEN 4 THEN CASE WHEN qpos < 3 THEN qpos WHEN qpos < 5 THEN NULL WHEN qpos < n - 4 THEN qpos - 2 ELSE qpos + 1 END ELSE qpos END AS INTEGER) AS refpos FROM q
-UNION ALL SELECT read_id, NULL, 7 + 4 FROM a WHERE read_id % 5 = 3
-UNION ALL SELECT read_id, NULL, CAST(7 + length(seq) - 6 + d AS INTEGER) FROM a, (VALUES (0), (1), (2)) v(d) WHERE read_id % 5 = 4""")
+UNION ALL SELECT read_id, NULL, 7 + 4 FROM a WHERE k = 3
+UNION ALL SELECT read_id, NULL, CAST(7 + length(seq) - 6 + d AS INTEGER) FROM a, (VALUES (0), (1), (2)) v(d) WHERE k = 4""")
 def aligned_pairs(reads):
     return aligned(reads).select("read_id", F.explode(S.aligned_pairs(F.lit(7), "cigar")).alias("p")).select("read_id", "p.qpos", "p.refpos")
 
 
-@query("ref_index", "fx_reads", sql=f"""WITH a AS ({_ALIGNED}), n AS (SELECT read_id, length(seq) + CASE read_id % 5 WHEN 2 THEN -2 WHEN 3 THEN 1 WHEN 4 THEN 1 ELSE 0 END AS n, read_id % 5 AS k FROM a),
+@query("ref_index", "fx_reads", sql=f"""WITH a AS ({_ALIGNED}), n AS (SELECT read_id, length(seq) + CASE k WHEN 2 THEN -2 WHEN 3 THEN 1 WHEN 4 THEN 1 ELSE 0 END AS n, k FROM a),
 r AS (SELECT read_id, n, k, unnest(range(0, n)) AS i FROM n)
 SELECT read_id, CAST(i AS INTEGER) AS ref_no, CAST(CASE k WHEN 2 THEN i + 2 WHEN 3 THEN CASE WHEN i <= 4 THEN i ELSE i - 1 END
   WHEN 4 THEN CASE WHEN i < 3 THEN i WHEN i < n - 7 THEN i + 2 WHEN i = n - 7 THEN n - 7 + 1 WHEN i < n - 4 THEN n - 7 + 2 ELSE i - 1 END ELSE i END AS INTEGER) AS idx,
@@ -187,12 +188,12 @@ def ref_index(reads):
     return aligned(reads).select("read_id", F.posexplode(S.ref_index("cigar")).alias("ref_no", "x")).select("read_id", "ref_no", "x.idx", "x.quality")
 
 
-@query("identity", "fx_reads", sql=f"SELECT read_id, round((length(seq) - CASE read_id % 5 WHEN 2 THEN 2 WHEN 4 THEN 2 ELSE 0 END - read_id % 7) / length(seq), 6) AS score FROM ({_ALIGNED})")
+@query("identity", "fx_reads", sql=f"SELECT read_id, round((length(seq) - CASE k WHEN 2 THEN 2 WHEN 4 THEN 2 ELSE 0 END - read_id % 7) / length(seq), 6) AS score FROM ({_ALIGNED})")
 def identity(reads):
     return aligned(reads).select("read_id", F.round(A.identity_score("cigar", F.col("read_id") % 7, F.length("seq")), 6).alias("score"))
 
 
-@query("identity_weighted", "fx_reads", sql=f"""WITH s AS (SELECT round((length(seq) - CASE read_id % 5 WHEN 2 THEN 2 WHEN 4 THEN 2 ELSE 0 END - read_id % 7) / length(seq), 6) AS score, greatest(length(seq) - 50, 0) AS w FROM ({_ALIGNED}))
+@query("identity_weighted", "fx_reads", sql=f"""WITH s AS (SELECT round((length(seq) - CASE k WHEN 2 THEN 2 WHEN 4 THEN 2 ELSE 0 END - read_id % 7) / length(seq), 6) AS score, greatest(length(seq) - 50, 0) AS w FROM ({_ALIGNED}))
 SELECT round(sum(score * w) / sum(w), 6) AS identity FROM s""")
 def identity_weighted(reads):
     rows = aligned(reads).select(F.round(A.identity_score("cigar", F.col("read_id") % 7, F.length("seq")), 6).alias("score"), F.length("seq").alias("n"))
@@ -267,26 +268,26 @@ def path_from_alignment(reads):
     return own.groupBy("kmer").agg(F.count("*").alias("points"))
 
 
-@query("max_loop", "fx_reads", sql="""WITH s AS (SELECT read_id, replace(seq[1:200], 'M', 'A') AS s FROM fx_reads WHERE length(seq) >= 20), b AS (SELECT read_id, s[k] AS c, k - 1 AS i FROM (SELECT read_id, s, unnest(range(1, length(s) + 1)) AS k FROM s)),
+@query("max_loop", "fx_reads", sql="""WITH s AS (SELECT read_id, replace(seq, 'M', 'A') AS s FROM fx_reads), b AS (SELECT read_id, s[k] AS c, k - 1 AS i FROM (SELECT read_id, s, unnest(range(1, length(s) + 1)) AS k FROM s)),
 l AS (SELECT read_id, z.l, i % z.l AS m, i, c, lag(c) OVER (PARTITION BY read_id, z.l, i % z.l ORDER BY i) AS p FROM b, (SELECT unnest(range(2, 10)) AS l) z),
 g AS (SELECT read_id, l, m, sum(CASE WHEN p = c THEN 0 ELSE 1 END) OVER (PARTITION BY read_id, l, m ORDER BY i) AS g FROM l),
-n AS (SELECT read_id, l, m, g, count(*) AS n FROM g GROUP BY read_id, l, m, g), x AS (SELECT read_id, l, m, max(n) AS n FROM n GROUP BY read_id, l, m), y AS (SELECT read_id, l, min(n) AS n FROM x GROUP BY read_id, l)
-SELECT read_id, CAST(max(n) AS INTEGER) AS loop FROM y GROUP BY read_id""")
+n AS (SELECT read_id, l, m, g, count(*) AS n FROM g GROUP BY read_id, l, m, g), x AS (SELECT read_id, l, m, max(n) AS n FROM n GROUP BY read_id, l, m), y AS (SELECT read_id, l, min(n) AS n FROM x GROUP BY read_id, l),
+z AS (SELECT read_id, max(n) AS n FROM y JOIN (SELECT read_id, length(seq) AS len FROM fx_reads) USING (read_id) WHERE l <= len GROUP BY read_id) SELECT r.read_id, CAST(coalesce(z.n, 0) AS INTEGER) AS loop FROM fx_reads r LEFT JOIN z ON z.read_id = r.read_id""")
 def max_loop(reads):
-    return reads.where("length(seq) >= 20").select("read_id", S.max_loop(F.left("seq", F.lit(200))).alias("loop"))
+    return reads.select("read_id", S.max_loop("seq").alias("loop"))
 
 
-@query("edit_error", "fx_reads", sql="""WITH p AS (SELECT replace(seq[1:40], 'M', 'A') AS p, replace(reverse(seq[1:42]), 'M', 'A') AS r FROM fx_reads WHERE seq <> '') SELECT count(*) AS n, round(avg(levenshtein(p, r) / length(r)), 6) AS error FROM p""")
+@query("edit_error", "fx_reads", sql="""WITH p AS (SELECT replace(seq, 'M', 'A') AS p, replace(reverse(seq), 'M', 'A') AS r FROM fx_reads WHERE seq <> '') SELECT count(*) AS n, round(avg(levenshtein(p, r) / length(r)), 6) AS error FROM p""")
 def edit_error(reads):
-    pairs = reads.where("seq <> ''").select(F.left("seq", F.lit(40)).alias("pred"), F.reverse(F.left("seq", F.lit(42))).alias("ref"))
+    pairs = reads.where("seq <> ''").select(F.col("seq").alias("pred"), F.reverse("seq").alias("ref"))
     return A.edit_error(pairs, reduction={"M": "A"}).select("n", F.round("error", 6).alias("error"))
 
 
-@query("permute_error", "fx_reads", sql="""WITH p AS (SELECT translate(replace(seq[1:30], 'M', 'A'), 'ACGT', 'GTAC') AS p, replace(seq[1:30], 'M', 'A') AS r FROM fx_reads WHERE seq <> ''),
+@query("permute_error", "fx_reads", sql="""WITH p AS (SELECT translate(replace(seq, 'M', 'A'), 'ACGT', 'GTAC') AS p, replace(seq, 'M', 'A') AS r FROM fx_reads WHERE seq <> ''),
 l AS (SELECT * FROM (VALUES ('A'), ('C'), ('G'), ('T')) v(c)), o AS (SELECT a.c || b.c || c.c || d.c AS o FROM l a, l b, l c, l d WHERE a.c <> b.c AND a.c <> c.c AND a.c <> d.c AND b.c <> c.c AND b.c <> d.c AND c.c <> d.c),
 e AS (SELECT o, round(avg(levenshtein(translate(p, 'ACGT', o), r) / length(r)), 6) AS error FROM p, o GROUP BY o) SELECT o AS permutation, error FROM e ORDER BY error, o LIMIT 1""")
 def permute_error(reads):
-    own = F.translate(F.left("seq", F.lit(30)), "M", "A")
+    own = F.translate("seq", "M", "A")
     pairs = reads.where("seq <> ''").select(F.translate(own, "ACGT", "GTAC").alias("pred"), own.alias("ref"))
     return A.permute_error(pairs).select("permutation", F.round("error", 6).alias("error"))
 
@@ -336,7 +337,7 @@ def annotate_mods(ref, sites):
 
 @query("unmatched_reads", "fx_reads")
 def unmatched_reads(reads):
-    own = reads.where("length(seq) >= 20").select("read_id", F.left("seq", F.lit(60)).alias("query"), (F.col("read_id") % 2 == 0).alias("reverse"))
+    own = reads.where("seq <> ''").select("read_id", F.col("seq").alias("query"), (F.col("read_id") % 2 == 0).alias("reverse"))
     call = F.when(F.col("reverse"), S.reverse_complement("query")).otherwise(F.col("query"))
     own = own.withColumn("basecall", F.when(F.col("read_id") % 5 == 0, F.reverse(call)).otherwise(call))
     return P.exclude_unmatched_reads(own, "query", "basecall", "reverse").select("read_id", "distance")

@@ -144,10 +144,11 @@ def path_difference(path):
     return _rounded(A.path_difference(path, other), "different")
 
 
-@query("training_curve", "fx_errors", sql="""WITH RECURSIVE e AS (SELECT step, avg(error) AS m, stddev_pop(error) AS s FROM fx_errors WHERE step <= 300 GROUP BY step), r AS (SELECT step, m, s, m AS smooth FROM e WHERE step = 1 UNION ALL SELECT e.step, e.m, e.s, r.smooth * 0.9 + 0.1::DOUBLE * e.m FROM r JOIN e ON e.step = r.step + 1)
-SELECT step, round(m, 6) AS mean, round(s, 6) AS std, round(smooth, 6) AS smooth FROM r""")
+@query("training_curve", "fx_errors", sql="""WITH e AS (SELECT step, avg(error) AS m, stddev_pop(error) AS s FROM fx_errors GROUP BY step),
+r AS (SELECT a.step, sum(b.m * pow(0.9::DOUBLE, a.step - b.step) * CASE WHEN b.step = 1 THEN 1 ELSE 0.1::DOUBLE END) AS smooth FROM e a JOIN e b ON b.step BETWEEN a.step - 400 AND a.step GROUP BY a.step)
+SELECT e.step, round(m, 6) AS mean, round(s, 6) AS std, round(smooth, 6) AS smooth FROM e JOIN r ON r.step = e.step""")
 def training_curve(errors):
-    return _rounded(A.training_curve(errors.where("step <= 300"), 0.9), "mean", "std", "smooth")
+    return _rounded(A.training_curve(errors, 0.9), "mean", "std", "smooth")
 
 
 @query("roc_sweep", "fx_scores", sql="WITH t AS (SELECT unnest(range(0, 501)) / 500.0::DOUBLE AS threshold) SELECT threshold, round(count(*) FILTER (positive AND score > threshold) / count(*) FILTER (positive), 6) AS tp, round(count(*) FILTER (NOT positive AND score > threshold) / count(*) FILTER (NOT positive), 6) AS fp FROM t, fx_scores GROUP BY threshold")

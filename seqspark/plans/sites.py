@@ -83,10 +83,10 @@ def g2t_join(exons, sites):
     return J.genome_to_transcript(own, ranges).select("s", "e", "tx_id", "tx_s", "tx_e")
 
 
-@query("t2g_join", "fx_exons", sql=f"WITH {_DUCK_MAP} SELECT tx_id, tx_pos, g_pos FROM m WHERE tx_pos % 25 = 7")
+@query("t2g_join", "fx_exons", sql=f"WITH {_DUCK_MAP} SELECT tx_id, tx_pos, g_pos FROM m")
 def t2g_join(exons):
     places = exons.groupBy("tx_id").agg(F.sum(F.col("g_end") - F.col("g_start") + 1).alias("n"))
-    places = places.select("tx_id", F.explode(F.expr("filter(sequence(0L, n), i -> i % 25 = 7)")).alias("tx_pos"))
+    places = places.select("tx_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))).alias("tx_pos"))
     return J.transcript_to_genome(places, G.tx_ranges(exons)).select("tx_id", "tx_pos", "g_pos")
 
 

@@ -1,18 +1,12 @@
 """Queries that read a table as a stream, run it to its end, and return what the sink holds."""
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqspark.plans.catalog import QUERIES, SQL, duck
+from seqspark.shared import shared_path as _folder
 from seqspark.streaming import reads as R
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/seqspark-checkpoint"
-    return f"{base.rstrip('/')}/{name}-{uuid4().hex}"
-
-
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
     # a pattern stands for a file as well as for a folder of files

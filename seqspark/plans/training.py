@@ -77,13 +77,13 @@ def stitch(frames):
     return G.stitch(_calls(frames), "stick").select("read_id", "chunk_no", "offset")
 
 
-@query("stitch_glue", "fx_reads", sql="""WITH c AS (SELECT read_id, n AS chunk_no, seq[n * 180 + 1 : n * 180 + 200] AS s FROM (SELECT read_id, seq, unnest(range(0, length(seq) // 180)) AS n FROM fx_reads WHERE length(seq) BETWEEN 400 AND 3000)),
+@query("stitch_glue", "fx_reads", sql="""WITH c AS (SELECT read_id, n AS chunk_no, seq[n * 180 + 1 : n * 180 + 200] AS s FROM (SELECT read_id, seq, unnest(range(0, (length(seq) + 179) // 180)) AS n FROM fx_reads)),
 p AS (SELECT *, lag(s) OVER (PARTITION BY read_id ORDER BY chunk_no) AS b FROM c), o AS (SELECT read_id, chunk_no, s, b, unnest(range(1, CAST(least(floor(length(b) * 0.1), length(s)) AS BIGINT))) AS i FROM p WHERE b IS NOT NULL),
 g AS (SELECT read_id, chunk_no, i, sum(CASE WHEN b[length(b) - i + j] = s[j] THEN 2 ELSE 0 END) - i AS gain FROM (SELECT *, unnest(range(1, i + 1)) AS j FROM o) GROUP BY read_id, chunk_no, i),
 x AS (SELECT read_id, chunk_no, arg_max(i, {'g': gain, 'i': -i}) AS i, max(gain) AS gain FROM g GROUP BY read_id, chunk_no), st AS (SELECT p.read_id, p.chunk_no, CASE WHEN p.b IS NULL THEN 0 ELSE length(p.b) - CASE WHEN x.gain > 0 THEN x.i ELSE 0 END END AS step FROM p LEFT JOIN x ON x.read_id = p.read_id AND x.chunk_no = p.chunk_no)
 SELECT read_id, chunk_no, CAST(sum(step) OVER (PARTITION BY read_id ORDER BY chunk_no) AS BIGINT) AS "offset" FROM st""")
 def stitch_glue(reads):
-    rows = reads.where("length(seq) BETWEEN 400 AND 3000").select("read_id", "seq", F.explode(S.span(F.floor(F.length("seq") / 180))).alias("n"))
+    rows = reads.select("read_id", "seq", F.explode(S.span(F.ceil(F.length("seq") / 180))).alias("n"))
     calls = rows.select("read_id", F.col("n").cast("long").alias("chunk_no"), F.substring("seq", F.col("n") * 180 + 1, F.lit(200)).alias("seq"))
     return G.stitch(calls, "glue").select("read_id", "chunk_no", "offset")
 
@@ -96,7 +96,7 @@ def consensus(frames):
     return A.consensus(calls)
 
 
-@query("training_filter", "fx_chunks", "fx_reads", sql="""WITH c AS (SELECT c.chunk_id, CASE WHEN c.chunk_id % 11 = 0 THEN true ELSE false END AS bad, c.chunk_id % 13 = 0 AS zero, left(r.seq, 12) AS seq FROM fx_chunks c JOIN fx_reads r ON r.read_id = c.chunk_id)
+@query("training_filter", "fx_chunks", "fx_reads", sql="""WITH c AS (SELECT c.chunk_id, CASE WHEN c.chunk_id % 11 = 0 THEN true ELSE false END AS bad, c.chunk_id % 13 = 0 AS zero, r.seq FROM fx_chunks c JOIN fx_reads r ON r.read_id = c.chunk_id)
 SELECT count(*) AS n, count(*) FILTER (bad) AS n_nan, count(*) FILTER (zero AND NOT bad) AS n_zero, count(*) FILTER (regexp_matches(seq, '[^ACGT]')) AS n_letters FROM c""")
 def training_filter(chunks, reads):
     return P.check_batch(_marked(chunks, reads), "signal", "seq")
@@ -104,10 +104,10 @@ def training_filter(chunks, reads):
 
 def _marked(chunks: DataFrame, reads: DataFrame) -> DataFrame:
     signal = F.when(F.col("chunk_id") % 11 == 0, F.array(F.lit(float("nan")).cast("float"))).when(F.col("chunk_id") % 13 == 0, F.transform("signal", lambda x: F.lit(0).cast("float"))).otherwise(F.col("signal"))
-    return chunks.withColumn("signal", signal).join(reads.select(F.col("read_id").alias("chunk_id"), F.left("seq", F.lit(12)).alias("seq")), "chunk_id")
+    return chunks.withColumn("signal", signal).join(reads.select(F.col("read_id").alias("chunk_id"), "seq"), "chunk_id")
 
 
-@query("training_kept", "fx_chunks", "fx_reads", sql="SELECT c.chunk_id FROM fx_chunks c JOIN fx_reads r ON r.read_id = c.chunk_id WHERE c.chunk_id % 11 <> 0 AND NOT regexp_matches(left(r.seq, 12), '[^ACGT]')")
+@query("training_kept", "fx_chunks", "fx_reads", sql="SELECT c.chunk_id FROM fx_chunks c JOIN fx_reads r ON r.read_id = c.chunk_id WHERE c.chunk_id % 11 <> 0 AND NOT regexp_matches(r.seq, '[^ACGT]')")
 def training_kept(chunks, reads):
     return P.filter_training(_marked(chunks, reads), "signal", "seq").select("chunk_id")
 
@@ -128,14 +128,14 @@ def merge_equal(chunks):
     return D.merge_equal([even.select("chunk_id"), None, odd.select("chunk_id")], "chunk_id")
 
 
-@query("mix_methylation", "fx_chunks", "fx_reads", sql="""WITH r AS (SELECT c.chunk_id, c.read_id % 2 = 0 AS is_control, left(s.seq, 20) AS seq, c.signal[1]::DOUBLE AS x, c.duration AS d FROM fx_chunks c JOIN fx_reads s ON s.read_id = c.chunk_id),
+@query("mix_methylation", "fx_chunks", "fx_reads", sql="""WITH r AS (SELECT c.chunk_id, c.read_id % 2 = 0 AS is_control, s.seq, list_transform(c.signal, lambda v: v::DOUBLE) AS v, c.duration AS d FROM fx_chunks c JOIN fx_reads s ON s.read_id = c.chunk_id),
 n AS (SELECT count(*) FILTER (is_control) AS nc, count(*) FILTER (NOT is_control) AS nm, avg(d) FILTER (is_control) - avg(d) FILTER (NOT is_control) AS move FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY is_control ORDER BY chunk_id) AS i FROM r)
-SELECT chunk_id, is_control, CASE WHEN is_control THEN seq ELSE replace(seq, 'A', 'M') END AS seq, round(CASE WHEN is_control THEN x ELSE x + move / 2 END, 4) AS x FROM k, n WHERE i <= CASE WHEN is_control THEN floor(nm * 0.5) ELSE floor(nc / 0.5) END""")
+SELECT chunk_id, is_control, CASE WHEN is_control THEN seq ELSE replace(seq, 'A', 'M') END AS seq, round(list_sum(list_transform(v, lambda y: CASE WHEN is_control THEN y ELSE y + move / 2 END)), 3) AS x FROM k, n WHERE i <= CASE WHEN is_control THEN floor(nm * 0.5) ELSE floor(nc / 0.5) END""")
 def mix_methylation(chunks, reads):
-    rows = chunks.select("chunk_id", "read_id", F.transform("signal", lambda x: x.cast("double")).alias("signal"), F.col("duration").alias("med"), F.lit(2.0).alias("mad")).join(reads.select(F.col("read_id").alias("chunk_id"), F.left("seq", F.lit(20)).alias("seq")), "chunk_id")
+    rows = chunks.select("chunk_id", "read_id", F.transform("signal", lambda x: x.cast("double")).alias("signal"), F.col("duration").alias("med"), F.lit(2.0).alias("mad")).join(reads.select(F.col("read_id").alias("chunk_id"), "seq"), "chunk_id")
     control, meth = (df.drop("read_id") for df in _halves(rows))
     out = D.mix_methylation(control, meth, 0.5, "chunk_id", shift="med")
-    return out.select("chunk_id", "is_control", "seq", F.round(F.col("signal")[0], 4).alias("x"))
+    return out.select("chunk_id", "is_control", "seq", F.round(F.aggregate("signal", F.lit(0.0), lambda a, x: a + x), 3).alias("x"))
 
 
 @query("meta_semi", "fx_chunks", "fx_reads", sql="SELECT m.read_id, n.n AS n_chunks FROM (SELECT DISTINCT read_id FROM fx_chunks WHERE read_id % 3 > 0) m JOIN (SELECT read_id, count(*) AS n FROM fx_chunks GROUP BY read_id) n ON n.read_id = m.read_id")

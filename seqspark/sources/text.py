@@ -17,12 +17,20 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """name, sequence, quality of four-line records; an error where the third line is no ``+``.  A file is read by one task: split large files first."""
-    files = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace(F.col("value"), r"[\r\n]+$", ""), r"\r?\n").alias("lines"))
-    records = F.transform(F.filter(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / 4).cast("int")), lambda i: i * 4 + 3 < F.size("lines")), lambda i: F.slice("lines", i * 4 + 1, F.lit(4)))
-    rows = files.select(F.explode(records).alias("r"))
-    checked = F.when(F.col("r")[2].startswith("+"), F.col("r")[1]).otherwise(F.raise_error(F.concat(F.lit("no + line in record "), F.col("r")[0])).cast("string"))
-    return rows.select(F.regexp_replace(F.col("r")[0], "^@", "").alias("name"), checked.alias("sequence"), F.col("r")[3].alias("quality"))
+    """name, sequence, quality of four-line records; an error where the third line is no ``+``; a last record of fewer lines is left out.
+
+    Files are split as Spark splits text.  A line's number in its file is its place in its block and the lines of the blocks before;
+    both come from the same scan, so places agree.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    rows = lines.join(blocks, ["file", "block"]).select("file", "value", (F.col("before") + F.col("id") - F.col("first")).alias("no"))
+    parts = [F.max(F.when(F.col("no") % 4 == i, F.regexp_replace("value", "\r$", ""))).alias(c) for i, c in enumerate(("name", "sequence", "plus", "quality"))]
+    rows = rows.groupBy("file", F.floor(F.col("no") / 4).alias("record")).agg(*parts).where("quality IS NOT NULL")
+    checked = F.when(F.col("plus").startswith("+"), F.col("sequence")).otherwise(F.raise_error(F.concat(F.lit("no + line in record "), F.col("name"))).cast("string"))
+    return rows.select(F.regexp_replace("name", "^@", "").alias("name"), checked.alias("sequence"), "quality")
 
 
 def write_fastq(df: DataFrame, path: str, name: str = "name", sequence: str = "sequence", quality: str = "quality") -> None:
@@ -157,6 +165,21 @@ def read_read_index(spark: SparkSession, path: str, replace_prefix: tuple[str, s
 
 
 def write_pileup_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """contig first; sorted by refpos inside each contig; a header in each part."""
+    """contig first; sorted by contig and refpos over all parts; one header, at the start of the first part.
+
+    Rows are ranged by their places, so a large contig is many tasks.
+    """
     columns = ["contig", *(c for c in df.columns if c != "contig")]
-    df.select(columns).repartition("contig").sortWithinPartitions("contig", "refpos").write.mode(mode).csv(path, sep="\t", header=True)
+    line = F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
+    rows = df.select(F.lit(1).alias("part"), F.col("contig").cast("string").alias("contig"), F.col("refpos").cast("long").alias("refpos"), line.alias("line"))
+    head = df.sparkSession.createDataFrame([(0, None, None, "\t".join(columns))], "part int, contig string, refpos long, line string")
+    head.unionByName(rows).orderBy("part", "contig", "refpos").select("line").write.mode(mode).text(path)
+
+
+def read_pileup_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_pileup_tsv`` wrote, as text columns; the header may stand in any part."""
+    rows = spark.read.text(path)
+    head = rows.where(F.col("value").startswith("contig\t")).first()
+    columns = head["value"].split("\t") if head else ["contig", "refpos"]
+    f = F.split("value", "\t", -1)
+    return rows.where(F.col("value") != "\t".join(columns)).select(*(F.get(f, F.lit(i)).alias(c) for i, c in enumerate(columns)))

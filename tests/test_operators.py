@@ -1,5 +1,7 @@
 """Operators on small tables: edge cases that the comparison with SQL does not reach."""
 
+import random
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -137,3 +139,113 @@ def test_readers_reject_bad_files(spark, tmp_path):
     (tmp_path / "c.gff3").write_text("#x\nChr1\ts\tmRNA\t1\t9\t.\t+\t.\tID=transcript:t1;Parent=gene:g1\nChr1\ts\texon\t1\t4\t.\t+\t.\tParent=transcript:t1\nChr1\ts\texon\t6\t9\t.\t+\t.\tParent=transcript:t1\n")
     assert rows(X.read_annotation(spark, str(tmp_path / "c.gff3"), "gff3").select("tx_id", "gene_id", "chr", "start", "ord")) == [("t1", "g1", "1", 1, 1), ("t1", "g1", "1", 6, 2)]
     assert X.program_headers(["@HD", "@PG\tID:a", "@PG\tID:me\told"], "me", "VN:2") == ["@HD", "@PG\tID:a", "@PG\tID:me\tVN:2\tPP:a"]
+
+
+def test_segments_and_records_against_plain_walks(spark):
+    rng = random.Random(5)
+    paths = {r: "".join(rng.choice("CCA") * rng.randrange(1, 5) for _ in range(rng.randrange(1, 60))) for r in range(30)}
+    path = spark.createDataFrame([(r, i, s) for r, p in paths.items() for i, s in enumerate(p)], "read_id int, pos int, state string")
+    want = set()
+    for r, p in paths.items():
+        open_ = None
+        for i, s in enumerate(p):
+            if s == "C" and (i == 0 or p[i - 1] != "C"):
+                if open_ is not None and i - open_ >= 7:
+                    want.add((r, open_, i))
+                    open_ = None
+                open_ = i if open_ is None else open_
+    assert {(r.read_id, r.start, r.end) for r in G.invariant_segments(path, lambda s: s == "C", 7).collect()} == want and len(want) > 20
+
+    bases, want = [], []
+    for read in range(20):
+        at, own = 0, []
+        for i in range(rng.randrange(1, 60)):
+            n = rng.randrange(1, 9)
+            own.append((read, i, rng.choice("ACGT"), at, at + n, None if rng.random() < 0.2 else 100 + i))
+            at += n
+        bases += own
+        i = 0
+        while i < len(own):
+            ends = [j for j in range(i + 1, len(own)) if own[j][4] - own[i][3] <= 30 and own[j][5] is not None]
+            if own[i][5] is not None and ends and len(own[i : ends[-1] + 1]) >= 3:
+                want.append((read, i, ends[-1], "".join(b[2] for b in own[i : ends[-1] + 1])))
+                i = ends[-1] + 1
+            else:
+                i += 5
+    got = G.distill(spark.createDataFrame(bases, "read_id int, base_index long, base string, sig_start long, sig_end long, ref_pos long"), 30)
+    assert sorted((r.read_id, r.first_base, r.last_base, r.seq) for r in got.collect()) == sorted(want)
+
+
+def test_unmatched_reads_go(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(80):
+        seq = "".join(rng.choice("ACGT") for _ in range(60))
+        call = seq[:20] + "A" + seq[20:40] + seq[41:] if i % 4 else "".join(rng.choice("ACGT") for _ in range(60))
+        reverse = i % 2 == 0
+        rows.append((i, seq, call.translate(str.maketrans("ACGT", "TGCA"))[::-1] if reverse else call, reverse))
+    df = spark.createDataFrame(rows, "read_id int, query string, basecall string, reverse boolean")
+    # the two kinds lie far apart, so the Gaussians' means are those of the kinds
+    distance = {i: _levenshtein(seq, call.translate(str.maketrans("ACGT", "TGCA"))[::-1] if reverse else call) for i, seq, call, reverse in rows}
+    near, far = ([d for i, d in distance.items() if bool(i % 4) == kind] for kind in (True, False))
+    mark = sum(near) / len(near) + 0.95 * (sum(far) / len(far) - sum(near) / len(near))
+    got = {r.read_id: r.distance for r in P.exclude_unmatched_reads(df, "query", "basecall", "reverse").collect()}
+    assert got == {i: d for i, d in distance.items() if d < mark} and set(got) >= {i for i in range(80) if i % 4} and len(got) < 80
+
+
+def _levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_numbers_over_ranges(spark):
+    from seqspark.operators.ranks import numbered
+
+    df = spark.createDataFrame([(i * 7 % 3001, None if i % 3 == 0 else i % 3) for i in range(3001)], "k int, s int")
+    got = {(r.s, r.k): r._n for r in numbered(df, "k", "s").collect()}
+    for s in (None, 1, 2):
+        assert [got[x] for x in sorted((x for x in got if x[0] == s), key=lambda x: x[1])] == list(range(1, sum(x[0] == s for x in got) + 1))
+    assert D.limit_per_dataset(df, 1001, "s", "k").groupBy("s").count().where("count <> LEAST(1001, count)").count() == 0
+
+
+def test_smoothing_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(A, "BLOCK_STEPS", 5)
+    rng = random.Random(7)
+    means = [float("nan") if i in (0, 12, 15, 19, 20) else rng.random() for i in range(37)]
+    want, last = [], None
+    for m in means:
+        last = None if m != m else m if last is None else 0.8 * last + 0.2 * m
+        want.append(last)
+    got = A.training_curve(spark.createDataFrame(list(enumerate(means)), "step int, error double"), 0.8).orderBy("step").collect()
+    assert [r.smooth for r in got] == [None if w is None else pytest.approx(w) for w in want]
+
+
+def test_pileup_files_have_one_header(spark, tmp_path):
+    df = spark.createDataFrame([(f"c{i % 3}", 9000 - i, None if i == 5 else "x") for i in range(200)], "contig string, refpos long, read_id string")
+    X.write_pileup_tsv(df.select("refpos", "contig", "read_id"), str(tmp_path / "p"))
+    lines = [x for f in sorted((tmp_path / "p").glob("part-*")) for x in f.read_text().splitlines()]
+    assert lines[0] == "contig\trefpos\tread_id" and lines.count(lines[0]) == 1
+    assert [tuple(x.split("\t")[:2]) for x in lines[1:]] == [(c, str(p)) for c, p in sorted((r.contig, r.refpos) for r in df.collect())]
+    assert X.read_pileup_tsv(spark, str(tmp_path / "p")).count() == 200
+
+
+def test_fastq_is_read_in_splits(spark, tmp_path):
+    records = [(f"r{i}", "ACGT" * (i % 40 + 1), "@I+I" * (i % 40 + 1)) for i in range(500)]
+    (tmp_path / "a.fastq").write_text("".join(f"@{n}\n{s}\n+\n{q}\n" for n, s, q in records) + "@cut\nAC\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        assert rows(X.read_fastq(spark, str(tmp_path / "a.fastq"))) == sorted(records)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_pileup_of_other_modifications(spark):
+    aln = spark.createDataFrame([("f", 0, "c", 0, "4M", "ACGC", "C+m?,1;", [9])], "read_id string, flag int, contig string, pos int, cigar string, seq string, mm string, ml array<int>")
+    ref = spark.createDataFrame([("c", "ACGC", 4)], "contig string, seq string, length long")
+    assert {(r.refpos, r.likelihood) for r in L.meth_pileup(aln, ref, "5mC").collect()} == {(1, 0), (3, 9)}
+    assert len(L.CODES) == 10
