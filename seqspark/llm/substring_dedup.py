@@ -31,7 +31,7 @@ from seqspark.llm.components import stored
 WINDOW = 13
 SEED = 4
 #: Anchors of one seed that one task takes in order; seeds with more are split by window.
-GROUP = 4096
+GROUP = 20_000
 #: One text in ``HOT_SAMPLE`` is asked for frequent seeds, and at most ``HOT_SEEDS`` of them are broadcast; this decides the way, not the result.
 HOT_SAMPLE, HOT_SEEDS = 64, 100_000
 _PLACE = (1 << 24) - 1
