@@ -20,6 +20,7 @@ import xxhash
 BLOCK_BYTES = 1 << 19
 #: Bytes of a range up to which its hash is folded in arrays.
 SHORT = 64
+STEP = 1 << 14
 _U = np.uint64
 
 
@@ -31,6 +32,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of the bytes of each range [start, end).
 
@@ -55,14 +59,28 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 def sequence_hashes(items: np.ndarray, length: int) -> np.ndarray:
     """64-bit hash of items[i : i + length] for each i that has so many: hashes of 1, 2, 4, .. items, each mixed from two halves, and two of them that cover the range."""
-    items, size = mix(np.asarray(items, dtype=np.uint64) + _U(0x9E3779B97F4A7C15)), 1
+    items = np.asarray(items)
     if len(items) < length:
-        return items[:0]
+        return np.zeros(0, dtype=np.uint64)
+    # in steps whose arrays fit a processor's cache
+    out = np.empty(len(items) - length + 1, dtype=np.uint64)
+    for lo in range(0, len(out), STEP):
+        out[lo : lo + STEP] = _sequence_hashes(items[lo : lo + STEP + length - 1], length)
+    return out
+
+
+def _sequence_hashes(items: np.ndarray, length: int) -> np.ndarray:
+    size = 1
+    items = _BYTES[items] if items.dtype == np.uint8 else mix(items + _U(0x9E3779B97F4A7C15))
     while 2 * size <= length:
-        items = mix(items[:-size] * _U(5) + items[size:])
+        pair = items[:-size] * _U(0xD1342543DE82EF95)
+        pair += items[size:]
+        pair ^= pair >> _U(31)
+        pair *= _U(0xD6E8FEB86659FD93)
+        items = pair
         size *= 2
     rest = length - size
-    return mix(items[: len(items) - rest] * _U(7) + items[rest:] + _U(length))
+    return mix(items[: len(items) - rest] * _U(0xD1342543DE82EF95) + items[rest:] + _U(length))
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:

@@ -7,7 +7,8 @@ besides.  Equal strings hold equal winnowing anchors: in each window of PASSAGE
 their anchor at the same place; a longer string has the anchor of its first PASSAGE bytes.  Only suffixes
 at anchors are sorted.
 
-1. The hashes of the seeds at anchors (``key``) are counted; anchors with a key of their own go.  The others
+1. The hashes of the seeds at anchors (``key``) are counted; anchors with a key of their own go (frequent seeds
+   are told by a sample beforehand and stay out of this join).  The others
    go to a table, with the range of windows that each serves and the hash of all bytes of these windows (``ctx``).
 2. Anchors are counted by (key, ctx), and contexts by key.  Contexts that occur twice are repeated as a whole.
 3. For keys with several contexts, one text of each context supplies its bytes.  In a task, the suffixes
@@ -39,6 +40,8 @@ LENGTH = 400
 PASSAGE = 256
 SEED = 50
 GROUP = 4096
+#: One text in ``HOT_SAMPLE`` is asked for frequent seeds, those seen ``HOT_SEEN`` times there; at most ``HOT_SEEDS`` of them are broadcast.  This decides the way, not the result.
+HOT_SAMPLE, HOT_SEEN, HOT_SEEDS = 64, 16, 100_000
 #: Words of 8 bytes that the quicksort looks at before the tries take over.
 SHALLOW_WORDS = 4
 CHUNK_BYTES = 4 << 20
@@ -346,7 +349,13 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, group:
     docs = docs.select(F.xxhash64("doc_id", "text").alias("rk"), F.xxhash64("text").alias("th"), "doc_id", "text")
     # the anchors are found twice, which costs less than to keep or to deal out those with a key of their own
     keys = docs.select("text").mapInArrow(_keys(length, passage, seed), "key long").groupBy("key").agg(F.count("*").alias("all")).where(F.col("all") > 1).select("key")
-    anchors = stored(docs.select("rk", "th", "text").mapInArrow(_anchors(length, passage, seed), _ANCHORS).join(keys, "key"), "anchors")
+    # seeds that are frequent in a sample of the texts are known to be shared: their anchors are not dealt by seed
+    seen = docs.where(F.pmod("rk", F.lit(HOT_SAMPLE)) == 0).select("text").mapInArrow(_keys(length, passage, seed), "key long").groupBy("key").agg(F.count("*").alias("n")).where(f"n >= {HOT_SEEN}")
+    hot = stored(seen.orderBy(F.desc("n"), "key").limit(HOT_SEEDS).select("key", F.lit(True).alias("hot")), "hot-seeds")
+    anchors = docs.select("rk", "th", "text").mapInArrow(_anchors(length, passage, seed), _ANCHORS).join(F.broadcast(hot), "key", "left")
+    dealt = F.when(F.col("hot"), F.col("rk")).otherwise(F.col("key"))
+    anchors = anchors.withColumn("dealt", dealt).join(keys.select(F.col("key").alias("dealt"), F.lit(True).alias("shared")), "dealt", "left").where("hot OR shared")
+    anchors = stored(anchors.select("rk", "th", "key", "ctx", "at", "first", "last", "stop"), "anchors")
     classes = anchors.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("rk", "th", "at", "first", "last", "stop")).alias("rep"))
     several = anchors.groupBy("key").agg(F.count_distinct("ctx").alias("m"))
     classes = stored(classes.join(several, "key").where("n > 1 OR m > 1").select("key", "ctx", "n", "m", "rep.*"), "contexts")
