@@ -20,8 +20,6 @@ length are searched whole; extra columns are ignored by ``find_leaks`` and kept
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from seqspark.llm.components import stored
@@ -38,41 +36,53 @@ BROADCAST_WINDOWS = 100_000
 UNITS = "km|cm|mm|m|kg|mg|g|lb|lbs|oz|ml|l|mi|miles|hours|hour|minutes|minute|seconds|days|years|dollars|euros|cents|percent|mph|kmh|°c|°f|%|$|€|£"
 
 
-_DROPPED = '.,;:!?"()*#&|\\t\\n\\r'
+_NUMBERS = "regexp_replace({text}, '[0-9]++(?:[.,:/][0-9]++)*+', '⟨num⟩')"
 
 
+# each pattern begins with what is rare in a text, so that most places fail at their first character
 def _template(text: str, initial: bool = False) -> str:
     """SQL of the template words of a text column; with ``initial``, any capitalised word is a name."""
-    units = UNITS.replace("$", "\\\\$")
-    numbered = f"regexp_replace({text}, '[0-9]++(?:[.,:/][0-9]++)*+', '⟨num⟩')"
+    numbered = _NUMBERS.format(text=text)
     if initial:  # units first, for they may be capitals
-        return _plain(_named(_united(numbered, units), "(?<![\\\\p{L}\\\\p{N}])"))
-    return _plain(_united(_named(numbered, "(?<=[\\\\p{Ll},;:]\\\\x20)"), units))
-
-
-def _named(text: str, before: str) -> str:
-    return f"regexp_replace({text}, '{before}\\\\p{{Lu}}[\\\\p{{L}}\\'’-]*+', '⟨name⟩')"
+        return _plain(f"regexp_replace({_united(numbered)}, '\\\\p{{Lu}}(?<![\\\\p{{L}}\\\\p{{N}}].)[\\\\p{{L}}\\'’-]*+', '⟨name⟩')")
+    return _plain(_united(f"regexp_replace({numbered}, '\\\\x20(?=\\\\p{{Lu}})(?<=[\\\\p{{Ll}},;:]\\\\x20)\\\\p{{Lu}}[\\\\p{{L}}\\'’-]*+', ' ⟨name⟩')"))
 
 
-def _united(text: str, units: str) -> str:
-    return f"regexp_replace({text}, '(?i)(⟨num⟩\\\\x20?)(?:{units})(?![\\\\p{{L}}\\\\p{{N}}])', '$1⟨unit⟩')"
+def _united(text: str) -> str:
+    units = UNITS.replace("$", "\\\\$")
+    return f"regexp_replace({text}, '(⟨num⟩\\\\x20?)(?i:{units})(?![\\\\p{{L}}\\\\p{{N}}])', '$1⟨unit⟩')"
 
 
 def _plain(text: str) -> str:
-    """SQL of the words of a text without case and punctuation; a number stays one word, as in the template."""
-    joined = f"regexp_replace({text}, '(?<=[0-9])[.,:/](?=[0-9])', '')"
-    return f"split(trim(translate(lower({joined}), '{_DROPPED}', '{' ' * 16}')), ' +')"
+    """SQL of the words of a text without case and punctuation."""
+    return f"split(trim(regexp_replace(lower({text}), '[.,;:!?\"()*#&|\\\\t\\\\n\\\\r\\\\x20]+', ' ')), ' ')"
 
 
-#: The forms of a text's words: template, template with sentence-initial names, plain.
-FORMS = {"templ": _template("text"), "names": _template("text", True), "vals": _plain("text")}
+#: The forms of a text's words: template, template with sentence-initial names, plain (a number stays one word, as in the template).
+FORMS = {"templ": _template("text"), "names": _template("text", True), "vals": _plain("regexp_replace(text, '[.,:/](?=[0-9])(?<=[0-9].)', '')")}
 _PLAIN = 2
 
 
 def _windows(words: str, form: int, length: int = WINDOW) -> str:
-    """SQL of the hash of each window of ``length`` words; the words are evaluated and hashed once."""
-    each = f"transform(sequence(0, size(a) - {length}), i -> xxhash64(slice(a, i + 1, {length}), {form}))"
-    return f"transform(array(transform({words}, w -> xxhash64(w))), a -> IF(size(a) < {length}, CAST(array() AS ARRAY<BIGINT>), {each}))[0]"
+    """SQL of the hash of each window of ``length`` words; the words are evaluated and hashed once.
+
+    Hashes of a full window come from those of its halves, and so on; ``zip_with`` fills with nulls behind the end, which is cut off.
+    """
+    hashed = f"array(transform({words}, w -> xxhash64(w)))"
+    if length < WINDOW:
+        each = f"transform(sequence(0, size(a) - {length}), i -> xxhash64(slice(a, i + 1, {length}), {form}))"
+        return f"transform({hashed}, a -> IF(size(a) < {length}, CAST(array() AS ARRAY<BIGINT>), {each}))[0]"
+    join = lambda a, step, more="": f"zip_with({a}, slice({a}, {step + 1}, greatest(size({a}), 1)), (x, y) -> xxhash64(x, y{more}))"
+    last = f"transform(array({join('b', 2)}), c -> {join('c', 4, f', {form}')})[0]"
+    each = f"slice(transform(array({join('a', 1)}), b -> {last})[0], 1, greatest(size(a) - {WINDOW - 1}, 0))"
+    return f"transform({hashed}, a -> {each})[0]"
+
+
+def _window(words: str, form: int) -> str:
+    """SQL of the hash of one window, the same as ``_windows`` gives."""
+    pairs = [f"xxhash64(a[{i}], a[{i + 1}])" for i in range(0, WINDOW, 2)]
+    full = f"xxhash64(xxhash64({pairs[0]}, {pairs[1]}), xxhash64({pairs[2]}, {pairs[3]}), {form})"
+    return f"transform(array(transform({words}, w -> xxhash64(w))), a -> IF(size(a) = {WINDOW}, {full}, xxhash64(a, {form})))[0]"
 
 
 def _sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -87,7 +97,7 @@ def _marks(benchmark: DataFrame) -> DataFrame:
     items = items.selectExpr("item_id", "vals", *(f"IF(size({t}) = size(vals), {t}, vals) AS {t}" for t in ("templ", "names")), f"least(size(vals), {WINDOW}) AS len")
     rows = items.selectExpr("*", "explode(sequence(0, size(vals) - len)) AS q")
     rows = rows.selectExpr("item_id", "q", "len", "size(vals) - len + 1 AS item_windows", *(f"slice({c}, q + 1, len) AS {c}" for c in FORMS))
-    forms = ", ".join(f"named_struct('form', {k}, 'item_templ', {t}, 'h', xxhash64(transform({w}, w -> xxhash64(w)), {k}))" for k, (t, w) in enumerate((("templ", "templ"), ("names", "names"), ("templ", "vals"))))
+    forms = ", ".join(f"named_struct('form', {k}, 'item_templ', {t}, 'h', {_window(w, k)})" for k, (t, w) in enumerate((("templ", "templ"), ("names", "names"), ("templ", "vals"))))
     rows = rows.selectExpr("item_id", "q", "len", "item_windows", "vals AS item_vals", f"inline(array({forms}))")
     # templates without slots are met in plain words, as are those with too many
     slots = "size(filter(item_templ, w -> w LIKE '%⟨%'))"
@@ -108,11 +118,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, share): the items found in each document, with their consistent windows and the share of the item's windows."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     marks = stored(_marks(benchmark), "marks")
-    lengths = [(form, WINDOW) for form in range(len(FORMS))] + [(_PLAIN, r.len) for r in marks.where(f"len < {WINDOW}").select("len").distinct().collect()]
+    short = [r.len for r in marks.where(f"len < {WINDOW}").select("len").distinct().collect()]
     sought = _sized(marks.select("h").distinct())
-    words = list(FORMS.values())
-    found = [docs.selectExpr("doc_id", "xxhash64(text) AS th", f"posexplode({_windows(words[form], form, n)}) AS (p, h)").join(sought, "h") for form, n in lengths]
-    hits = stored(reduce(DataFrame.unionByName, found).dropDuplicates(["doc_id", "th", "p", "h"]), "hits")
+    # one pass over the texts: the windows of each form, and those of the lengths of short items
+    windows = [_windows(sql, form) for form, sql in enumerate(FORMS.values())] + [_windows(FORMS["vals"], _PLAIN, n) for n in sorted(short)]
+    found = docs.selectExpr("doc_id", "xxhash64(text) AS th", f"explode(array({', '.join(windows)})) AS hs").selectExpr("doc_id", "th", "posexplode(hs) AS (p, h)").join(sought, "h")
+    hits = stored(found.dropDuplicates(["doc_id", "th", "p", "h"]), "hits")
     # the values at the slots, for documents with a hit alone
     own = _sized(hits.select(F.col("doc_id").alias("own_id"), F.col("th").alias("own_th")).distinct())
     held = docs.withColumn("th", F.xxhash64("text"))
