@@ -298,26 +298,29 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, sample_rows: int = S
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"), F.max("toxic").alias("toxic"))
     known = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample_rows)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").groupBy("doc_id", "h", "label", "toxic").agg(F.min("text").alias("text"))
-    # at most ``sample_rows`` rows stand in this window
+    # at most ``sample_rows`` rows stand in this window, whose order is also that of all sums below
     rows = rows.withColumn("bytes", F.sum(F.octet_length("text")).over(Window.orderBy("h", "doc_id"))).where(F.col("bytes") <= sample_bytes)
     rows = rows.mapInArrow(_bucket_batches, "h long, label int, toxic int, buckets array<int>, shares array<float>, words array<int>").toArrow()
-    # the order of rows decides the order of sums
-    rows = rows.sort_by("h")
     rejects = _train_toxic(rows)
     rows = rows.filter(pc.is_valid(rows.column("label")))
     label = rows.column("label").to_numpy().astype(float)
     if not len(label) or label.min() == label.max():
         return None if rejects is None else QualityModel(np.zeros(BUCKETS, np.float32), 0.0, 30.0, rejects)
     held = _held_out(rows.column("h").to_numpy(), label)
-    lengths = np.diff(rows.column("buckets").combine_chunks().offsets.to_numpy())
-    bucket = rows.column("buckets").combine_chunks().flatten().to_numpy()
-    share = rows.column("shares").combine_chunks().flatten().to_numpy()
-    row = np.repeat(np.arange(len(label), dtype=np.int32), lengths)
+    # features row after row, as small as they go: the driver holds nothing larger
+    lengths = np.concatenate([np.diff(c.offsets.to_numpy()) for c in rows.column("buckets").chunks])
+    bucket = np.concatenate([c.flatten().to_numpy().astype(np.uint16) for c in rows.column("buckets").chunks])
+    share = np.concatenate([c.flatten().to_numpy() for c in rows.column("shares").chunks])
     del rows
-    steps = [slice(lo, lo + (1 << 19)) for lo in range(0, len(row), 1 << 19)]
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    step = max(1, int(len(label) * (1 << 18) / max(1, len(bucket))))
+    steps = [(np.arange(lo, min(lo + step, len(label))), slice(bounds[lo], bounds[min(lo + step, len(label))])) for lo in range(0, len(label), step)]
 
     def scores(w: np.ndarray) -> np.ndarray:
-        return sum((np.bincount(row[p], w[bucket[p]] * share[p], minlength=len(label)) for p in steps), np.zeros(len(label)))
+        out = np.zeros(len(label))
+        for own, p in steps:
+            out[own] = np.bincount(np.repeat(np.arange(len(own)), lengths[own]), w[bucket[p]] * share[p], minlength=len(own))
+        return out
 
     weight = np.where(label == 1, 0.5 / max(1, (label[~held] == 1).sum()), 0.5 / max(1, (label[~held] == 0).sum()))
     weight[held] = 0
@@ -325,7 +328,7 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, sample_rows: int = S
     for _ in range(epochs):
         logit = scores(w) + bias
         error = weight * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - label)
-        gradient = sum((np.bincount(bucket[p], error[row[p]] * share[p], minlength=BUCKETS) for p in steps), np.zeros(BUCKETS))
+        gradient = sum((np.bincount(bucket[p], np.repeat(error[own], lengths[own]) * share[p], minlength=BUCKETS) for own, p in steps), np.zeros(BUCKETS))
         grad2 += gradient**2
         w -= (rate * 0.05 * gradient / np.sqrt(grad2)).astype(np.float32)
         bias -= 0.5 * error.sum()
