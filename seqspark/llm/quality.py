@@ -2,7 +2,7 @@
 
 The classifier is a logistic regression over hashed word unigrams and bigrams and hashed
 character n-grams.  It is trained on a bounded sample of the labelled rows
-(``sample_rows``), calibrated on a held-out part of that sample, and applied to all rows
+(``sample_rows``) in one task, calibrated on a held-out part of that sample, and applied to all rows
 in Arrow batches against a fixed threshold.  A second one rejects toxic texts: a sparse
 logistic regression over which words a text holds (a few words make a text toxic, however
 long it is), trained on the column ``toxic`` of the same sample and calibrated with both
@@ -287,20 +287,8 @@ def _train_toxic(rows: pa.Table, epochs: int = 200, sparse: float = 0.002) -> To
     return ToxicModel(w.astype(np.float32), a / scale, b - a * centre / scale)
 
 
-def train_quality_model(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, epochs: int = 60, rate: float = 20.0) -> QualityModel | None:
-    """Fit on at most ``sample_rows`` labelled rows, those with the smallest hash of doc_id, while their texts hold at most ``sample_bytes``.
-
-    Every fifth row of a class is held out and calibrates the logit (Platt's scaling).
-    Null without rows of both classes.
-    """
-    toxic = F.col("toxic").cast("int") if "toxic" in labels.columns else F.lit(None).cast("int")
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("label"), toxic.alias("toxic")).where("doc_id IS NOT NULL AND (label IS NOT NULL OR toxic IS NOT NULL)")
-    known = known.groupBy("doc_id").agg(F.max("label").alias("label"), F.max("toxic").alias("toxic"))
-    known = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").groupBy("doc_id", "h", "label", "toxic").agg(F.min("text").alias("text"))
-    # at most ``sample_rows`` rows stand in this window, whose order is also that of all sums below
-    rows = rows.withColumn("bytes", F.sum(F.octet_length("text")).over(Window.orderBy("h", "doc_id"))).where(F.col("bytes") <= sample_bytes)
-    rows = rows.mapInArrow(_bucket_batches, "h long, label int, toxic int, buckets array<int>, shares array<float>, words array<int>").toArrow()
+def _fit(rows: pa.Table, epochs: int, rate: float) -> QualityModel | None:
+    """The models of a table of ``_bucket_batches``."""
     rejects = _train_toxic(rows)
     rows = rows.filter(pc.is_valid(rows.column("label")))
     label = rows.column("label").to_numpy().astype(float)
@@ -345,6 +333,41 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, sample_rows: int = S
     return QualityModel(w.astype(np.float32), a / scale, b - a * centre / scale, rejects)
 
 
+def _fit_batches(epochs: int, rate: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(_bucket_batches(batches))
+        model = _fit(pa.Table.from_batches(found), epochs, rate) if found else None
+        if model is not None:
+            toxic = model.toxic
+            row = {"weights": model.weights.tobytes(), "slope": model.slope, "intercept": model.intercept}
+            row |= {"toxic": toxic and toxic.weights.tobytes(), "toxic_slope": toxic and toxic.slope, "toxic_intercept": toxic and toxic.intercept}
+            yield pa.RecordBatch.from_pylist([row], schema=pa.schema([(k, pa.binary() if k in ("weights", "toxic") else pa.float64()) for k in row]))
+
+    return run
+
+
+def train_quality_model(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, epochs: int = 60, rate: float = 20.0) -> QualityModel | None:
+    """Fit on at most ``sample_rows`` labelled rows, those with the smallest hash of doc_id, while their texts hold at most ``sample_bytes``.
+
+    Every fifth row of a class is held out and calibrates the logit (Platt's scaling).
+    Null without rows of both classes.
+    """
+    toxic = F.col("toxic").cast("int") if "toxic" in labels.columns else F.lit(None).cast("int")
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("label"), toxic.alias("toxic")).where("doc_id IS NOT NULL AND (label IS NOT NULL OR toxic IS NOT NULL)")
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"), F.max("toxic").alias("toxic"))
+    known = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample_rows)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").groupBy("doc_id", "h", "label", "toxic").agg(F.min("text").alias("text"))
+    # at most ``sample_rows`` rows stand in this window, whose order is also that of all sums below
+    rows = rows.withColumn("bytes", F.sum(F.octet_length("text")).over(Window.orderBy("h", "doc_id"))).where(F.col("bytes") <= sample_bytes)
+    # the window leaves the sample in one task, which fits; the driver receives weights alone
+    fitted = rows.select("h", "label", "toxic", "text").mapInArrow(_fit_batches(epochs, rate), "weights binary, slope double, intercept double, toxic binary, toxic_slope double, toxic_intercept double").collect()
+    if not fitted:
+        return None
+    own = fitted[0]
+    rejects = None if own.toxic is None else ToxicModel(np.frombuffer(own.toxic, np.float32), own.toxic_slope, own.toxic_intercept)
+    return QualityModel(np.frombuffer(own.weights, np.float32), own.slope, own.intercept, rejects)
+
+
 def score_quality(docs: DataFrame, model: QualityModel | None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, the five base statistics, base_failed, quality_score and kept of every row of ``docs``; other columns are ignored."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
