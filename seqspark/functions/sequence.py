@@ -164,15 +164,6 @@ def max_loop(seq: Column | str, limit: int = 10) -> Column:
     return let(m_to_a(seq), sizes)
 
 
-def count_kmers(df: DataFrame, seq: str, k: int) -> DataFrame:
-    """kmer, n over all sequences: each sequence's k-mers are put in order and counted by the places where they change, so a row for each of its different k-mers leaves it."""
-    own = evaluated(df.select(seq), "_kmers", F.array_sort(kmers(seq, k))).where(F.size("_kmers") > 0)
-    changes = F.filter(F.transform("_kmers", lambda x, i: F.when((i == 0) | (x != F.get("_kmers", i - 1)), i)), lambda i: i.isNotNull())
-    own = evaluated(own, "_at", changes)
-    counted = F.transform("_at", lambda at, i: F.struct(F.get("_kmers", at).alias("kmer"), (F.coalesce(F.get("_at", i + 1), F.size("_kmers")) - at).cast("long").alias("n")))
-    return own.select(F.explode(counted).alias("x")).groupBy("x.kmer").agg(F.sum("x.n").alias("n"))
-
-
 _OPS = r"([0-9]+)([MIDNSHP=X])"
 
 
