@@ -362,7 +362,8 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, group:
 
     texts = docs.select("rk", "th", "doc_id", F.col("text").cast("binary").alias("text"))
     asked = classes.where("m > 1").groupBy("rk", "th").agg(F.collect_list(F.struct("key", "ctx", "m", "at", "first", "last", "stop")).alias("items"))
-    contexts = texts.join(asked, ["rk", "th"]).select("text", "items").mapInArrow(_contexts, "key long, ctx long, m long, left int, windows int, bytes binary")
+    # doc_id goes along unread: both joins of the texts ask for the same columns, so Spark deals the texts out once
+    contexts = texts.join(asked, ["rk", "th"]).select("text", "items", "doc_id").mapInArrow(_contexts, "key long, ctx long, m long, left int, windows int, bytes binary")
     lists = ", ".join(f"{c} array<int>" for c in _RANGES)
     found = contexts.where(F.col("m") <= group).repartition("key").sortWithinPartitions("key", "ctx").mapInArrow(_sorted_groups(length, passage, seed), f"key long, ctx long, {lists}")
     if classes.where(F.col("m") > group).limit(1).count():
