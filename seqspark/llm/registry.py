@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqspark.llm import decontaminate, line_dedup, packing, pii, quality, secret_scan, simhash, substring_dedup, suffix_dedup, warc
+from seqspark.llm import decontaminate, line_dedup, minhash, packing, periodic, pii, quality, secret_scan, simhash, substring_dedup, suffix_dedup, token_alignment, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.corpus_alignment(_table(spark, sf_dir, "documents"))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.find_runs(periodic.planted(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 LINE_SQL = f"""
 WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
 totals AS (SELECT source, count(*) AS total FROM d WHERE text IS NOT NULL GROUP BY source),
@@ -99,7 +112,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(kept) AS BIG
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_secrets, op3_pii, op4_warc, op5_decontaminate, op6_packing, op7_simhash, op8_line_dedup, op9_quality, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_secrets, op3_pii, op4_warc, op5_decontaminate, op6_packing, op7_simhash, op8_line_dedup, op9_quality, op10_substring_dedup, op11_token_alignment, op12_periodic, op13_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
