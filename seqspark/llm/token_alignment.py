@@ -7,7 +7,7 @@ of both sides end cut a text into groups.
 
 A text is cut where one space stands between two characters that are no white space.  The
 byte-level tokenizer starts a token at each such space, and no piece of the other vocabulary goes on over
-one (this is checked when it is loaded), so units can be encoded once for each distinct one of a batch,
+one (this is checked when it is loaded), so each distinct unit is encoded once while it is remembered,
 and a text of any length goes through in pieces of bounded size.
 
 Over the corpus, the number of documents that hold an id pair linked is counted.  Pairs that make up
@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,8 @@ A_PATH, B_PATH = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe
 #: Characters of a batch, and of a piece of a longer text.
 BATCH = 1 << 18
 FREQUENT = 100_000
+#: Letters of distinct units whose tokens are kept.
+CACHE = 1 << 23
 CUT = re.compile(r"(?<=\S) (?=\S)")
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
@@ -46,8 +49,21 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Units(dict):
+    """A number for each distinct unit; those asked for the first time wait in ``new``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        code = self[unit] = len(self)
+        self.new.append(unit)
+        return code
+
+
 class Tokenizers:
-    """Both tokenizers, with the bytes of each of their tokens."""
+    """Both tokenizers, the bytes of each of their tokens, and the tokens of units met lately."""
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
@@ -63,37 +79,62 @@ class Tokenizers:
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("a piece goes on over a space: texts cannot be cut at spaces")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-        """Ids of both sides for each unit, and whether both give the unit back."""
-        a = [x.ids for x in self.a.encode_batch([" " + u for u in units], add_special_tokens=False)]
-        b = self.b.encode(units, num_threads=1)
-        good = np.zeros(len(units), dtype=bool)
-        for i, unit in enumerate(units):
-            raw = b" " + unit.encode()
-            good[i] = b"".join(map(self.a_bytes.__getitem__, a[i])) == raw == b"".join(map(self.b_bytes.__getitem__, b[i]))
-        return a, b, good
-
-
-def _flat(ids: list[list[int]], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of a sequence of units, and how many each unit has."""
-    size = np.fromiter(map(len, ids), np.int64, len(ids))
-    every, first = np.fromiter((x for own in ids for x in own), np.int64, int(size.sum())), np.cumsum(size) - size
-    n = size[codes]
-    return every[np.repeat(first[codes] - np.cumsum(n) + n, n) + np.arange(n.sum())], n
-
-
-def _decimal(ids: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of each id in decimal, followed by a byte, one after the other; and the length of each."""
-    wide = len(str(int(ids.max())))
-    digits = np.full((len(ids), wide + 1), 0, dtype=np.uint8)
-    power = 10 ** np.arange(wide)
-    length = np.maximum((ids[:, None] >= power).sum(axis=1), 1)
+        self.widths = [np.fromiter(map(len, table), np.int64, len(table)) for table in (self.a_bytes, self.b_bytes)]
+        self.decimal = decimals(max(map(len, (self.a_bytes, self.b_bytes))))
+        self.forget()
+
+    def forget(self) -> None:
+        self.units, self.letters = Units(), 0
+        self.good = np.zeros(0, dtype=bool)
+        self.ids, self.sizes = ([np.zeros(0, np.int64)] * 2 for _ in range(2))
+
+    def codes(self, units: Iterator[str]) -> np.ndarray:
+        """The numbers of a sequence of units; new ones are encoded.  Older numbers hold no longer once ``CACHE`` letters are kept."""
+        if self.letters > CACHE:
+            self.forget()
+        codes = np.fromiter(map(self.units.__getitem__, units), np.int64)
+        new, self.units.new = self.units.new, []
+        if new:
+            a = [x.ids for x in self.a.encode_batch([" " + u for u in new], add_special_tokens=False)]
+            b = self.b.encode(new, num_threads=1)
+            ids = [np.fromiter(chain.from_iterable(own), np.int64) for own in (a, b)]
+            sizes = [np.fromiter(map(len, own), np.int64, len(own)) for own in (a, b)]
+            self.good = np.concatenate([self.good, self._given_back(new, ids, sizes)])
+            self.ids = [np.concatenate(x) for x in zip(self.ids, ids, strict=True)]
+            self.sizes = [np.concatenate(x) for x in zip(self.sizes, sizes, strict=True)]
+            self.letters += sum(map(len, new))
+        return codes
+
+    def _given_back(self, units: list[str], ids: list[np.ndarray], sizes: list[np.ndarray]) -> np.ndarray:
+        """Whether both sides' bytes are a space and the unit: all units at once, or one by one if something differs."""
+        raw = [b" " + u.encode() for u in units]
+        stops = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        every = b"".join(raw)
+        good = np.ones(len(units), dtype=bool)
+        for side, table in enumerate((self.a_bytes, self.b_bytes)):
+            stop = np.cumsum(sizes[side])
+            if np.array_equal(np.concatenate([[0], np.cumsum(self.widths[side][ids[side]])])[stop], stops) and b"".join(map(table.__getitem__, ids[side].tolist())) == every:
+                continue
+            own = np.split(ids[side], stop[:-1])
+            good &= np.fromiter((b"".join(map(table.__getitem__, x.tolist())) == r for x, r in zip(own, raw, strict=True)), bool, len(raw))
+        return good
+
+    def tokens(self, side: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a sequence of units, and how many each unit has."""
+        size = self.sizes[side]
+        first, n = np.cumsum(size) - size, size[codes]
+        return self.ids[side][np.repeat(first[codes] - np.cumsum(n) + n, n) + np.arange(n.sum())], n
+
+
+def decimals(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The digits of 0 to n - 1, one number a row, with a free byte behind; and their lengths."""
+    ids, wide = np.arange(n), len(str(max(n - 1, 0)))
+    length = np.maximum((ids[:, None] >= 10 ** np.arange(wide)).sum(axis=1), 1)
+    digits = np.zeros((n, wide + 1), dtype=np.uint8)
     for at in range(wide):
         own = at < length
-        digits[own, at] = ids[own] // power[length[own] - 1 - at] % 10 + 48
-    digits[np.arange(len(ids)), length] = after
-    return digits[np.arange(wide + 1) <= length[:, None]], length + 1
+        digits[own, at] = ids[own] // 10 ** (length[own] - 1 - at) % 10 + 48
+    return digits, length
 
 
 def pieces_of(text: str, limit: int) -> Iterator[str]:
@@ -107,18 +148,16 @@ def pieces_of(text: str, limit: int) -> Iterator[str]:
 
 def align(pieces: list[str], tokenizers: Tokenizers) -> tuple[np.ndarray, pd.DataFrame, list[bytes], pd.DataFrame]:
     """Of each piece: whether it can be aligned, its counts, its groups as text, and its links (piece, a, b), each as often as it occurs."""
-    order: dict[str, int] = {}
     units = [CUT.split(p) if p else [] for p in pieces]
-    codes = np.fromiter((order.setdefault(u, len(order)) for own in units for u in own), np.int64)
+    codes = tokenizers.codes(chain.from_iterable(units))
     owner = np.repeat(np.arange(len(pieces)), [len(own) for own in units])
-    a_ids, b_ids, good = tokenizers.encode(list(order))
     fine = np.ones(len(pieces), dtype=bool)
-    fine[owner[~good[codes]]] = False
+    fine[owner[~tokenizers.good[codes]]] = False
     codes, owner = codes[fine[owner]], owner[fine[owner]]
     sides = []
-    for ids, table in ((a_ids, tokenizers.a_bytes), (b_ids, tokenizers.b_bytes)):
-        own, n = _flat(ids, codes)
-        end = np.cumsum(np.fromiter(map(len, table), np.int64, len(table))[own])
+    for side in range(2):
+        own, n = tokenizers.tokens(side, codes)
+        end = np.cumsum(tokenizers.widths[side][own])
         sides.append(pd.DataFrame({"at": np.concatenate([[0], end[:-1]]) if len(end) else end, "end": end, "piece": np.repeat(owner, n), "id": own}))
     a, b = sides
     # the start of each token of a side falls into one token of the other
@@ -135,8 +174,11 @@ def align(pieces: list[str], tokenizers: Tokenizers) -> tuple[np.ndarray, pd.Dat
         # a group's tokens: those of A, then those of B
         place = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
         after = np.concatenate([np.where(np.append(np.diff(g), 1) > 0, ord(sign), ord(",")) for g, sign in zip(group, "|;", strict=True)]).astype(np.uint8)
-        raw, length = _decimal(np.concatenate([a["id"], b["id"]])[place], after[place])
-        size = np.bincount(np.concatenate([a["piece"], b["piece"]])[place], weights=length, minlength=len(pieces)).astype(np.int64)
+        ids = np.concatenate([a["id"], b["id"]])[place]
+        digits, length = tokenizers.decimal[0][ids], tokenizers.decimal[1][ids]
+        digits[np.arange(len(ids)), length] = after[place]
+        raw = digits[np.arange(digits.shape[1]) <= length[:, None]]
+        size = np.bincount(np.concatenate([a["piece"], b["piece"]])[place], weights=length + 1, minlength=len(pieces)).astype(np.int64)
         raw, stop = raw.tobytes(), np.cumsum(size).tolist()
         texts = [raw[s - n : s - 1] if n else b"" for s, n in zip(stop, size.tolist(), strict=True)]
     return fine, counts, texts, links
