@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -54,9 +56,20 @@ def m_to_a(seq: Column | str) -> Column:
     return F.translate(as_column(seq), "M", "A")
 
 
+#: Letters in a slice that k-mers are cut from: ``substring`` counts from the start of its text, so texts are short.
+KMER_SLICE = 64
+
+
+def slices(seq: Column | str, size: int, after: int = 0) -> Column:
+    """The sequence in pieces of ``size`` letters, each followed by up to ``after`` (at most ``size``) letters of the next; linear in its length."""
+    pieces = F.regexp_extract_all(as_column(seq), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return let(pieces, lambda p: F.transform(p, lambda own, i: F.concat(own, F.coalesce(F.left(F.get(p, i + 1), F.lit(after)), F.lit("")))))
+
+
 def kmers(seq: Column | str, k: int) -> Column:
-    """All k-mers in order; none of a shorter sequence."""
-    return let(as_column(seq), lambda s: F.transform(span(F.length(s) - (k - 1), 1), lambda i: F.substring(s, i, F.lit(k))))
+    """All k-mers in order; none of a shorter sequence.  The time is linear in the sequence."""
+    own = lambda s: F.transform(span(F.length(s) - (k - 1), 1), lambda i: F.substring(s, i, F.lit(k)))
+    return F.flatten(F.transform(slices(seq, max(KMER_SLICE, k), k - 1), own))
 
 
 def kmer_index(kmer: Column | str, alphabet: str = ALPHABET) -> Column:
@@ -66,9 +79,14 @@ def kmer_index(kmer: Column | str, alphabet: str = ALPHABET) -> Column:
 
 
 def kmer_codes(seq: Column | str, k: int, alphabet: str = ALPHABET) -> Column:
-    """Codes of all k-mers; -1 alone for a sequence shorter than k."""
-    seq = as_column(seq)
-    return F.when(F.length(seq) < k, F.array(F.lit(-1).cast("long"))).otherwise(F.transform(kmers(seq, k), lambda x: kmer_index(x, alphabet)))
+    """Codes of all k-mers; -1 alone for a sequence shorter than k; null where a letter is outside the alphabet.
+
+    Each letter becomes a digit once, and a code is a sum over k digits, so no k-mer is written out.
+    """
+    digits = F.transform(letters(seq), lambda b: (F.nullif(F.instr(F.lit(alphabet), b), F.lit(0)) - 1).cast("long"))
+    code = lambda d, i: reduce(add, (F.get(d, i + j) * len(alphabet) ** (k - 1 - j) for j in range(k)))
+    rolled = let(digits, lambda d: F.transform(span(F.size(d) - (k - 1)), lambda i: code(d, i)))
+    return F.when(F.length(as_column(seq)) < k, F.array(F.lit(-1).cast("long"))).otherwise(rolled)
 
 
 def index_kmer(code: Column | str, k: int, alphabet: str = ALPHABET) -> Column:

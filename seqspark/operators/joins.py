@@ -8,6 +8,7 @@ from seqspark.functions.sequence import kmer_alternatives, letters
 from seqspark.functions.tags import GROUP
 from seqspark.operators.aggregates import site_statistics
 from seqspark.operators.filters import select_kmers
+from seqspark.operators.ranks import numbered
 
 #: Bases in a piece of a reference.
 SLICE = 256
@@ -89,11 +90,19 @@ def genome_to_transcript(sites: DataFrame, ranges: DataFrame, chrom: str = "chr"
     return at(at(sites, "s", "s"), "e", "e").where("_s_tx = _e_tx").withColumnRenamed("_s_tx", "tx_id").drop("_e_tx")
 
 
-def transcript_to_genome(df: DataFrame, ranges: DataFrame, pos: str = "tx_pos") -> DataFrame:
-    """``df(tx_id, tx_pos)`` with g_pos; places outside the transcript are left out."""
-    held = ranges.select(F.col("tx_id"), "strand", "g_start", "g_end", "tx_start", "tx_end")
-    d = F.col(pos) - F.col("tx_start")
-    return df.join(held, "tx_id").where(F.col(pos).between(F.col("tx_start"), F.col("tx_end"))).withColumn("g_pos", F.when(F.col("strand") == "+", F.col("g_start") + d).otherwise(F.col("g_end") - d)).drop("strand", "g_start", "g_end", "tx_start", "tx_end")
+def transcript_to_genome(df: DataFrame, ranges: DataFrame, pos: str = "tx_pos", size: int = 256) -> DataFrame:
+    """``df(tx_id, tx_pos)`` with g_pos; places outside the transcript are left out.
+
+    The exons of each bin of ``size`` places of a transcript, of which there are ``size`` at most, are one row, so each place meets one row of the map,
+    however many exons its transcript has.
+    """
+    exon = F.struct("tx_start", "tx_end", "g_start", "g_end", "strand")
+    held = ranges.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("tx_start") / size), F.floor(F.col("tx_end") / size))))
+    held = held.groupBy("tx_id", "_bin").agg(F.collect_list(exon).alias("_exons"))
+    rows = df.withColumn("_bin", F.floor(F.col(pos) / size)).join(held, ["tx_id", "_bin"])
+    rows = rows.withColumn("_exon", F.explode(F.filter("_exons", lambda x: F.col(pos).between(x["tx_start"], x["tx_end"]))))
+    d = F.col(pos) - F.col("_exon.tx_start")
+    return rows.withColumn("g_pos", F.when(F.col("_exon.strand") == "+", F.col("_exon.g_start") + d).otherwise(F.col("_exon.g_end") - d)).drop("_bin", "_exons", "_exon")
 
 
 def annotate_modifications(segments: DataFrame, sites: DataFrame, base: str = "A") -> DataFrame:
@@ -110,9 +119,23 @@ def annotate_modifications(segments: DataFrame, sites: DataFrame, base: str = "A
 
 
 def reference_slices(reference: DataFrame, before: int, after: int, size: int = SLICE, contig: str = "contig") -> DataFrame:
-    """contig, bin, slice_start, slice: the reference in pieces of ``size`` bases, each with its neighbours' margins, so that no row of a join carries a chromosome."""
+    """contig, bin, slice_start, slice: the reference in pieces of ``size`` bases, each with its neighbours' margins, so that no row of a join carries a chromosome.
+
+    A reference with a column ``start`` is one of lines (``read_fasta_lines``): each brings its bases to the slices that it touches, so no task sees a
+    chromosome either.
+    """
     if max(before, after) > size:
         raise ValueError("a window must fit into a slice and its neighbours")
+    if "start" in reference.columns:
+        stop = F.col("start") + F.length("seq")
+        touched = F.sequence(F.greatest(F.floor((F.col("start") - after) / size), F.lit(0)), F.floor((stop - 1 + before) / size))
+        rows = reference.where(F.length("seq") > 0).select(contig, "start", "seq", F.explode(touched).alias("bin"))
+        lo = F.greatest(F.col("bin") * size - before, F.col("start"))
+        hi = F.least((F.col("bin") + 1) * size + after, stop)
+        part = F.substring("seq", (lo - F.col("start") + 1).cast("int"), (hi - lo).cast("int"))
+        parts = rows.where(hi > lo).groupBy(contig, "bin").agg(F.array_sort(F.collect_list(F.struct(lo.alias("at"), part.alias("own")))).alias("parts"), F.max(hi).alias("hi"))
+        # a bin behind the last base holds margins alone
+        return parts.where(F.col("hi") > F.col("bin") * size).select(contig, "bin", F.get("parts", F.lit(0))["at"].alias("slice_start"), F.array_join("parts.own", "").alias("slice"))
     by = Window.partitionBy(contig).orderBy("bin")
     rows = reference.select(contig, F.posexplode(F.split("seq", rf"(?<=\G.{{{size}}})")).alias("bin", "own"))
     left, right = F.coalesce(F.right(F.lag("own").over(by), F.lit(before)), F.lit("")), F.coalesce(F.left(F.lead("own").over(by), F.lit(after)), F.lit(""))
@@ -148,9 +171,16 @@ def full_shifted_model(model: DataFrame, shift: float) -> DataFrame:
     return rows.withColumn("level_mean", F.col("level_mean") + F.when(F.contains("kmer", F.lit("M")), shift).otherwise(0.0))
 
 
-def zip_truncate(chunks: DataFrame, seqs: DataFrame, key: str = "row") -> DataFrame:
-    """Rows of both sides with the same number; the longer side is cut."""
-    return chunks.join(seqs, key)
+def zip_truncate(chunks: DataFrame, seqs: DataFrame, key: str = "row", orders: tuple[str, str] | None = None) -> DataFrame:
+    """Rows of both sides with the same number; the longer side is cut.
+
+    Without ``orders``, both sides have their numbers in the column ``key``.  With them, rows are numbered from 0 in the order of a column of each side,
+    over ranges of it; the result has the numbers as ``key``.
+    """
+    if orders is None:
+        return chunks.join(seqs, key)
+    left, right = (numbered(df, order, name=key).withColumn(key, F.col(key).cast("long") - 1) for df, order in zip((chunks, seqs), orders, strict=True))
+    return left.join(right, key)
 
 
 def alignment_read_lookup(signals: DataFrame, index: DataFrame, key: str = "read_id") -> DataFrame:

@@ -7,18 +7,22 @@ from pyspark.sql import DataFrame, Window, functions as F
 from seqspark.shared import stored
 
 
-def numbered(df: DataFrame, order: str, source: str | None = None, name: str = "_n") -> DataFrame:
-    """``df`` with ``name``: 1, 2, .. in the order of ``order``, for each ``source`` if given.
+def numbered(df: DataFrame, order: str, source: str | tuple[str, ...] | None = None, name: str = "_n") -> DataFrame:
+    """``df`` with ``name``: 1, 2, .. in the order of ``order``, for each ``source`` (one or more columns) if given.
 
-    Rows are ranged over partitions, and the table with each row's partition is written once, since a second evaluation may
-    draw other borders.  A partition's rows are counted on from the counts of those before it: one number for each partition and source.
+    Rows are ranged over partitions by source and order, so a large source is many tasks.  The table with each row's partition is written
+    once, since a second evaluation may draw other borders.  A partition's rows are counted on from the counts of those before it.  Only a partition's
+    first source can have rows in an earlier one, so one number for each partition is broadcast at most.
     """
-    own = [source] if source else []
+    own = [source] if isinstance(source, str) else list(source or ())
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = stored(df.repartitionByRange(parts, *own, order).withColumn("_part", F.spark_partition_id()), "ranged")
     counts = ranged.groupBy("_part", *own).agg(F.count("*").alias("_rows"))
     earlier = Window.partitionBy(*own).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col("_part").alias("_of"), *(F.col(c).alias("_source") for c in own), F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    starts = counts.select(F.col("_part").alias("_of"), *(F.col(c).alias(f"_source{i}") for i, c in enumerate(own)), F.sum("_rows").over(earlier).alias("_before")).where("_before > 0")
     ranked = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part", *own).orderBy(order)))
-    same = (F.col("_part") == F.col("_of")) & (F.col(source).eqNullSafe(F.col("_source")) if source else F.lit(True))
-    return ranked.join(F.broadcast(starts), same).withColumn(name, F.col("_rank") + F.col("_before")).drop("_part", "_of", "_source", "_before", "_rank")
+    same = F.col("_part") == F.col("_of")
+    for i, c in enumerate(own):
+        same &= F.col(c).eqNullSafe(F.col(f"_source{i}"))
+    rows = ranked.join(F.broadcast(starts), same, "left").withColumn(name, F.col("_rank") + F.coalesce("_before", F.lit(0)))
+    return rows.drop("_part", "_of", "_before", "_rank", *(f"_source{i}" for i in range(len(own))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -106,7 +107,8 @@ def balance_by_reference(records: DataFrame, reference: DataFrame, size: int, k:
     """Records from a reference whose coverage is evened out.
 
     The reference (ref, length) is cut into bins; a bin takes at most mean + k * max(std, 1) of the bins' counts, in the
-    order of the keys, and a record stays if all the bins it touches take it.
+    order of the keys, and a record stays if all the bins it touches take it.  A record's place in its bin comes from ranges of bins and keys, so
+    a bin that holds most of the records is many tasks.
     """
     bins = reference.select(ref, F.posexplode(partition_bounds("length", size)).alias("bin", "bin_end"))
     bins = bins.withColumn("bin_start", F.coalesce(F.lag("bin_end").over(Window.partitionBy(ref).orderBy("bin")), F.lit(0)))
@@ -117,7 +119,7 @@ def balance_by_reference(records: DataFrame, reference: DataFrame, size: int, k:
     counts = bins.select(ref, "bin").join(own.groupBy(ref, "bin").agg(F.count("*").alias("n")), [ref, "bin"], "left").na.fill(0, ["n"])
     # rounded, so that the order of summation does not decide at a whole number
     cap = counts.agg(F.round(F.avg("n") + k * F.greatest(F.stddev_pop("n"), F.lit(1.0)), 9).alias("cap"))
-    ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy(ref, "bin").orderBy(key)))
+    ranked = numbered(own.select(key, ref, "bin"), key, (ref, "bin"), "rank")
     kept = ranked.withColumn("ok", F.col("rank") <= cap.scalar()).groupBy(key).agg(F.bool_and("ok").alias("ok")).where("ok").select(key)
     return records.join(kept, key, "left_semi")
 
@@ -130,23 +132,58 @@ def batch_number(df: DataFrame, order: str, size: int = 4000) -> DataFrame:
     return numbered(df, order).withColumn("batch", F.floor((F.col("_n") - 1) / size)).drop("_n")
 
 
+def last_at(df: DataFrame, value: Column, upto: Column, at: Column, key: str, falling: bool = False) -> DataFrame:
+    """``df`` with _found: the ``value`` of the last row of the same key, by ``at``, whose ``at`` is at most ``upto``; or of the first whose ``at`` is at least ``upto`` if ``falling``.
+
+    Values and questions are rows of one order, so a read costs a sort and one pass.  Rows whose value is null are no answers; of several at one
+    place, the greatest value is the last (``falling``: the least the first).
+    """
+    both = F.array(F.struct(at.alias("place"), F.lit(0).alias("asks"), value.alias("value")), F.struct(upto.alias("place"), F.lit(1).alias("asks"), F.lit(None).alias("value")))
+    rows = df.withColumn("_x", F.explode(both))
+    turn = F.desc if falling else F.asc
+    by = Window.partitionBy(key).orderBy(turn("_x.place"), "_x.asks", turn("_x.value")).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_found", F.last("_x.value", ignorenulls=True).over(by)).where("_x.asks = 1").drop("_x")
+
+
+def _visited():
+    """Places that a walk over each row's pointers meets, from its first; a pointer is a later place, and ends the walk behind the last."""
+
+    @F.pandas_udf("array<int>")
+    def walk(pointers: pd.Series) -> pd.Series:
+        def places(own: np.ndarray) -> list[int]:
+            steps, at, out = own.tolist(), 0, []
+            while at < len(steps):
+                out.append(at)
+                at = steps[at]
+            return out
+
+        return pointers.map(places)
+
+    return walk
+
+
+def chain(df: DataFrame, order: str, pointer: str, key: str = "read_id") -> DataFrame:
+    """The rows that a walk meets which starts at each key's first row and goes on from row to row by ``pointer``.
+
+    ``order`` numbers a key's rows from 0; ``pointer`` is a later number, or null at the end.  Of each key one array of numbers goes through the
+    walk, in Arrow batches; its time is that of the steps.
+    """
+    steps = df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(pointer, F.lit(2**31 - 1)).cast("int").alias("p")))), lambda x: x["p"]).alias("steps"))
+    met = steps.select(key, F.explode(_visited()("steps")).alias("_met")).select(key, F.col("_met").cast("long").alias(order))
+    return df.join(met, [key, order], "left_semi")
+
+
 def invariant_segments(path: DataFrame, invariant: Callable[[Column], Column], min_len: int = 500, key: str = "read_id", order: str = "pos", state: str = "state") -> DataFrame:
     """key, start, end, first, last: spans between runs of invariant states, at least ``min_len`` points long.
 
     A span runs from one invariant run to the first later one that makes it long enough; ends are exclusive, and the states
-    at both ends are recorded.  The walk is greedy: a fold over a read's invariant runs.
+    at both ends are recorded.  Each run knows the first that is far enough; the greedy walk follows these pointers.
     """
-    cuts = runs(path, key, order, state).where(invariant(F.col(state)))
-    cuts = cuts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("at"), F.col(state).cast("string").alias("state")))).alias("cuts"))
-    span = "struct<start:bigint,end:bigint,first:string,last:string>"
-    begin = F.struct(F.lit(None).cast("struct<at:bigint,state:string>").alias("open"), F.array().cast(f"array<{span}>").alias("out"))
-
-    def walk(a: Column, x: Column) -> Column:
-        long_enough = F.coalesce(x["at"] - a["open"]["at"] >= min_len, F.lit(False))
-        made = F.struct(a["open"]["at"].alias("start"), x["at"].alias("end"), a["open"]["state"].alias("first"), x["state"].alias("last")).cast(span)
-        return F.struct(F.when(long_enough | a["open"].isNull(), x).otherwise(a["open"]).alias("open"), F.when(long_enough, F.array_append(a["out"], made)).otherwise(a["out"]).alias("out"))
-
-    return cuts.select(key, F.explode(F.aggregate("cuts", begin, walk, lambda a: a["out"])).alias("x")).select(key, "x.*")
+    cuts = runs(path, key, order, state).where(invariant(F.col(state))).select(key, F.col("start").cast("long").alias("start"), F.col(state).cast("string").alias("first"))
+    cuts = cuts.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("start")).cast("long") - 1)
+    to = last_at(cuts, F.struct("n", F.col("start").alias("end"), F.col("first").alias("last")), F.col("start") + max(min_len, 1), F.col("start"), key, falling=True)
+    spans = chain(to.withColumn("next", F.col("_found.n")), "n", "next", key)
+    return spans.where("_found IS NOT NULL").select(key, "start", "_found.end", "first", "_found.last")
 
 
 def stick(calls: DataFrame, key: str = "read_id", order: str = "chunk_no", seq: str = "seq") -> DataFrame:
@@ -187,31 +224,26 @@ def stitch(calls: DataFrame, kernel: str = "stick") -> DataFrame:
     return STITCH[kernel](calls)
 
 
-def distill(bases: DataFrame, chunk_len: int, keep: Callable[[dict], bool] | None = None, skip: int = 5, key: str = "read_id") -> DataFrame:
-    """key, first_base, last_base, ref_start, ref_end, sig_start, sig_end: training records of each read.
+def distill(bases: DataFrame, chunk_len: int, keep: Callable[[Column, Column], Column] | None = None, skip: int = 5, key: str = "read_id") -> DataFrame:
+    """key, first_base, last_base, ref_start, ref_end, sig_start, sig_end, seq: training records of each read.
 
     ``bases(key, base_index, base, sig_start, sig_end, ref_pos)``.  From each base the walk takes the longest run of bases
     whose signal ends within ``chunk_len`` and both ends of which are mapped, and goes on behind it; where nothing fits, or
-    ``keep`` turns the record down, it moves on by ``skip`` bases.  One read is one group.
+    ``keep(bases, points)`` of the numbers of its bases and signal points turns the record down, it moves on by ``skip`` bases.
+
+    Each base's record is found by order of the signal, for all bases alike; the walk follows pointers.
     """
-    keep = keep or (lambda record: len(record["seq"]) >= 3)
-    schema = f"{key} {bases.schema[key].dataType.simpleString()}, first_base long, last_base long, ref_start long, ref_end long, sig_start long, sig_end long, seq string"
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("base_index").reset_index(drop=True)
-        start, end, mapped = group["sig_start"].to_numpy(), group["sig_end"].to_numpy(), group["ref_pos"].notna().to_numpy()
-        out, i = [], 0
-        while i < len(group):
-            j = int(end.searchsorted(start[i] + chunk_len, side="right")) - 1
-            while j > i and not mapped[j]:
-                j -= 1
-            if mapped[i] and j > i:
-                record = {"seq": "".join(group["base"].iloc[i : j + 1]), "signal_len": int(end[j] - start[i])}
-                if keep(record):
-                    out.append((group[key].iloc[0], int(group["base_index"].iloc[i]), int(group["base_index"].iloc[j]), int(group["ref_pos"].iloc[i]), int(group["ref_pos"].iloc[j]), int(start[i]), int(end[j]), record["seq"]))
-                    i = j + 1
-                    continue
-            i += skip
-        return pd.DataFrame(out, columns=[key, "first_base", "last_base", "ref_start", "ref_end", "sig_start", "sig_end", "seq"])
-
-    return bases.groupBy(key).applyInPandas(walk, schema)
+    keep = keep or (lambda n_bases, n_points: n_bases >= 3)
+    own = bases.select(key, "base_index", "base", "sig_start", "sig_end", "ref_pos").withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("base_index")).cast("long") - 1)
+    end = F.when(F.col("ref_pos").isNotNull(), F.struct("n", F.col("base_index").alias("last_base"), F.col("ref_pos").alias("ref_end"), F.col("sig_end").alias("end")))
+    rows = last_at(own, end, F.col("sig_start") + chunk_len, F.col("sig_end"), key)
+    good = F.col("ref_pos").isNotNull() & (F.col("_found.n") > F.col("n")) & keep(F.col("_found.n") - F.col("n") + 1, F.col("_found.end") - F.col("sig_start"))
+    rows = rows.withColumn("good", F.coalesce(good, F.lit(False))).withColumn("next", F.when(F.col("good"), F.col("_found.n") + 1).otherwise(F.col("n") + skip))
+    records = chain(rows, "n", "next", key).where("good").select(key, F.col("n").alias("_lo"), F.col("_found.n").alias("_hi"), F.col("base_index").alias("first_base"), "_found.last_base", F.col("ref_pos").alias("ref_start"), "_found.ref_end", "sig_start", F.col("_found.end").alias("sig_end"))
+    # records do not overlap: each base belongs to the last that begins at or before it
+    spans = records.select(key, "_lo", "_hi", F.lit(None).cast("string").alias("base"), F.col("_lo").alias("n"), F.lit(0).alias("kind"))
+    spans = spans.unionByName(own.select(key, F.lit(None).cast("long").alias("_lo"), F.lit(None).cast("long").alias("_hi"), "base", "n", F.lit(1).alias("kind")))
+    by = Window.partitionBy(key).orderBy("n", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    inside = spans.withColumn("_x", F.last(F.when(F.col("kind") == 0, F.struct("_lo", "_hi")), ignorenulls=True).over(by)).where("kind = 1 AND n <= _x._hi")
+    seqs = inside.groupBy(key, F.col("_x._lo").alias("_lo")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "base"))), lambda x: x["base"]), "").alias("seq"))
+    return records.join(seqs, [key, "_lo"]).select(key, *(F.col(c).cast("long").alias(c) for c in ("first_base", "last_base", "ref_start", "ref_end", "sig_start", "sig_end")), "seq")

@@ -63,6 +63,14 @@ def rescale_dwell(path):
     return _rounded(N.rescale_dwell(path, _levels(path), min_dwell=2).select("read_id", "pos", "rescaled", "fitted"), "rescaled")
 
 
+@query("user_statistic", "fx_path", sql=f"""WITH {_RUN.replace('median(value)', 'max(value)')}, {_LEVELS}, f AS (SELECT read_id, regr_slope(level_mean, med) AS a, avg(level_mean) AS mr, avg(med) AS ms, count(*) AS n FROM ru JOIN lv ON lv.kmer = ru.state WHERE length >= 2 GROUP BY read_id),
+g AS (SELECT read_id, CASE WHEN n >= 2 AND isfinite(a) THEN a END AS a, mr - a * ms AS b FROM f)
+SELECT p.read_id, p.pos, round(CASE WHEN g.a IS NULL THEN p.value ELSE g.a * p.value + g.b END, 6) AS rescaled, g.a IS NOT NULL AS fitted FROM fx_path p LEFT JOIN g ON g.read_id = p.read_id""")
+def user_statistic(path):
+    """Rescaling by a statistic of the caller's: each run's largest value in place of its median."""
+    return _rounded(N.rescale_dwell(path, _levels(path), min_dwell=2, statistic=F.max).select("read_id", "pos", "rescaled", "fitted"), "rescaled")
+
+
 @query("runs", "fx_path", sql=f"WITH {_RUN} SELECT read_id, state, start, \"end\", length FROM ru")
 def runs(path):
     return G.runs(path)
@@ -169,12 +177,20 @@ def consensus_test(scores):
     return _rounded(A.consensus_test(A.roc_sweep(scores), 5), "tp", "fp")
 
 
-@query("invariant_segments", "fx_path")
+@query("invariant_segments", "fx_path", sql=f"""WITH RECURSIVE {_RUNS}, cu AS (SELECT read_id, state, min(pos) AS p FROM r1 GROUP BY read_id, g, state HAVING NOT contains(state, 'a')),
+nx AS (SELECT c.read_id, c.p, c.state, min(d.p) AS q FROM cu c LEFT JOIN cu d ON d.read_id = c.read_id AND d.p >= c.p + 10 GROUP BY ALL),
+w AS (SELECT read_id, p, state, q FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY p) AS n FROM nx) WHERE n = 1 UNION ALL SELECT n.read_id, n.p, n.state, n.q FROM w JOIN nx n ON n.read_id = w.read_id AND n.p = w.q)
+SELECT w.read_id, w.p AS start, w.q AS "end", w.state AS first, c.state AS last FROM w JOIN cu c ON c.read_id = w.read_id AND c.p = w.q""")
 def invariant_segments(path):
     return G.invariant_segments(path, lambda s: ~s.contains("a"), 10)
 
 
-@query("distill", "fx_moves")
+@query("distill", "fx_moves", sql="""WITH RECURSIVE f AS (SELECT read_id, t, CAST(sum(move) OVER (PARTITION BY read_id ORDER BY t) - 1 AS BIGINT) AS i FROM fx_moves),
+b AS (SELECT read_id, i, min(t) * 5 AS s, (max(t) + 1) * 5 AS e, i % 7 <> 3 AS mapped FROM f WHERE i >= 0 GROUP BY read_id, i),
+n AS (SELECT a.read_id, a.i, a.s, max(z.i) AS j, a.mapped AND max(z.i) >= a.i + 2 AS good FROM b a LEFT JOIN b z ON z.read_id = a.read_id AND z.mapped AND z.e <= a.s + 60 AND z.i > a.i GROUP BY a.read_id, a.i, a.s, a.mapped),
+w AS (SELECT read_id, i, s, j, coalesce(good, false) AS good FROM n WHERE i = 0 UNION ALL SELECT n.read_id, n.i, n.s, n.j, coalesce(n.good, false) FROM w JOIN n ON n.read_id = w.read_id AND n.i = CASE WHEN w.good THEN w.j + 1 ELSE w.i + 5 END)
+SELECT w.read_id, w.i AS first_base, w.j AS last_base, w.i + 100 AS ref_start, w.j + 100 AS ref_end, w.s AS sig_start, z.e AS sig_end, array_to_string(list_transform(range(w.i, w.j + 1), lambda x: 'ACGT'[x % 4 + 1]), '') AS seq
+FROM w JOIN b z ON z.read_id = w.read_id AND z.i = w.j WHERE w.good""")
 def distill(moves):
     lengths = moves.groupBy("read_id").agg((F.count("*") * 5).alias("sig_len")).select("read_id", "sig_len", F.lit(0).alias("trim"), F.lit(False).alias("is_reverse"))
     bases = G.signal_extent(moves, lengths, 5).select("read_id", "base_index", F.substring(F.lit("ACGT"), (F.col("base_index") % 4 + 1).cast("int"), F.lit(1)).alias("base"), "sig_start", "sig_end", F.when(F.col("base_index") % 7 != 3, F.col("base_index") + 100).alias("ref_pos"))

@@ -134,6 +134,14 @@ def tag_join(aln):
     return out.select("r_start", "read_id", F.array_join(F.array_sort(F.map_keys("mods")), ",").alias("codes"), F.col("mods")["A+a"]["gaps"][0].alias("gap"))
 
 
+@query("zip_ordered", "fx_reads", "fx_chunks", sql="""WITH r AS (SELECT length(seq) AS n, row_number() OVER (ORDER BY read_id) - 1 AS row FROM fx_reads), c AS (SELECT chunk_id, duration, row_number() OVER (ORDER BY -chunk_id) - 1 AS row FROM fx_chunks WHERE chunk_id % 3 > 0)
+SELECT row, chunk_id, duration, n FROM c JOIN r USING (row)""")
+def zip_ordered(reads, chunks):
+    left = chunks.where("chunk_id % 3 > 0").select("chunk_id", "duration", (-F.col("chunk_id")).alias("place"))
+    right = reads.select("read_id", F.length("seq").cast("long").alias("n"))
+    return J.zip_truncate(left, right, orders=("place", "read_id")).select("row", "chunk_id", "duration", "n")
+
+
 @query("zip_truncate", "fx_reads", "fx_chunks", sql="SELECT c.chunk_id AS row, c.duration, length(r.seq) AS n FROM fx_chunks c JOIN fx_reads r ON r.read_id = c.chunk_id")
 def zip_truncate(reads, chunks):
     return J.zip_truncate(chunks.select(F.col("chunk_id").alias("row"), "duration"), reads.select(F.col("read_id").alias("row"), F.length("seq").cast("long").alias("n")))

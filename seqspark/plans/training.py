@@ -1,6 +1,6 @@
 """Queries over frames, calls and training datasets."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from seqspark.functions import sequence as S
 from seqspark.operators import aggregates as A, datasets as D, filters as P, segments as G
@@ -88,6 +88,25 @@ def stitch_glue(reads):
     return G.stitch(calls, "glue").select("read_id", "chunk_no", "offset")
 
 
+def fixed_overlap(calls: DataFrame) -> DataFrame:
+    """A stitching kernel of the caller's: each call overlaps the one before by two bases, or by as many as that has."""
+    before = Window.partitionBy("read_id").orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)
+    return calls.withColumn("offset", F.coalesce(F.sum(F.greatest(F.length("seq") - 2, F.lit(0))).over(before), F.lit(0)).cast("long"))
+
+
+@query("user_stitch", "fx_frames", sql=f"WITH {_CALLS} SELECT read_id, chunk_id AS chunk_no, CAST(coalesce(sum(greatest(length(seq) - 2, 0)) OVER (PARTITION BY read_id ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM ca")
+def user_stitch(frames):
+    G.STITCH["fixed_overlap"] = fixed_overlap
+    return G.stitch(_calls(frames), "fixed_overlap").select("read_id", "chunk_no", "offset")
+
+
+@query("user_filter", "fx_reads", sql="SELECT read_id FROM fx_reads WHERE length(seq) >= 3 AND regexp_matches(seq, '^[ACGT]*$') AND seq[1] = seq[length(seq)] AND read_id % 3 > 0")
+def user_filter(reads):
+    """Rules of the library and of the caller's own, all of which a record must pass."""
+    rules = [lambda df: P.min_length("seq"), lambda df: ~S.modified("seq"), lambda df: F.left("seq", F.lit(1)) == F.right("seq", F.lit(1)), lambda df: df["read_id"] % 3 > 0]
+    return P.and_filters(rules)(reads).select("read_id")
+
+
 @query("consensus", "fx_frames", sql=f"""WITH c AS (SELECT read_id, t AS pos, cls AS base, -logit * logit AS logp FROM fx_frames WHERE cls > 0 AND chunk_id % 3 + 1 <> cls), v AS (SELECT read_id, pos, base, count(*) AS votes, sum(logp) AS logp FROM c GROUP BY ALL),
 w AS (SELECT read_id, pos, arg_max(base, {{'v': votes, 'b': -base}}) AS base FROM v GROUP BY read_id, pos), q AS (SELECT v.*, least(CAST(trunc(-10 * logp / votes / ln(10.0::DOUBLE)) AS INTEGER), 93) AS q FROM v JOIN w USING (read_id, pos, base))
 SELECT read_id, string_agg('ACGTM'[base : base], '' ORDER BY pos) AS seq, string_agg(chr(q + 33), '' ORDER BY pos) AS quality FROM q GROUP BY read_id""")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from seqspark.functions.sequence import as_column, let, slices
+
 # The columns of a table of yeast sites.
 YEAST_COLUMNS = {"contig": "Peak chr", "peak": "Peak genomic coordinate", "distance": "Distance from peak to nearest RGAC site"}
 SAM_FIELDS = (("read_id", "string"), ("flag", "int"), ("contig", "string"), ("pos", "int"), ("mapq", "int"), ("cigar", "string"), ("rnext", "string"), ("pnext", "int"), ("tlen", "int"), ("seq", "string"), ("quality", "string"))
@@ -16,14 +18,47 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("length", F.length("seq").cast("long"))
 
 
+def _numbered_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Lines with their file, block and an ascending id, and the blocks' first ids and sizes; both from the same scan, so places agree."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    return lines, lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+
+
+def read_fasta_lines(spark: SparkSession, path: str, longest: int = 1 << 16) -> DataFrame:
+    """contig, start, seq: the lines of FASTA records, each with its 0-based place in the record; lines over ``longest`` bases are several rows.
+
+    Files are split as Spark splits text.  A line's place is the sum of the lengths before it in its block and in the blocks before, less
+    that of its header; a block's lines are one task, so a chromosome is as many tasks as it has blocks.  Text before a file's first header, and records with an
+    empty header, are left out.
+    """
+    lines, _ = _numbered_lines(spark, path)
+    head = F.col("value").startswith(">")
+    rows = lines.select("file", "block", "id", F.when(head, F.coalesce(F.get(F.split(F.trim(F.substring("value", F.lit(2), F.length("value"))), r"\s+"), F.lit(0)), F.lit(""))).alias("name"), F.when(head, F.lit("")).otherwise(F.regexp_replace("value", r"\s", "")).alias("seq"))
+    inside = Window.partitionBy("file", "block").orderBy("id")
+    sums = rows.withColumn("at", F.sum(F.length("seq")).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.length("seq"))
+    header = F.when(F.col("name").isNotNull(), F.struct("name", "at"))
+    sums = sums.withColumn("own", F.last(header, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    # one row for each block of a file: its length, and the last header in it
+    ends = rows.groupBy("file", "block").agg(F.sum(F.length("seq")).alias("size"), F.max(F.when(F.col("name").isNotNull(), F.struct("id", "name"))).alias("head"))
+    behind = rows.join(ends.select("file", "block", F.col("head.id").alias("_head")), ["file", "block"]).groupBy("file", "block").agg(F.sum(F.when(F.col("id") > F.coalesce("_head", F.lit(-1)), F.length("seq"))).alias("tail"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = ends.join(behind, ["file", "block"]).withColumn("before", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
+    mark = F.when(F.col("head").isNotNull(), F.struct(F.col("head.name").alias("name"), (F.col("before") + F.col("size") - F.coalesce("tail", F.lit(0))).alias("at")))
+    blocks = blocks.withColumn("carried", F.last(mark, ignorenulls=True).over(earlier)).select("file", "block", "before", "carried")
+    placed = sums.where("seq <> ''").join(blocks, ["file", "block"])
+    start = F.when(F.col("own").isNotNull(), F.col("at") - F.col("own.at")).otherwise(F.col("before") + F.col("at") - F.col("carried.at"))
+    placed = placed.select(F.coalesce("own.name", "carried.name").alias("contig"), start.alias("start"), "seq").where("contig <> ''")
+    pieces = F.posexplode(F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{longest}}}"), F.lit(0)))
+    return placed.select("contig", "start", pieces.alias("_n", "seq")).select("contig", (F.col("start") + F.col("_n") * longest).alias("start"), "seq")
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """name, sequence, quality of four-line records; an error where the third line is no ``+``; a last record of fewer lines is left out.
 
     Files are split as Spark splits text.  A line's number in its file is its place in its block and the lines of the blocks before;
     both come from the same scan, so places agree.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-    blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    lines, blocks = _numbered_lines(spark, path)
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     rows = lines.join(blocks, ["file", "block"]).select("file", "value", (F.col("before") + F.col("id") - F.col("first")).alias("no"))
@@ -37,16 +72,44 @@ def write_fastq(df: DataFrame, path: str, name: str = "name", sequence: str = "s
     df.select(F.concat(F.lit("@"), F.concat_ws("\n", name, sequence, F.lit("+"), quality)).alias("value")).write.text(path)
 
 
-def write_fasta(df: DataFrame, path: str, name: str = "contig", sequence: str = "seq") -> None:
-    df.select(F.concat(F.lit(">"), F.concat_ws("\n", name, sequence)).alias("value")).write.text(path)
+def write_fasta(df: DataFrame, path: str, name: str = "contig", sequence: str = "seq", wrap: int | None = None) -> None:
+    """``wrap`` cuts sequences into lines of so many letters."""
+    lines = F.col(sequence) if wrap is None else F.array_join(slices(sequence, wrap), "\n")
+    df.select(F.concat(F.lit(">"), F.concat_ws("\n", F.col(name), lines)).alias("value")).write.text(path)
+
+
+#: A map from a tag's two letters to its type letter and the text of its value; the value of a B tag begins with its number type.
+TAGS = "map<string,struct<type:string,value:string>>"
+
+
+def parse_tags(fields: Column) -> Column:
+    """Tags of ``NM:i:3`` fields, in their order; the first of a name counts, fields of another form are left out."""
+    own = F.filter(fields, lambda t: F.regexp_like(t, F.lit("^[A-Za-z][A-Za-z0-9]:[A-Za-z]:")))
+    own = F.transform(own, lambda t: F.struct(F.substring(t, 1, 2).alias("key"), F.struct(F.substring(t, 4, 1).alias("type"), F.substring(t, F.lit(6), F.length(t)).alias("value")).alias("value")))
+    return let(own, lambda x: F.map_from_entries(F.filter(x, lambda t, i: i == F.array_position(F.transform(x, lambda y: y["key"]), t["key"]) - 1))).cast(TAGS)
+
+
+def tag_text(tags: Column) -> Column:
+    """The fields of a map of tags."""
+    return F.transform(F.map_entries(tags), lambda t: F.concat_ws(":", t["key"], t["value"]["type"], t["value"]["value"]))
+
+
+def tag_value(tags: Column | str, name: str, kind: str = "string") -> Column:
+    """A tag's value as ``kind``; of a B tag, its numbers as an array of ``kind``.  Null without the tag."""
+    tag = F.try_element_at(as_column(tags), F.lit(name))
+    if kind.startswith("array"):
+        numbers = F.filter(F.split(tag["value"], ","), lambda x, i: (i > 0) & (x != ""))
+        return F.when(tag["type"] == "B", numbers.cast(kind))
+    return tag["value"].cast(kind)
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """The eleven fields, and tags as a map from the two-letter name to the value's text.  Positions become 0-based; header lines are left out."""
+    """The eleven fields, tags (see ``TAGS``), and line_no, which ascends with the alignments of a file.  Positions become 0-based; header lines are left out."""
     f = F.split("value", "\t")
     fields = [F.get(f, F.lit(i)).cast(kind).alias(name) if name != "pos" else (F.get(f, F.lit(i)).cast("int") - 1).alias("pos") for i, (name, kind) in enumerate(SAM_FIELDS)]
-    tags = F.map_from_entries(F.transform(F.filter(F.slice(f, F.lit(12), F.greatest(F.size(f) - 11, F.lit(0))), lambda t: F.length(t) > 4), lambda t: F.struct(F.substring(t, 1, 2).alias("key"), F.substring(t, F.lit(6), F.length(t)).alias("value"))))
-    return spark.read.text(path).where(~F.col("value").startswith("@") & (F.col("value") != "")).select(*fields, tags.alias("tags"))
+    tags = parse_tags(F.slice(f, F.lit(12), F.greatest(F.size(f) - 11, F.lit(0))))
+    rows = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+    return rows.where(~F.col("value").startswith("@") & (F.col("value") != "")).select(*fields, tags.alias("tags"), "line_no")
 
 
 def read_sam_headers(spark: SparkSession, path: str) -> DataFrame:
@@ -66,22 +129,31 @@ def program_headers(headers: list[str], program: str, line: str) -> list[str]:
 
 
 def sam_lines(df: DataFrame) -> DataFrame:
-    """One text line for each alignment; ``mm`` and ``ml`` (array) become the tags MM and ML."""
+    """One text line for each alignment.
+
+    Tags keep their types and order.  ``mm`` and ``ml`` (array), where given, take the places of the tags MM and ML, or come last; a row whose ``mm`` is null
+    keeps its own.
+    """
     fields = [(F.col("pos") + 1).cast("string") if name == "pos" else F.col(name).cast("string") for name, _ in SAM_FIELDS]
-    ml = F.concat(F.lit("ML:B:C"), F.when(F.size("ml") > 0, F.concat(F.lit(","), F.array_join(F.col("ml").cast("array<string>"), ","))).otherwise(F.lit("")))
-    rest = F.transform(F.filter(F.map_entries("tags"), lambda t: ~t["key"].isin("MM", "ML")), lambda t: F.concat(t["key"], F.lit(":Z:"), t["value"])) if "tags" in df.columns else F.array().cast("array<string>")
-    return df.select(F.concat_ws("\t", *fields, rest, F.concat(F.lit("MM:Z:"), F.col("mm")), ml).alias("line"))
+    tags = F.coalesce(F.col("tags"), F.map_from_entries(F.array().cast("array<struct<key:string,value:struct<type:string,value:string>>>"))) if "tags" in df.columns else F.create_map().cast(TAGS)
+    if "mm" in df.columns:
+        ml = F.concat(F.lit("C"), F.when(F.size("ml") > 0, F.concat(F.lit(","), F.array_join(F.col("ml").cast("array<string>"), ","))).otherwise(F.lit("")))
+        own = F.create_map(F.lit("MM"), F.struct(F.lit("Z").alias("type"), F.col("mm").alias("value")), F.lit("ML"), F.struct(F.lit("B").alias("type"), ml.alias("value")))
+        kept = F.transform_values(tags, lambda k, v: F.coalesce(F.try_element_at(own, k), v))
+        last = F.map_filter(own, lambda k, _: ~F.map_contains_key(tags, k))
+        tags = F.when(F.col("mm").isNull(), tags).otherwise(F.map_concat(kept, last))
+    return df.select(F.concat_ws("\t", *fields, tag_text(tags)).alias("line"), *(["line_no"] if "line_no" in df.columns else []))
 
 
 def write_sam_tagged(df: DataFrame, headers: list[str], path: str, program: str, line: str) -> None:
-    """Header lines, then alignments in the order of ``line_no`` where given; one text file.
+    """Header lines, then alignments in the order of ``line_no`` where given, else in the order of the rows.
 
-    The header is a bounded list; the sort keeps it first in the first part.
+    A folder of text files: rows are ranged over parts, whose names ascend with the lines, and the header, a bounded list, is first in the first part.
     """
-    spark = df.sparkSession
-    head = spark.createDataFrame([(i, h) for i, h in enumerate(program_headers(headers, program, line))], "no long, line string").withColumn("part", F.lit(0))
-    body = sam_lines(df).withColumn("no", F.monotonically_increasing_id()).withColumn("part", F.lit(1))
-    head.unionByName(body).orderBy("part", "no").select("line").write.text(path)
+    head = df.sparkSession.createDataFrame([(i, h) for i, h in enumerate(program_headers(headers, program, line))], "line_no long, line string").withColumn("part", F.lit(0))
+    body = sam_lines(df)
+    body = body if "line_no" in df.columns else body.withColumn("line_no", F.monotonically_increasing_id())
+    head.unionByName(body.withColumn("part", F.lit(1))).orderBy("part", "line_no").select("line").write.text(path)
 
 
 def read_annotation(spark: SparkSession, path: str, fmt: str = "gtf", features: tuple[str, ...] = ("exon", "CDS")) -> DataFrame:
