@@ -21,6 +21,7 @@ zeros and the empty string; rows with null or repeated ids are rows of their own
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -28,16 +29,17 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from seqspark.llm.components import stored
 
 A_PATH, B_PATH = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a batch, and of a piece of a longer text.
-BATCH = 1 << 18
+BATCH = 1 << 17
 FREQUENT = 100_000
 #: Letters of distinct units whose tokens are kept.
-CACHE = 1 << 23
+CACHE = 1 << 21
 CUT = re.compile(r"(?<=\S) (?=\S)")
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
@@ -66,6 +68,8 @@ class Tokenizers:
     """Both tokenizers, the bytes of each of their tokens, and the tokens of units met lately."""
 
     def __init__(self, a_path: str, b_path: str):
+        # an executor's cores have tasks of their own; threads of the tokenizer would each keep memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -235,14 +239,13 @@ def _aligned(a_path: str, b_path: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizers = Tokenizers(a_path, b_path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            # a few texts at a time become Python strings
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and size < 4 * limit:
-                    size += len(texts[hi])
-                    hi += 1
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *rows(texts[lo:hi], tokenizers)], names=["doc_id", *COUNTS, "groups_sha256", "pairs", "times"])
+            while lo < len(ends):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 4 * limit, side="right")))
+                texts = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *rows(texts, tokenizers)], names=["doc_id", *COUNTS, "groups_sha256", "pairs", "times"])
                 lo = hi
 
     return run
