@@ -3,7 +3,8 @@
 A text's numbers, names (capitalised words inside a sentence) and units after numbers become typed
 placeholders; case and punctuation go.  Windows of ``WINDOW`` template words are hashed and joined
 with the benchmark's, so that a question with other numbers or names still meets its original.
-A template window counts only if most of its words are literal.  Windows are joined in three forms:
+A template window counts only if most of its words are literal; of an item without such a window, those with ``DENSE_LITERALS``
+literal words count.  Windows are joined in three forms:
 with names inside sentences as placeholders, with every capitalised word as one (a name may begin a
 sentence), and as plain words, which finds literal copies of windows with any number of slots and in
 any case.  Then slots are checked: along one alignment of a document and an item, each value of the
@@ -13,19 +14,23 @@ are literal copies, whatever clashes elsewhere.  An item is found in a document
 run of ``RUN`` words, or make up half of the item's windows.
 
 Defined results: null and empty texts hold nothing; an item of fewer words than a window is one plain
-window of all its words; where a template has not one word for each plain word, the plain words stand in
+window of all its words, and one of fewer than ``LEAST_WORDS`` is found only in a document that has no other words; where a template has not one word for each plain word, the plain words stand in
 for it; rows with equal id and text count once; repeated items count each by its id; texts of any
 length are searched whole; extra columns are ignored by ``find_leaks`` and kept by ``drop_leaks``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from seqspark.llm.components import stored
 
 WINDOW = 8
 LITERALS = 5
+#: Literal words of a window of an item that has no window with ``LITERALS`` of them.
+DENSE_LITERALS = 2
+#: Items of fewer words are found where they are all words of a document: inside others, they are no sign of the benchmark.
+LEAST_WORDS = 4
 RUN = 13
 #: Hashes of benchmark windows, or documents with a hit, up to this number are broadcast (some 30 MB); more are shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -71,7 +76,8 @@ def _windows(words: str, form: int, length: int = WINDOW) -> str:
     hashed = f"array(transform({words}, w -> xxhash64(w)))"
     if length < WINDOW:
         each = f"transform(sequence(0, size(a) - {length}), i -> xxhash64(slice(a, i + 1, {length}), {form}))"
-        return f"transform({hashed}, a -> IF(size(a) < {length}, CAST(array() AS ARRAY<BIGINT>), {each}))[0]"
+        none = f"size(a) <> {length}" if length < LEAST_WORDS else f"size(a) < {length}"
+        return f"transform({hashed}, a -> IF({none}, CAST(array() AS ARRAY<BIGINT>), {each}))[0]"
     join = lambda a, step, more="": f"zip_with({a}, slice({a}, {step + 1}, greatest(size({a}), 1)), (x, y) -> xxhash64(x, y{more}))"
     last = f"transform(array({join('b', 2)}), c -> {join('c', 4, f', {form}')})[0]"
     each = f"slice(transform(array({join('a', 1)}), b -> {last})[0], 1, greatest(size(a) - {WINDOW - 1}, 0))"
@@ -92,16 +98,18 @@ def _sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def _marks(benchmark: DataFrame) -> DataFrame:
     """One row for each indexed window of each item and form."""
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    items = items.selectExpr("item_id", *(f"{sql} AS {name}" for name, sql in FORMS.items())).where("vals <> array('')")
+    items = items.selectExpr("item_id", "xxhash64(text) AS item_th", *(f"{sql} AS {name}" for name, sql in FORMS.items())).where("vals <> array('')")
     # a form whose words do not stand beside the plain ones has no slots that can be told
-    items = items.selectExpr("item_id", "vals", *(f"IF(size({t}) = size(vals), {t}, vals) AS {t}" for t in ("templ", "names")), f"least(size(vals), {WINDOW}) AS len")
+    items = items.selectExpr("item_id", "item_th", "vals", *(f"IF(size({t}) = size(vals), {t}, vals) AS {t}" for t in ("templ", "names")), f"least(size(vals), {WINDOW}) AS len")
     rows = items.selectExpr("*", "explode(sequence(0, size(vals) - len)) AS q")
-    rows = rows.selectExpr("item_id", "q", "len", "size(vals) - len + 1 AS item_windows", *(f"slice({c}, q + 1, len) AS {c}" for c in FORMS))
+    rows = rows.selectExpr("item_id", "item_th", "q", "len", "size(vals) - len + 1 AS item_windows", *(f"slice({c}, q + 1, len) AS {c}" for c in FORMS))
     forms = ", ".join(f"named_struct('form', {k}, 'item_templ', {t}, 'h', {_window(w, k)})" for k, (t, w) in enumerate((("templ", "templ"), ("names", "names"), ("templ", "vals"))))
-    rows = rows.selectExpr("item_id", "q", "len", "item_windows", "vals AS item_vals", f"inline(array({forms}))")
+    rows = rows.selectExpr("item_id", "item_th", "q", "len", "item_windows", "vals AS item_vals", f"inline(array({forms}))")
     # templates without slots are met in plain words, as are those with too many
     slots = "size(filter(item_templ, w -> w LIKE '%⟨%'))"
-    return rows.where(f"form = {_PLAIN} OR len = {WINDOW} AND {slots} BETWEEN 1 AND {WINDOW - LITERALS}")
+    rows = rows.withColumn("slots", F.expr(slots)).withColumn("fewest", F.min(F.when(F.col("form") < _PLAIN, F.col("slots"))).over(Window.partitionBy("item_id", "item_th")))
+    most = f"IF(fewest <= {WINDOW - LITERALS}, {WINDOW - LITERALS}, {WINDOW - DENSE_LITERALS})"
+    return rows.where(f"form = {_PLAIN} OR len = {WINDOW} AND slots BETWEEN 1 AND {most}").drop("slots", "fewest", "item_th")
 
 
 def _consistent() -> str:

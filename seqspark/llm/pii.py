@@ -22,7 +22,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from seqspark.llm import spans as S
 from seqspark.llm.components import stored
@@ -162,10 +162,14 @@ def _find(docs: DataFrame, threshold: float) -> DataFrame:
     if score is None:
         return found.selectExpr("doc_id", "th", *BASE, f"{none} AS other")
     chosen = score(_candidate_rows(found).where("label = 0")).where(F.col("probability") >= threshold)
-    # of overlapping candidates the likeliest stays; the first in the text on ties
-    chosen = chosen.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct((-F.col("probability")).alias("p"), "s", "e", "v"))).alias("all"))
+    # of overlapping candidates the likeliest stays, the first in the text on ties; candidates are parted where none reaches over a place, so lists are short
+    by = Window.partitionBy("doc_id", "th").orderBy("s", "e")
+    chosen = chosen.withColumn("fresh", F.coalesce(F.col("s") >= F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
+    chosen = chosen.withColumn("part", F.sum("fresh").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    chosen = chosen.groupBy("doc_id", "th", "part").agg(F.array_sort(F.collect_list(F.struct((-F.col("probability")).alias("p"), "s", "e", "v"))).alias("all"))
     greedy = f"aggregate(all, {none}, (a, x) -> IF(exists(a, y -> y.s < x.e AND y.e > x.s), a, array_append(a, named_struct('s', x.s, 'e', x.e, 'v', x.v))))"
-    chosen = chosen.selectExpr("doc_id AS chosen_id", "th AS chosen_th", f"{greedy} AS more")
+    chosen = chosen.groupBy("doc_id", "th").agg(F.array_sort(F.flatten(F.collect_list(F.expr(greedy)))).alias("more"))
+    chosen = chosen.selectExpr("doc_id AS chosen_id", "th AS chosen_th", "more")
     rows = found.join(chosen, found["doc_id"].eqNullSafe(chosen["chosen_id"]) & (found["th"] == chosen["chosen_th"]), "left")
     return rows.selectExpr("doc_id", "th", *BASE, f"coalesce(more, {none}) AS other")
 

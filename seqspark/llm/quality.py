@@ -10,12 +10,13 @@ classes of equal weight.
 
 Defined results: a null text is the empty text (no words, base_failed); without labelled rows
 of both kinds there is no classifier and the base rules alone decide; of a labelled id that repeats in
-the documents, the smallest text is trained on; repeated rows are scored each; columns of the input other than the id and the text pass
+the documents, the smallest text is trained on, those of over ``SAMPLE_TEXT`` bytes aside; repeated rows are scored each; columns of the input other than the id and the text pass
 through in ``keep_quality``, whatever their names.  A very long text is a block of its own; its memory follows its words, not its characters.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +31,8 @@ BUCKETS = 1 << 16
 CHAR_N = (3, 5)
 SAMPLE_ROWS = 2048
 SAMPLE_BYTES = 16 << 20
+#: The sample leaves out texts of more bytes than this, so that no text takes the place of others: 64 rows fit at least.
+SAMPLE_TEXT = SAMPLE_BYTES >> 6
 #: Bytes of a text that one step of the character n-grams looks at.
 SLICE = 1 << 18
 THRESHOLD = 0.5
@@ -346,22 +349,24 @@ def _fit_batches(epochs: int, rate: float):
     return run
 
 
-def train_quality_model(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, epochs: int = 60, rate: float = 20.0) -> QualityModel | None:
+def train_quality_model(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, epochs: int = 60, rate: float = 20.0, sample_text: int = SAMPLE_TEXT) -> QualityModel | None:
     """Fit on at most ``sample_rows`` labelled rows, those with the smallest hash of doc_id, while their texts hold at most ``sample_bytes``.
 
+    Texts of over ``sample_text`` bytes are not trained on (they are scored like any other), and take no room from the rows behind them.
     Every fifth row of a class is held out and calibrates the logit (Platt's scaling).
-    Null without rows of both classes.
+    Null, with a warning, without rows of both classes.
     """
     toxic = F.col("toxic").cast("int") if "toxic" in labels.columns else F.lit(None).cast("int")
     known = labels.select("doc_id", F.col("quality").cast("int").alias("label"), toxic.alias("toxic")).where("doc_id IS NOT NULL AND (label IS NOT NULL OR toxic IS NOT NULL)")
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"), F.max("toxic").alias("toxic"))
     known = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").groupBy("doc_id", "h", "label", "toxic").agg(F.min("text").alias("text"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= sample_text).groupBy("doc_id", "h", "label", "toxic").agg(F.min("text").alias("text"))
     # at most ``sample_rows`` rows stand in this window, whose order is also that of all sums below
     rows = rows.withColumn("bytes", F.sum(F.octet_length("text")).over(Window.orderBy("h", "doc_id"))).where(F.col("bytes") <= sample_bytes)
     # the window leaves the sample in one task, which fits; the driver receives weights alone
     fitted = rows.select("h", "label", "toxic", "text").mapInArrow(_fit_batches(epochs, rate), "weights binary, slope double, intercept double, toxic binary, toxic_slope double, toxic_intercept double").collect()
     if not fitted:
+        warnings.warn("no labelled rows of both classes: base rules alone decide", stacklevel=2)
         return None
     own = fitted[0]
     rejects = None if own.toxic is None else ToxicModel(np.frombuffer(own.toxic, np.float32), own.toxic_slope, own.toxic_intercept)

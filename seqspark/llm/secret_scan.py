@@ -68,7 +68,6 @@ def _ways(tree) -> list[list[str]]:
                 parts = [[""], *inner]
             elif low:
                 parts = [[*w, ""] if len(w) > 1 or high != 1 else w for w in inner]
-                parts = [w if w[0] == "" or high == low == 1 else [*w] for w in parts]
             else:
                 parts = [["", ""]]
         elif op is sre.AT:

@@ -7,11 +7,13 @@ import re
 import struct
 from collections import Counter
 
+import numpy as np
 import pytest
 import regex
 import xxhash
+from pyspark.sql import functions as F
 
-from seqspark.llm import decontaminate, packing, pii, quality, secret_scan, warc
+from seqspark.llm import decontaminate, packing, pii, quality, secret_scan, spans, warc
 
 SCHEMA = "doc_id long, text string"
 
@@ -238,13 +240,16 @@ def _brute_leaks(docs, items):
             continue
         templ, names = (t if len(t) == len(vals) else vals for t in (templ, names))
         size = min(len(vals), 8)
+        fewest = min((sum("⟨" in x for x in t[q : q + 8]) for t in (templ, names) for q in range(len(vals) - 7)), default=0)
         for doc_id, text in docs:
             own, found, best = _brute_forms(text), set(), 0
+            if size < 4 and len(own[2]) != size:
+                continue
             aligned = {}
             for form, (t, w) in enumerate(((templ, templ), (names, names), (templ, vals))):
                 for q in range(len(vals) - size + 1):
                     kinds = t[q : q + size]
-                    if form < 2 and not (size == 8 and 1 <= sum("⟨" in x for x in kinds) <= 3):
+                    if form < 2 and not (size == 8 and 1 <= sum("⟨" in x for x in kinds) <= (3 if fewest <= 3 else 6)):
                         continue
                     for p in range(len(own[form]) - size + 1):
                         if own[form][p : p + size] == w[q : q + size]:
@@ -273,7 +278,8 @@ def test_decontamination_matches_brute_force(spark):
     def sentence(n):
         return " ".join(rng.choice(words) if rng.random() < 0.75 else rng.choice(people) if rng.random() < 0.5 else str(rng.randrange(1, 20)) for _ in range(n))
 
-    items = [(i, f"{rng.choice(people)} {sentence(rng.randrange(3, 30))}. {sentence(rng.randrange(2, 9))}?") for i in range(12)] + [(20, "2 km"), (21, ""), (22, "no such thing anywhere")]
+    items = [(i, f"{rng.choice(people)} {sentence(rng.randrange(3, 30))}. {sentence(rng.randrange(2, 9))}?") for i in range(12)]
+    items += [(30, "3 km 7 apples 2 4 5 9 red 8 11 old"), (31, "box"), (32, "near the river takes")] + [(20, "2 km"), (21, ""), (22, "no such thing anywhere")]
     docs = []
     for i in range(60):
         text = rng.choice(items[:12])[1]
@@ -283,6 +289,7 @@ def test_decontamination_matches_brute_force(spark):
         text = re.sub("[0-9]+", lambda m: m[0] if rng.random() < 0.6 else str(rng.randrange(1, 20)), text)
         cut = rng.randrange(len(text) // 2)
         docs.append((i, f"{sentence(5)}, {text[cut if rng.random() < 0.3 else 0:]} {sentence(4)}"))
+    docs += [(104, "So 4 km 8 apples 1 6 7 2 red 3 12 old it is"), (105, "Box"), (106, "a walk near the river takes time")]
     docs += [(100, "2 KM"), (101, "word " * 60_000 + items[0][1]), (102, items[1][1]), (103, "")]
     got = decontaminate.find_leaks(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
     want = _brute_leaks(docs, items)
@@ -291,7 +298,11 @@ def test_decontamination_matches_brute_force(spark):
 
 def test_dense_and_short_items_and_initial_names_are_found(spark):
     dense = "What is 12 + 7 * 3 - 4 or 5 / 6?"
-    assert _found(spark, ["So. " + dense, dense.replace("12", "13").replace("7", "9")], dense) == {0}
+    # every window has four slots or more: those with two literal words count
+    assert _found(spark, ["So. " + dense, dense.replace("12", "13").replace("7", "9"), "What is 12 or 5?"], dense) == {0, 1}
+    # few words are no sign of an item, unless there are no others
+    assert _found(spark, ["one two yes three", "Yes!", "yes yes"], "Yes") == {1}
+    assert _found(spark, ["Take the largest moon, then", "the largest moon", "the  Largest: moon", ""], "The largest moon") == {1, 2}
     assert _found(spark, ["It said: Name the largest moon. Then", "name the moon"], "Name the largest moon") == {0}
     names = "Tom has 5 apples. Tom gives 2 to his sister. Tom eats one and sells the others at the market."
     assert _found(spark, [names.replace("Tom", "Anna").replace("5", "8"), names.lower()], names) == {0, 1}
@@ -404,6 +415,28 @@ def test_quality_rejects_held_out_toxic_rows(spark):
     assert sum(kept[i] for i, _, y in rows if i >= 500 and not y) >= 150  # of 160
 
 
+def test_one_long_labelled_text_changes_no_model(spark):
+    rng = random.Random(13)
+    rows = [(i, " ".join(rng.choice(("red", "blue") if i % 2 else ("tax", "loan")) + rng.choice("abcd") for _ in range(50)), i % 2) for i in range(120)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    first = labels.orderBy(F.xxhash64("doc_id")).first().doc_id
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], SCHEMA)
+    long = docs.withColumn("text", F.when(F.col("doc_id") == first, F.repeat(F.lit("word " * 1000), 3400)).otherwise(F.col("text")))
+    got, want = quality.train_quality_model(long, labels), quality.train_quality_model(docs.where(F.col("doc_id") != first), labels)
+    assert got is not None and np.array_equal(got.weights, want.weights) and (got.slope, got.intercept) == (want.slope, want.intercept)
+    with pytest.warns(UserWarning):
+        assert quality.train_quality_model(docs, labels.where("quality = 1")) is None
+
+
+def test_very_many_matches_in_one_text(spark):
+    n = 100_000
+    docs = spark.createDataFrame([(1, "é 1.2.3.4 " * n), (2, "x"), (3, None)], SCHEMA)
+    found = docs.selectExpr("doc_id", f"{spans.matches('text', '[0-9]+', keep='x.v > 1')} AS m")
+    got = {r.doc_id: r.m for r in found.collect()}
+    assert [(m.s, m.e, m.v) for m in got[1][:4]] == [(4, 5, "2"), (6, 7, "3"), (8, 9, "4"), (14, 15, "2")] and len(got[1]) == 3 * n
+    assert (got[1][-1].s, got[1][-1].e) == (10 * n - 2, 10 * n - 1) and not got[2] and not got[3]
+
+
 def test_pipeline_stages_keep_columns(spark, tmp_path):
     import corpus_pipeline
 
