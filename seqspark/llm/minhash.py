@@ -11,9 +11,10 @@ aside) is at least ``SIMILARITY``.  Texts with equal sets are one class from the
    and a cell returns the survivors that join something new there, so a group of many near copies gives as many links as classes.
 3. Survivors are verified on the whole shingle sets: beside each leading class, its partners' texts pass
    by in cells of bounded size.
-4. Verified links make components.  What the forest left open is then settled: buckets that hold a link which verification
-   refused, or that were too large for one cell, are searched again between components, from the classes outside the bucket's largest
-   one, at first by the best partner of each, then by all survivors.  So each pair that shares a bucket and survives is joined or verified.
+4. Verified links make components.  What the forest left open is then settled: in buckets that hold a link which verification
+   refused, or that were too large for one cell, components with surviving pairs between them make regions.  In a region,
+   the classes outside its largest component are compared with all of it on the whole shingle sets, each class against those that hold its shingles.
+   So each pair that shares a bucket and survives is joined or verified, and a text is copied for its region's parts, not for its pairs.
 
 A bucket of over ``BUCKET`` classes is cut into cells by a hash; the cells' components first meet by one class each.  A bucket is
 never one task, and nothing but counts reaches the driver.
@@ -33,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from seqspark.llm import bytesops as B
-from seqspark.llm.components import connected_components, stored
-from seqspark.llm.near_copies import shingle_sets
+from seqspark.llm.components import connected_components, first_rows, stored
+from seqspark.llm.shingles import shingle_sets
 
 SHINGLE, SIMILARITY = 5, 0.85
 BANDS, ROWS = 20, 6
@@ -42,6 +43,10 @@ BANDS, ROWS = 20, 6
 SIGNATURE, BATCH, MISS = 128, 32, 1e-4
 #: Classes of a cell (in expectation), and partners that are verified beside one copy of a leading class's text.
 BUCKET, PARTNERS = 2048, 256
+#: Shingles of a region's part (in expectation).
+PART_SHINGLES = 1 << 19
+#: Classes in buckets, of 16 bytes each, up to this number are broadcast to the texts; more are shuffled with them.
+BROADCAST_ROWS = 1_000_000
 
 
 def pass_marks(similarity: float, size: int = SIGNATURE, batch: int = BATCH, miss: float = MISS) -> list[int]:
@@ -131,13 +136,10 @@ def _pairs_of(key: tuple, found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(found), pa.int64()), pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], names=["key", "a", "b"])
 
 
-def _survivors(marks: list[int], batch: int, mode: str):
-    """Survivors of each cell's rows (name, component, seeks, signature).
+def _survivors(marks: list[int], batch: int):
+    """Survivors of each cell's rows (name, component, seeks, signature) that join what is not yet joined there; one of each pair seeks."""
 
-    ``forest``: those that join what is not yet joined.  ``best``: for each seeking class, the one of most equal bytes.  ``all``: all of the seeking classes.
-    """
-
-    def near(signature: np.ndarray, x: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def near(signature: np.ndarray, x: int, others: np.ndarray) -> np.ndarray:
         equal = np.zeros(len(others), dtype=np.int64)
         for i, mark in enumerate(marks):
             part = slice(i * batch, (i + 1) * batch)
@@ -146,30 +148,70 @@ def _survivors(marks: list[int], batch: int, mode: str):
             others, equal = others[stay], equal[stay]
             if not len(others):
                 break
-        return others, equal
+        return others
 
     def close(key: tuple, table: pa.Table) -> pa.RecordBatch:
-        names, once = np.unique(table.column("name").to_numpy(), return_index=True)
-        _, root = np.unique(table.column("component").to_numpy()[once], return_inverse=True)
+        names, once, root, seeks = _members(table)
         raw = table.column("signature").combine_chunks()
         signature = np.frombuffer(b"".join(raw.take(pa.array(once)).to_pylist()), dtype=np.uint8).reshape(len(names), -1)
-        seeks = np.zeros(len(names), dtype=bool)
-        seeks[np.searchsorted(names, table.column("name").to_numpy()[table.column("seeks").to_numpy(zero_copy_only=False).astype(bool)])] = True
-        found: list[tuple[int, int]] = []
-        for x in range(len(names)) if mode == "forest" else np.flatnonzero(seeks).tolist():
-            open_ = root != root[x]
-            if mode == "forest":
-                open_[:x] = False
-            others, equal = near(signature, x, np.flatnonzero(open_))
-            if mode == "best":
-                others = others[equal.argmax() :][:1] if len(others) else others
-            for y in others.tolist():
-                if mode != "forest":
-                    found.append((int(names[x]), int(names[y])))
-                elif root[y] != root[x]:
-                    root[root == root[y]] = root[x]
-                    found.append((int(names[x]), int(names[y])))
-        return _pairs_of(key, found)
+        return _pairs_of(key, _forest(names, root, seeks, lambda x, others: near(signature, x, others)))
+
+    return _cells(2, close)
+
+
+def _members(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """A cell's classes, a row of each, their components as numbers, and which of them seek."""
+    names, once = np.unique(table.column("name").to_numpy(), return_index=True)
+    _, root = np.unique(table.column("component").to_numpy()[once], return_inverse=True)
+    seeks = np.zeros(len(names), dtype=bool)
+    seeks[np.searchsorted(names, table.column("name").to_numpy()[table.column("seeks").to_numpy(zero_copy_only=False).astype(bool)])] = True
+    return names, once, root, seeks
+
+
+def _forest(names: np.ndarray, root: np.ndarray, seeks: np.ndarray, near) -> list[tuple[int, int]]:
+    """Links of seeking classes to ``near`` ones, without those that close a ring; of two seeking classes, the first asks."""
+    found = []
+    for x in np.flatnonzero(seeks).tolist():
+        open_ = root != root[x]
+        open_[:x] &= ~seeks[:x]
+        if not open_.any():
+            continue
+        for y in near(x, np.flatnonzero(open_)).tolist():
+            if root[y] != root[x]:
+                root[root == root[y]] = root[x]
+                found.append((int(names[x]), int(names[y])))
+    return found
+
+
+def _near_sets(similarity: float, shingle: int):
+    """Links of each cell's rows (name, component, seeks, text), by whole shingle sets: a class is counted against those that hold its shingles."""
+    percent = round(100 * similarity)
+
+    def close(key: tuple, table: pa.Table) -> pa.RecordBatch:
+        names, once, root, seeks = _members(table)
+        texts, sets, size = table.column("text").combine_chunks().take(pa.array(once)), [], []
+        for _, _, data, offsets in B.blocks(texts):
+            hashes, cuts = shingle_sets(data, offsets, shingle)
+            sets.append(hashes)
+            size.append(np.diff(cuts))
+        every, size = np.concatenate(sets), np.concatenate(size)
+        bounds, owner = np.concatenate([[0], np.cumsum(size)]), np.repeat(np.arange(len(names)), size)
+        order = np.argsort(every, kind="stable")
+        value, owner = every[order], owner[order]
+        start = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        held = np.diff(np.append(start, len(value)))
+        # the number of each shingle among the distinct ones
+        number = np.empty(len(value), dtype=np.int64)
+        number[order] = np.repeat(np.arange(len(start)), held)
+
+        def near(x: int, others: np.ndarray) -> np.ndarray:
+            own = number[bounds[x] : bounds[x + 1]]
+            n = held[own]
+            holders = owner[np.repeat(start[own] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            shared = np.bincount(holders, minlength=len(names))[others]
+            return others[100 * shared >= percent * (size[others] + size[x] - shared)]
+
+        return _pairs_of(key, _forest(names, root, seeks, near))
 
     return _cells(2, close)
 
@@ -214,12 +256,12 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int,
 class _Search:
     """Verified links and components of classes, improved by one search after the other."""
 
-    def __init__(self, members: DataFrame, signatures: DataFrame, texts: DataFrame, similarity: float, shingle: int, marks: list[int], bucket: int, batch: int):
-        self.members, self.signatures, self.texts = members, signatures, texts
+    def __init__(self, members: DataFrame, classes: DataFrame, texts: DataFrame, similarity: float, shingle: int, marks: list[int], bucket: int, batch: int):
+        """``members(key, name)`` of buckets; ``classes(name, n_shingles, signature)`` and ``texts(name, text)`` of the classes in them."""
+        self.members, self.classes, self.texts = members, classes, texts
         self.similarity, self.shingle, self.marks, self.bucket, self.batch = similarity, shingle, marks, bucket, batch
         self.components: DataFrame | None = None
         self.links: list[DataFrame] = []
-        self.tried: list[DataFrame] = []
 
     def labelled(self, rows: DataFrame) -> DataFrame:
         """``rows`` with each class's component so far."""
@@ -227,22 +269,22 @@ class _Search:
             return rows.withColumn("component", F.col("name"))
         return rows.join(self.components, "name", "left").withColumn("component", F.coalesce("component", "name"))
 
-    def compare(self, cells: DataFrame, mode: str) -> DataFrame:
+    def join(self, links: DataFrame) -> None:
+        """Components with further verified links (a, b)."""
+        self.links.append(links.select("a", "b"))
+        found = connected_components(reduce(DataFrame.unionByName, self.links))
+        self.components = stored(found.select(F.col("node").alias("name"), F.col("root").alias("component")), "components")
+
+    def survivors(self, cells: DataFrame) -> DataFrame:
         """(key, a, b): survivors among the rows (key, cell, name, component, seeks), stored."""
-        rows = cells.join(self.signatures, "name").select("key", "cell", "name", "component", "seeks", "signature")
+        rows = cells.join(self.classes.select("name", "signature"), "name").select("key", "cell", "name", "component", "seeks", "signature")
         rows = rows.repartition("key", "cell").sortWithinPartitions("key", "cell")
-        return stored(rows.mapInArrow(_survivors(self.marks, self.batch, mode), "key long, a long, b long"), "survivors")
+        return stored(rows.mapInArrow(_survivors(self.marks, self.batch), "key long, a long, b long"), "survivors")
 
     def settle(self, survivors: DataFrame) -> DataFrame:
-        """Verify the survivors not tried before, join what is near, and return the buckets of refused pairs (key)."""
-        pairs = survivors.select("a", "b").distinct()
-        for old in self.tried:
-            pairs = pairs.join(old.select("a", "b"), ["a", "b"], "left_anti")
-        checked = stored(verify(pairs, self.texts, self.similarity, self.shingle), "verified")
-        self.tried.append(checked)
-        self.links.append(checked.where("near").select("a", "b"))
-        found = reduce(DataFrame.unionByName, self.links)
-        self.components = stored(connected_components(found).select(F.col("node").alias("name"), F.col("root").alias("component")), "components")
+        """Verify survivors, join what is near, and return the buckets of refused pairs (key)."""
+        checked = stored(verify(survivors.select("a", "b").distinct(), self.texts, self.similarity, self.shingle), "verified")
+        self.join(checked.where("near"))
         return survivors.join(checked.where("NOT near").select("a", "b"), ["a", "b"], "left_semi").select("key").distinct()
 
     def parted(self, rows: DataFrame) -> DataFrame:
@@ -250,52 +292,69 @@ class _Search:
         sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / self.bucket).cast("int").alias("parts"))
         return rows.join(sizes, "key").select("key", F.pmod(F.xxhash64("name"), F.col("parts")).cast("long").alias("cell"), "name", "component", F.lit(True).alias("seeks"))
 
-    def between(self, keys: DataFrame) -> DataFrame:
-        """Cells of the buckets ``keys``: classes outside a bucket's largest component seek among all of its classes.
+    def between(self, rows: DataFrame, weight: float) -> DataFrame:
+        """Cells of groups ``rows(key, name, component, weight)``: classes outside a group's largest component seek among all of its classes.
 
-        Both are cut into parts of the bucket's size; a cell is a part of those that seek and a part of all.
+        Both are cut into parts of ``bucket`` classes, or a sum of ``weight``; a cell is a part of those that seek and a part of all.
         """
-        rows = self.labelled(self.members.join(keys, "key", "left_semi"))
-        sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
-        sizes = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")).where("n > most.n")
+        count = F.greatest(F.count("*") / self.bucket, F.sum("weight") / weight)
+        sizes = rows.groupBy("key", "component").agg(count.alias("n"))
+        sizes = sizes.groupBy("key").agg(F.count("*").alias("components"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")).where("components > 1")
         rows = rows.join(sizes, "key").withColumn("seeks", F.col("component") != F.col("most.component"))
-        parts = F.ceil(F.col("n") / self.bucket).cast("long")
-        seeking = F.greatest(F.ceil((F.col("n") - F.col("most.n")) / self.bucket).cast("long"), F.lit(1))
+        parts, seeking = F.ceil("n").cast("long"), F.greatest(F.ceil(F.col("n") - F.col("most.n")).cast("long"), F.lit(1))
         mine = F.pmod(F.xxhash64("name"), parts)
         as_table = F.transform(F.sequence(F.lit(0).cast("long"), seeking - 1), lambda i: F.struct((i * parts + mine).alias("cell"), F.lit(False).alias("seeks")))
         as_seeker = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda j: F.struct((F.pmod(F.xxhash64("name", F.lit(1)), seeking) * parts + j).alias("cell"), F.lit(True).alias("seeks")))
         own = F.concat(as_table, F.when(F.col("seeks"), as_seeker).otherwise(F.slice(as_seeker, 1, 0)))
         return rows.select("key", F.explode(own).alias("x"), "name", "component").select("key", "x.cell", "name", "component", "x.seeks")
 
+    def regions(self, keys: DataFrame) -> None:
+        """Settle the buckets ``keys``: components with surviving pairs between them are verified region by region."""
+        rows = self.labelled(self.members.join(keys, "key", "left_semi")).withColumn("weight", F.lit(0))
+        open_ = self.survivors(self.between(rows, 1.0)).select("a", "b").distinct()
+        named = self.labelled(self.classes.select("name")).select("name", "component")
+        pairs = open_.join(named.select(F.col("name").alias("a"), F.col("component").alias("x")), "a").join(named.select(F.col("name").alias("b"), F.col("component").alias("y")), "b")
+        found = connected_components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        rows = self.labelled(self.classes.select("name", F.col("n_shingles").alias("weight"))).join(found.select(F.col("node").alias("component"), F.col("root").alias("key")), "component")
+        cells = self.between(rows.select("key", "name", "component", "weight"), float(PART_SHINGLES)).join(self.texts, "name").select("key", "cell", "name", "component", "seeks", "text")
+        cells = cells.repartition("key", "cell").sortWithinPartitions("key", "cell")
+        self.join(stored(cells.mapInArrow(_near_sets(self.similarity, self.shingle), "key long, a long, b long"), "verified"))
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    """For a broadcast if its rows are few enough."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
-def links(own: DataFrame, rows: DataFrame, similarity: float, shingle: int, size: int, batch: int, miss: float, bucket: int) -> DataFrame | None:
-    """(name, component) of classes with a verified link, from sketches and their texts; none if no bucket has two classes."""
-    classes = own.where("n_shingles > 0").groupBy("name").agg(F.min_by(F.struct("rk", "signature", "keys"), "rk").alias("x")).select("name", "x.*")
+
+def links(own: DataFrame, rows: DataFrame, similarity: float, shingle: int, size: int, batch: int, miss: float, bucket: int) -> DataFrame:
+    """(name, component) of classes with a verified link, from sketches and their texts."""
+    classes = own.where("n_shingles > 0").groupBy("name").agg(F.min_by(F.struct("rk", "n_shingles", "signature", "keys"), "rk").alias("x")).select("name", "x.*")
     keys = classes.select("name", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(keys.join(shared, "key").select("key", "name", "n"), "members")
     large = members.where(F.col("n") > bucket).select("key").distinct()
     members = members.select("key", "name")
-    near = members.select("name").distinct()
-    kept = stored(classes.join(near, "name", "left_semi").select("name", "rk", "signature"), "signatures")
-    texts = stored(rows.select("rk", "text").join(kept.select("rk", "name"), "rk").dropDuplicates(["rk"]).select("name", "text"), "texts")
-    search = _Search(members, kept.select("name", "signature"), texts, similarity, shingle, pass_marks(similarity, size, batch, miss), bucket, batch)
-    refused = search.settle(search.compare(search.parted(search.labelled(members)), "forest"))
+    kept = stored(classes.join(members.select("name").distinct(), "name", "left_semi").select("name", "rk", "n_shingles", "signature"), "classes")
+    texts = stored(rows.select("rk", "text").join(_sized(kept.select("rk", "name")), "rk").dropDuplicates(["rk"]).select("name", "text"), "texts")
+    search = _Search(members, kept.select("name", "n_shingles", "signature"), texts, similarity, shingle, pass_marks(similarity, size, batch, miss), bucket, batch)
+    refused = search.settle(search.survivors(search.parted(search.labelled(members))))
     if large.limit(1).count():
         # cells of one bucket meet by one class of each component
         first = search.labelled(members.join(large, "key", "left_semi")).groupBy("key", "component").agg(F.min("name").alias("name"))
-        refused = refused.unionByName(search.settle(search.compare(search.parted(first), "forest"))).unionByName(large)
+        refused = refused.unionByName(search.settle(search.survivors(search.parted(first)))).unionByName(large)
     refused = stored(refused.distinct(), "refused")
-    for mode in ("best", "all"):
-        if refused.limit(1).count():
-            search.settle(search.compare(search.between(refused), mode))
+    if refused.limit(1).count():
+        search.regions(refused)
     return search.components
 
 
 def near_duplicates(
-    docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, minima: int = ROWS, size: int = SIGNATURE, batch: int = BATCH, miss: float = MISS, bucket: int = BUCKET
+    docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, minima: int = ROWS, size: int = SIGNATURE, batch: int = BATCH, miss: float = MISS, bucket: int = BUCKET, wordless: bool = False
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row; component_id is the smallest doc_id reachable over links, itself included."""
+    """(doc_id, n_shingles, component_id) of each row; component_id is the smallest doc_id reachable over links, itself included.
+
+    ``wordless``: texts without words are copies of each other.
+    """
     if size % batch or bands * minima > size:
         raise ValueError("a signature is a number of batches, and holds the minima of all bands")
     # a row's key: rows that are equal in both columns share it
@@ -303,17 +362,15 @@ def near_duplicates(
     kind = rows.schema["doc_id"].dataType.simpleString()
     own = stored(rows.select("doc_id", "text", "rk").mapInArrow(_sketches(shingle, bands, minima, size), f"doc_id {kind}, rk long, name long, n_shingles long, signature binary, keys array<long>"), "sketches")
     components = links(own, rows, similarity, shingle, size, batch, miss, bucket)
-    classes = own.where("n_shingles > 0").groupBy("name").agg(F.min("doc_id").alias("first")).join(components, "name", "left").select("name", "first", F.coalesce("component", "name").alias("component"))
+    classes = own.where(F.lit(wordless) | (F.col("n_shingles") > 0)).groupBy("name").agg(F.min("doc_id").alias("first")).join(components, "name", "left").select("name", "first", F.coalesce("component", "name").alias("component"))
     least = classes.groupBy("component").agg(F.min("first").alias("component_id"))
     named = classes.join(least, "component").select("name", "component_id")
-    # the empty set's rows are not members of one class
-    own_class = F.when(F.col("n_shingles") > 0, F.col("name"))
+    # unless asked for, the empty set's rows are not members of one class
+    own_class = F.when(F.lit(wordless) | (F.col("n_shingles") > 0), F.col("name"))
     found = own.select("doc_id", "n_shingles", own_class.alias("name")).join(named, "name", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are first of their component; rows with a null id, or that repeat a kept id, stay once each per distinct row."""
-    from seqspark.llm.components import first_rows
-
     return first_rows(docs, near_duplicates(docs, **options))

@@ -236,8 +236,8 @@ def _shingles(text, n=5):
     return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
 
 
-@pytest.mark.parametrize("part", [512, 3])
-def test_near_copies_match_brute_force(spark, part):
+@pytest.mark.parametrize("bucket", [2048, 3])
+def test_near_copies_match_brute_force(spark, bucket):
     rng = random.Random(21)
     rows = [(None, None), (9, ""), (8, " \n"), (7, "One two"), (None, "one TWO"), (6, "x"), (6, "x")]
     for g in range(12):
@@ -262,7 +262,7 @@ def test_near_copies_match_brute_force(spark, part):
     least = defaultdict(lambda: 1 << 62)
     for i, (d, _) in enumerate(rows):
         least[root(i)] = min(least[root(i)], _key(d))
-    got = near_copies.groups(spark.createDataFrame(rows, SCHEMA), part_classes=part).collect()
+    got = near_copies.groups(spark.createDataFrame(rows, SCHEMA), bucket=bucket).collect()
     assert sorted((_key(r.doc_id), _key(r.component_id)) for r in got) == sorted((_key(d), least[root(i)]) for i, (d, _) in enumerate(rows))
     assert near_copies.groups(spark.createDataFrame([], SCHEMA)).count() == 0
 
