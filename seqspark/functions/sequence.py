@@ -57,7 +57,7 @@ def m_to_a(seq: Column | str) -> Column:
 
 
 #: Letters in a slice that k-mers are cut from: ``substring`` counts from the start of its text, so texts are short.
-KMER_SLICE = 64
+KMER_SLICE = 32
 
 
 def slices(seq: Column | str, size: int, after: int = 0) -> Column:
