@@ -11,8 +11,8 @@ last such) is the window's anchor, so equal windows have their anchor at the sam
    Seeds with over ``GROUP`` anchors are split by window: counted with partial minima, and joined back.
 4. Windows that go join to maximal runs, which are at least WINDOW words long, and leave the texts.
 
-Defined results: words are ``[^\\x20\\x09-\\x0D]+`` unchanged; a null text has none; a null id is larger than
-any other and equal to itself; rows with equal ids do not delete from each other; further columns are ignored.
+Defined results: words are ``[^\\x20\\x09-\\x0D]+`` unchanged; a null text has none; ids are of any type that has an order; a null id is larger than
+any other (the integer 2**63 - 1 is as large) and equal to itself; rows with equal ids do not delete from each other; further columns are ignored.
 Words and windows are compared by 64-bit hashes beside the 64-bit hash of their seed.
 """
 
@@ -24,9 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import IntegralType
 
 from seqspark.llm import bytesops as B
 from seqspark.llm.components import stored
+from seqspark.operators.ranks import numbered
 
 WINDOW = 13
 SEED = 4
@@ -191,6 +193,11 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, group:
     """doc_id, n_words, n_removed, kept_sha256, the kept text, and the removed runs in words, of each row of ``docs``."""
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.select(F.xxhash64("doc_id", "text").alias("rk"), F.xxhash64("text").alias("th"), "doc_id", "text")
+    did = F.col("doc_id").cast("long")
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        # ids of other types are compared by their places in their order
+        places = numbered(docs.select("doc_id").where("doc_id IS NOT NULL").distinct(), "doc_id", name="did")
+        docs, did = docs.join(places, "doc_id", "left"), F.col("did")
     # both joins below ask for the same rows of the same columns, so Spark deals the texts out once
     texts = docs.repartition("rk")
 
@@ -205,7 +212,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, group:
     shared = shared.select("rk", "at", F.when(F.col("hot"), group + 1).otherwise(F.col("own_n")).alias("n"))
     items = F.flatten(F.transform(F.collect_set(F.struct("at", "n")), lambda x: F.transform(x["at"], lambda a: F.struct(a.alias("at"), x["n"].alias("n")))))
     asked = shared.groupBy("rk").agg(items.alias("items"))
-    kept = texts.join(asked, "rk").select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("did"), "rk", "th", "text", "items")
+    kept = texts.join(asked, "rk").select(F.coalesce(did, F.lit((1 << 63) - 1)).alias("did"), "rk", "th", "text", "items")
     extended = kept.mapInArrow(_extend(window, seed), "key long, did long, rk long, th long, n long, first int, windows binary")
 
     usual = extended.where(F.col("n") <= group).repartition("key").sortWithinPartitions("key", "did").mapInArrow(_in_order(window), "rk long, th long, lo int, hi int")

@@ -131,7 +131,10 @@ def _words(rows, n=13):
     return sorted(out)
 
 
-@pytest.mark.parametrize("group", [20_000, 5])
+_GROUPS = [20_000, 5]
+
+
+@pytest.mark.parametrize("group", _GROUPS)
 def test_substring_dedup_is_exact(spark, group):
     rng = random.Random(7)
     base = [rng.choice("ab cd é f g h".split()) for _ in range(200)]
@@ -141,6 +144,12 @@ def test_substring_dedup_is_exact(spark, group):
         rows.append((rng.randrange(10, 60), " ".join(rng.choice("xyz") for _ in range(rng.randrange(20))) + " " + " ".join(base[a : a + rng.randrange(5, 60)]) + "  y"))
     got = substring_dedup.drop_repeats(spark.createDataFrame(rows, SCHEMA), group=group).collect()
     assert sorted((_key(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == _words(rows)
+    if group == max(_GROUPS):  # ids of other types, in their own order
+        for schema, own in (("doc_id string, text string", lambda i: f"d{i:05}"), ("doc_id double, text string", float)):
+            named = spark.createDataFrame([(None if i is None else own(i), t) for i, t in rows], schema)
+            other = {own(i): i for i, _ in rows if i is not None} | {None: None}
+            got = substring_dedup.drop_repeats(named, group=group).collect()
+            assert sorted((_key(other[r.doc_id]), r.n_words, r.n_removed, r.kept_sha256) for r in got) == _words(rows)
 
 
 def _print(text):
