@@ -97,6 +97,16 @@ def test_alignment_is_exact_on_odd_texts(spark, monkeypatch):
     assert token_alignment.corpus_alignment(docs.limit(0)).count() == 0
 
 
+def test_both_libraries_give_the_same_ids():
+    rng = random.Random(5)
+    tokenizers = token_alignment.Tokenizers(token_alignment.A_PATH, token_alignment.B_PATH)
+    letters = "abcdefghij ABC'éßäñłж.,;:!?-()[]{}0123456789\n\t\r$#@<>|"
+    texts = [b.decode() for b in tokenizers.a_bytes[:50256] if b.decode(errors="ignore").encode() == b] + ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 40))) for _ in range(30_000)]
+    texts = [t for t in texts if token_alignment.COMMON.fullmatch(t)]
+    want = tokenizers.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
+    assert len(texts) > 70_000 and [tokenizers.quick(" " + t) for t in texts] == [w.ids for w in want]
+
+
 def test_alignment_of_the_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     got = {r.doc_id: x for r, x in zip(*(lambda x: (x, _rows(x)))(registry.queries()["op11_token_alignment"](spark, SF).collect()))}
