@@ -36,6 +36,8 @@ SEED = 4
 GROUP = 20_000
 #: One text in ``HOT_SAMPLE`` is asked for frequent seeds, and at most ``HOT_SEEDS`` of them are broadcast; this decides the way, not the result.
 HOT_SAMPLE, HOT_SEEDS = 64, 100_000
+#: Texts whose rests a task holds at once.
+CUT_ROWS = 512
 _PLACE = (1 << 24) - 1
 
 
@@ -166,7 +168,8 @@ def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    for batch in batches:
+    # what is kept is gathered for a part of a batch at a time
+    for batch in (whole.slice(at, CUT_ROWS) for whole in batches for at in range(0, whole.num_rows, CUT_ROWS)):
         out: list[tuple] = []
         for text, starts, ends in zip(batch.column("text"), batch.column("lo"), batch.column("hi"), strict=True):
             words = text.as_buffer().to_pybytes().split()

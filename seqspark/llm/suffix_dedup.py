@@ -45,6 +45,8 @@ HOT_SAMPLE, HOT_SEEN, HOT_SEEDS = 64, 16, 100_000
 #: Words of 8 bytes that the quicksort looks at before the tries take over.
 SHALLOW_WORDS = 4
 CHUNK_BYTES = 4 << 20
+#: Texts whose rests a task holds at once.
+CUT_ROWS = 512
 _PLACE = (1 << 24) - 1
 #: A text is read in pieces of this size, so that a place in a piece fits 24 bits.
 PIECE_BYTES = 4 << 20
@@ -319,7 +321,8 @@ def _union(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union of the ranges listed with each text, and what is left; bytes and number of the repeated passages."""
-    for batch in batches:
+    # what is kept is gathered for a part of a batch at a time
+    for batch in (whole.slice(at, CUT_ROWS) for whole in batches for at in range(0, whole.num_rows, CUT_ROWS)):
         out: list[tuple] = []
         for text, *ranges in zip(*(batch.column(c) for c in ("text", *_RANGES)), strict=True):
             raw = text.as_buffer().to_pybytes()
