@@ -111,9 +111,45 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(kept) AS BIG
 """
 
 
+# the CRC-32 of the decimal id, byte by byte and bit by bit; then equal words q apart, their stretches, and those without a smaller period
+PERIODIC_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+           xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT)),
+               lambda crc, c: list_reduce(range(0, 8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(crc, c)), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM documents),
+g AS (SELECT rid, doc_id, w, len(w) AS n, h // 10 AS g, coalesce(h % 10 = 0 AND len(w) > 0, false) AS turned FROM d),
+q AS (SELECT rid, doc_id, w, n, CASE WHEN turned THEN g % n ELSE n END AS a, CASE WHEN turned THEN 1 + (n - g % n) // (3 + g % 8) ELSE 1 END AS p FROM g),
+t AS MATERIALIZED (SELECT rid, doc_id, n, list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) AS w FROM q),
+x AS MATERIALIZED (SELECT rid, n, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS i FROM t),
+e AS (SELECT a.rid, b.i - a.i AS q, a.i FROM x a JOIN x b ON a.rid = b.rid AND a.w = b.w AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+s AS MATERIALIZED (SELECT rid, q, min(i) AS s, count(*) + q AS n FROM (SELECT rid, q, i, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS k FROM e) GROUP BY rid, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+u AS MATERIALIZED (SELECT * FROM s r WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.rid = r.rid AND o.q < r.q AND r.q % o.q = 0 AND o.s <= r.s AND o.s + o.n >= r.s + r.n)),
+v AS (SELECT rid, count(*) AS n_runs, arg_min({'s': s, 'n': n, 'q': q}, {'e': -n::DOUBLE / q, 's': s, 'q': q}) AS b, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM u GROUP BY rid),
+o AS (SELECT DISTINCT rid, unnest(range(s + q, s + n)) AS i FROM u),
+k AS (SELECT x.rid, string_agg(x.w, ' ' ORDER BY x.i) AS kept FROM x LEFT JOIN o ON o.rid = x.rid AND o.i = x.i WHERE o.i IS NULL GROUP BY x.rid)
+SELECT t.doc_id, CAST(coalesce(v.n_runs, 0) AS BIGINT) AS n_runs, CAST(v.b.s AS BIGINT) AS start, CAST(v.b.n AS BIGINT) AS length, CAST(v.b.q AS BIGINT) AS period, CAST(1000 * v.b.n // v.b.q AS BIGINT) AS exponent_milli,
+       sha256(coalesce(v.lines, '')) AS runs_sha256, sha256(coalesce(k.kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN v ON v.rid = t.rid LEFT JOIN k ON k.rid = t.rid
+"""
+
+
+MINHASH_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT rid, array_to_string(w[p : p + 4], ' ') AS s FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT rid, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS h FROM s GROUP BY rid),
+c AS MATERIALIZED (SELECT h, min(rid) AS rid, any_value(n) AS n FROM n GROUP BY h),
+t AS MATERIALIZED (SELECT s.rid, s.s FROM s JOIN c USING (rid)),
+p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS m FROM t a JOIN t b ON a.s = b.s AND a.rid <> b.rid GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN c x ON x.rid = a JOIN c y ON y.rid = b WHERE 100 * m >= 85 * (x.n + y.n - m)),
+r AS (SELECT rid AS a, rid AS b FROM c UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+k AS (SELECT r.a AS rid, min(d.doc_id) AS least FROM r JOIN c ON c.rid = r.b JOIN n ON n.h = c.h JOIN d ON d.rid = n.rid GROUP BY r.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(k.least, d.doc_id) AS component_id, d.doc_id IS NOT DISTINCT FROM coalesce(k.least, d.doc_id) AS kept
+FROM d LEFT JOIN n ON n.rid = d.rid LEFT JOIN c ON c.h = n.h LEFT JOIN k ON k.rid = c.rid
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_suffix_dedup, op2_secrets, op3_pii, op4_warc, op5_decontaminate, op6_packing, op7_simhash, op8_line_dedup, op9_quality, op10_substring_dedup, op11_token_alignment, op12_periodic, op13_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": WARC_SQL, "op8_line_dedup": LINE_SQL, "op10_substring_dedup": SUBSTRING_SQL}
+    return {"op4_warc": WARC_SQL, "op8_line_dedup": LINE_SQL, "op10_substring_dedup": SUBSTRING_SQL, "op12_periodic": PERIODIC_SQL, "op13_minhash": MINHASH_SQL}
