@@ -104,11 +104,18 @@ def tag_value(tags: Column | str, name: str, kind: str = "string") -> Column:
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """The eleven fields, tags (see ``TAGS``), and line_no, which ascends with the alignments of a file.  Positions become 0-based; header lines are left out."""
+    """The eleven fields, tags (see ``TAGS``), and line_no, which ascends with the alignments of a file and, in a folder, with the names of its files.  Positions become 0-based; header
+    lines are left out.
+
+    Spark reads a folder's files by size, so a line's number is its place in its block and the lines of the blocks before, by file and place.
+    """
     f = F.split("value", "\t")
     fields = [F.get(f, F.lit(i)).cast(kind).alias(name) if name != "pos" else (F.get(f, F.lit(i)).cast("int") - 1).alias("pos") for i, (name, kind) in enumerate(SAM_FIELDS)]
     tags = parse_tags(F.slice(f, F.lit(12), F.greatest(F.size(f) - 11, F.lit(0))))
-    rows = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+    lines, blocks = _numbered_lines(spark, path)
+    earlier = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("_shift"))
+    rows = lines.join(F.broadcast(blocks), ["file", "block"]).withColumn("line_no", F.col("id") + F.col("_shift"))
     return rows.where(~F.col("value").startswith("@") & (F.col("value") != "")).select(*fields, tags.alias("tags"), "line_no")
 
 

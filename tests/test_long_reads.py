@@ -214,3 +214,12 @@ def test_fasta_lines_over_splits(spark, tmp_path, block):
             assert X._numbered_lines(spark, str(tmp_path))[1].count() > 20  # blocks, each a task of its own
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_sam_lines_keep_the_order_of_a_folder_whatever_its_files_sizes(spark, tmp_path):
+    line = "{}\t0\tc\t1\t60\t4M\t*\t0\t0\tACGT\tIIII\n"
+    (tmp_path / "sam").mkdir()
+    names = [f"r{i}" for i in range(60)]
+    for part, (lo, hi) in enumerate([(0, 2), (2, 50), (50, 60)]):
+        (tmp_path / "sam" / f"part-{part}.txt").write_text(("@HD\tVN:1.6\n" if part == 0 else "") + "".join(map(line.format, names[lo:hi])))
+    assert [r.read_id for r in X.read_sam(spark, str(tmp_path / "sam")).orderBy("line_no").collect()] == names
