@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from seqspark.functions.sequence import evaluated
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 # fx_frames: 64 values and two more make eleven frames of six classes
@@ -31,6 +33,9 @@ DUCK_VIEWS = _BOTH | {
     "fx_frames": "SELECT read_id, chunk_id, CAST(i // 6 AS BIGINT) AS t, CAST(i % 6 AS BIGINT) AS cls, CAST(v AS DOUBLE) AS logit FROM (SELECT label AS read_id, vec_id AS chunk_id, unnest(list_concat(embedding, [-1::FLOAT, -2::FLOAT])) AS v, generate_subscripts(list_concat(embedding, [-1::FLOAT, -2::FLOAT]), 1) - 1 AS i FROM embeddings)",
 }
 
+#: Columns of views that scan whole texts: read by later columns and filters, not repeated in each.
+EVALUATED = {"fx_reads": "seq"}
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -44,7 +49,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     needed = {t: view(spark, sf_dir, t) for t in (*TABLES, *SPARK_VIEWS) if f"FROM {t}" in f"{text} " and t != name and f"FROM {t}_" not in text}
     for t in needed:
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
-    return spark.sql(text, **needed)
+    df = spark.sql(text, **needed)
+    return evaluated(df, EVALUATED[name], df[EVALUATED[name]]) if name in EVALUATED else df
 
 
 def duck(sql: str) -> str:
