@@ -223,3 +223,17 @@ def test_sam_lines_keep_the_order_of_a_folder_whatever_its_files_sizes(spark, tm
     for part, (lo, hi) in enumerate([(0, 2), (2, 50), (50, 60)]):
         (tmp_path / "sam" / f"part-{part}.txt").write_text(("@HD\tVN:1.6\n" if part == 0 else "") + "".join(map(line.format, names[lo:hi])))
     assert [r.read_id for r in X.read_sam(spark, str(tmp_path / "sam")).orderBy("line_no").collect()] == names
+
+
+def test_distances_of_unlike_long_reads_go_by_columns(spark):
+    rng = random.Random(11)
+    for letters in ("AC", "ACGT", "ACGTé\U0001f600"):
+        for _ in range(300):
+            a, b = ("".join(rng.choice(letters) for _ in range(rng.randrange(80))) for _ in range(2))
+            assert E.by_columns(a, b) == E._along_diagonals()(a, b, 1 << 30) == E._measured()(a, b)
+    pairs = [(s := _seq(rng, 12_000), s[::-1]) for _ in range(12)]
+    df = spark.createDataFrame(pairs, "a string, b string").repartition(1)
+    start = time.time()
+    got = [r[0] for r in df.select(E.edit_distance("a", "b")).collect()]
+    assert time.time() - start < 30  # along the diagonals alone, some 50 s
+    assert sorted(got) == sorted(E.by_columns(b, a) for a, b in pairs)
