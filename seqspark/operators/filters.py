@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seqspark.functions.distance import edit_distance
 from seqspark.functions.sequence import IUPAC, as_column, iupac_to_regex, letters, reverse_complement
+from seqspark.shared import stored
 
 UNMAPPED, REVERSE, SECONDARY = 4, 16, 256
 
@@ -142,7 +143,8 @@ def filter_by_label_length(df: DataFrame, length: str, chunk_len: int) -> DataFr
 def exclude_unmatched_reads(df: DataFrame, query: str, basecall: str, reverse: str, seed: int = 7) -> DataFrame:
     """Rows whose basecall is near the query: two Gaussians are fitted to the edit distances; those below the mark between their means stay."""
     own = F.when(F.col(reverse), reverse_complement(query)).otherwise(F.col(query))
-    rows = df.withColumn("distance", edit_distance(own, F.col(basecall)).cast("double"))
+    # the fit and the filter read distances that are measured once
+    rows = stored(df.withColumn("distance", edit_distance(own, F.col(basecall)).cast("double")), "distances")
     vector = VectorAssembler(inputCols=["distance"], outputCol="_features", handleInvalid="skip")
     fitted = GaussianMixture(featuresCol="_features", k=2, seed=seed).fit(vector.transform(rows))
     lo, hi = sorted(float(g.mean[0]) for g in fitted.gaussiansDF.collect())

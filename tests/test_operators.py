@@ -249,3 +249,24 @@ def test_pileup_of_other_modifications(spark):
     ref = spark.createDataFrame([("c", "ACGC", 4)], "contig string, seq string, length long")
     assert {(r.refpos, r.likelihood) for r in L.meth_pileup(aln, ref, "5mC").collect()} == {(1, 0), (3, 9)}
     assert len(L.CODES) == 10
+
+
+def test_views_of_whole_texts_are_read_once(spark):
+    from seqspark.plans import reads as _  # noqa: F401
+    from seqspark.plans.catalog import QUERIES
+
+    plan = QUERIES["record_filter"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("regexp_replace") == 1
+
+
+def test_distances_of_matched_reads_are_measured_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(s):
+        seen.add(1)
+        return s
+
+    df = spark.createDataFrame([(i, "ACGT" * 9, "ACGT" * 9 if i % 4 else "TTTT" * 9, False) for i in range(40)], "read_id int, query string, own string, reverse boolean")
+    got = P.exclude_unmatched_reads(df.select("read_id", "query", "reverse", counted("own").alias("basecall")), "query", "basecall", "reverse")
+    assert {r.read_id for r in got.collect()} == {i for i in range(40) if i % 4} and seen.value == 40
