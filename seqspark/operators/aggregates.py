@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from seqspark.functions.distance import edit_distance
 from seqspark.functions.sequence import as_column, cigar_ops, kmers, letters
 from seqspark.operators.segments import runs
+from seqspark.shared import stored
 
 NAN = float("nan")
 #: Training steps that are smoothed in one row.
@@ -147,13 +148,18 @@ def edit_error(pairs: DataFrame, pred: str = "pred", ref: str = "ref", reduction
     return own.agg(F.count("*").alias("n"), F.avg(edit_distance("p", "r") / F.length("r")).alias("error"))
 
 
-def letter_bound(pred: Column | str, ref: Column | str, alphabet: str, written: str) -> Column:
-    """At most the edit distance of ``ref`` and ``pred`` with the letters of ``alphabet`` written as those of ``written``: each edit changes one letter's count, and another's."""
-    more = [count_letter(pred, c) - count_letter(ref, w) for c, w in zip(alphabet, written, strict=True)]
+def count_bound(pred: dict[str, Column], ref: dict[str, Column], alphabet: str, written: str) -> Column:
+    """``letter_bound`` from the counts of each letter in both texts."""
+    more = [pred[c] - ref[w] for c, w in zip(alphabet, written, strict=True)]
     over, under = (reduce(add, (F.greatest(sign * m, F.lit(0)) for m in more)) for sign in (1, -1))
     return F.greatest(over, under)
 
 
+def letter_bound(pred: Column | str, ref: Column | str, alphabet: str, written: str) -> Column:
+    """At most the edit distance of ``ref`` and ``pred`` with the letters of ``alphabet`` written as those of ``written``: each edit changes one letter's count, and another's."""
+    return count_bound({c: count_letter(pred, c) for c in alphabet}, {w: count_letter(ref, w) for w in written}, alphabet, written)
+
+
 def permute_error(pairs: DataFrame, alphabet: str = "ACGT", pred: str = "pred", ref: str = "ref", slices: int = 16) -> DataFrame:
     """One row: the permutation of the predictions' letters with the least mean error, the first in order on ties.
 
@@ -163,6 +169,10 @@ def permute_error(pairs: DataFrame, alphabet: str = "ACGT", pred: str = "pred",
     """
     orders = ["".join(p) for p in permutations(alphabet)]
     own = pairs.where((F.length(ref) > 0) & F.col(pred).isNotNull()).select(F.col(pred).alias("p"), F.col(ref).alias("r"), F.pmod(F.xxhash64(pred, ref), F.lit(slices)).alias("slice"))
+    # read several times; letters are counted once, not for each permutation
+    counts = {c: {x: f"_{c}{i}" for i, x in enumerate(alphabet)} for c in ("p", "r")}
+    own = stored(own.select("*", *(count_letter(c, x).alias(name) for c in counts for x, name in counts[c].items())), "pairs")
+    held = [{x: F.col(name) for x, name in counts[c].items()} for c in counts]
 
     def errors(rows: DataFrame, chosen: list[str]) -> dict[str, float]:
         written = F.array(*(F.struct(F.lit(o).alias("permutation"), F.translate("p", alphabet, o).alias("p")) for o in chosen))
@@ -170,9 +180,9 @@ def permute_error(pairs: DataFrame, alphabet: str = "ACGT", pred: str = "pred",
         return {r["permutation"]: r["error"] for r in rows.groupBy("permutation").agg(F.sum("error").alias("error")).collect()}
 
     rest = own.where("slice > 0")
-    bounds = rest.agg(*(F.coalesce(F.sum(letter_bound("p", "r", alphabet, o) / F.length("r")), F.lit(0.0)).alias(o) for o in orders), F.count("*").alias("n")).first()
+    bounds = rest.agg(*(F.coalesce(F.sum(count_bound(*held, alphabet, o) / F.length("r")), F.lit(0.0)).alias(o) for o in orders)).first()
     first = errors(own.where("slice = 0"), orders)
-    n = bounds["n"] + own.where("slice = 0").count()
+    n = own.count()
     done: dict[str, float] = {}
     least = {o: (bounds[o] + first.get(o, 0.0)) / max(n, 1) for o in orders}
     for o in sorted(orders, key=lambda o: (least[o], o)):

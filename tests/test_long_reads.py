@@ -237,3 +237,18 @@ def test_distances_of_unlike_long_reads_go_by_columns(spark):
     got = [r[0] for r in df.select(E.edit_distance("a", "b")).collect()]
     assert time.time() - start < 30  # along the diagonals alone, some 50 s
     assert sorted(got) == sorted(E.by_columns(b, a) for a, b in pairs)
+
+
+def test_pairs_of_a_permutation_are_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(s):
+        seen.add(1)
+        return s
+
+    df = spark.createDataFrame([("ACGT" * i,) for i in range(1, 41)], "own string")
+    got = A.permute_error(df.select(F.translate("own", "ACGT", "CATG").alias("pred"), counted("own").alias("ref"))).first()
+    # once for the filter and once for the table at most, not again for each permutation
+    assert got.error == 0.0 and "".join(got.permutation["ACGT".index(c)] for c in "CATG") == "ACGT"
+    assert seen.value <= 80
