@@ -25,7 +25,7 @@ nothing, not even each other; rows with a null id are kept, and name a component
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from math import comb
 
@@ -47,6 +47,7 @@ BUCKET, PARTNERS = 2048, 256
 PART_SHINGLES = 1 << 19
 #: Classes in buckets, of 16 bytes each, up to this number are broadcast to the texts; more are shuffled with them.
 BROADCAST_ROWS = 1_000_000
+Search = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
 
 
 def pass_marks(similarity: float, size: int = SIGNATURE, batch: int = BATCH, miss: float = MISS) -> list[int]:
@@ -308,9 +309,9 @@ class _Search:
         own = F.concat(as_table, F.when(F.col("seeks"), as_seeker).otherwise(F.slice(as_seeker, 1, 0)))
         return rows.select("key", F.explode(own).alias("x"), "name", "component").select("key", "x.cell", "name", "component", "x.seeks")
 
-    def regions(self, keys: DataFrame) -> None:
-        """Settle the buckets ``keys``: components with surviving pairs between them are verified region by region."""
-        rows = self.labelled(self.members.join(keys, "key", "left_semi")).withColumn("weight", F.lit(0))
+    def regions(self, keys: DataFrame, members: DataFrame | None = None) -> None:
+        """Settle the buckets ``keys`` (of ``members`` if given): components with surviving pairs between them are verified region by region."""
+        rows = self.labelled((self.members if members is None else members).join(keys, "key", "left_semi")).withColumn("weight", F.lit(0))
         open_ = self.survivors(self.between(rows, 1.0)).select("a", "b").distinct()
         named = self.labelled(self.classes.select("name")).select("name", "component")
         pairs = open_.join(named.select(F.col("name").alias("a"), F.col("component").alias("x")), "a").join(named.select(F.col("name").alias("b"), F.col("component").alias("y")), "b")
@@ -326,22 +327,34 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def links(own: DataFrame, rows: DataFrame, similarity: float, shingle: int, size: int, batch: int, miss: float, bucket: int) -> DataFrame:
-    """(name, component) of classes with a verified link, from sketches and their texts."""
+def links(own: DataFrame, rows: DataFrame, similarity: float, shingle: int, size: int, batch: int, miss: float, bucket: int, first: Search | None = None) -> DataFrame:
+    """(name, component) of classes with a verified link, from sketches and their texts.
+
+    ``first`` gives the groups (key, name) and pairs (key, a, b) of another search over the texts (rk, text) and their classes (rk, name).  These are verified, and groups
+    with a refused pair settled, before the buckets are.
+    """
     classes = own.where("n_shingles > 0").groupBy("name").agg(F.min_by(F.struct("rk", "n_shingles", "signature", "keys"), "rk").alias("x")).select("name", "x.*")
     keys = classes.select("name", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(keys.join(shared, "key").select("key", "name", "n"), "members")
     large = members.where(F.col("n") > bucket).select("key").distinct()
     members = members.select("key", "name")
-    kept = stored(classes.join(members.select("name").distinct(), "name", "left_semi").select("name", "rk", "n_shingles", "signature"), "classes")
+    named = members.select("name")
+    if first is not None:
+        groups, pairs = first(rows, own.where("n_shingles > 0").select("rk", "name").distinct())
+        named = named.union(groups.select("name"))
+    kept = stored(classes.join(named.distinct(), "name", "left_semi").select("name", "rk", "n_shingles", "signature"), "classes")
     texts = stored(rows.select("rk", "text").join(_sized(kept.select("rk", "name")), "rk").dropDuplicates(["rk"]).select("name", "text"), "texts")
     search = _Search(members, kept.select("name", "n_shingles", "signature"), texts, similarity, shingle, pass_marks(similarity, size, batch, miss), bucket, batch)
+    if first is not None:
+        refused = stored(search.settle(pairs), "refused")
+        if refused.limit(1).count():
+            search.regions(refused, groups)
     refused = search.settle(search.survivors(search.parted(search.labelled(members))))
     if large.limit(1).count():
         # cells of one bucket meet by one class of each component
-        first = search.labelled(members.join(large, "key", "left_semi")).groupBy("key", "component").agg(F.min("name").alias("name"))
-        refused = refused.unionByName(search.settle(search.survivors(search.parted(first)))).unionByName(large)
+        ones = search.labelled(members.join(large, "key", "left_semi")).groupBy("key", "component").agg(F.min("name").alias("name"))
+        refused = refused.unionByName(search.settle(search.survivors(search.parted(ones)))).unionByName(large)
     refused = stored(refused.distinct(), "refused")
     if refused.limit(1).count():
         search.regions(refused)
@@ -349,11 +362,12 @@ def links(own: DataFrame, rows: DataFrame, similarity: float, shingle: int, size
 
 
 def near_duplicates(
-    docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, minima: int = ROWS, size: int = SIGNATURE, batch: int = BATCH, miss: float = MISS, bucket: int = BUCKET, wordless: bool = False
+    docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, minima: int = ROWS, size: int = SIGNATURE, batch: int = BATCH, miss: float = MISS, bucket: int = BUCKET, wordless: bool = False,
+    first: Search | None = None,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row; component_id is the smallest doc_id reachable over links, itself included.
 
-    ``wordless``: texts without words are copies of each other.
+    ``wordless``: texts without words are copies of each other.  ``first``: see ``links``.
     """
     if size % batch or bands * minima > size:
         raise ValueError("a signature is a number of batches, and holds the minima of all bands")
@@ -361,7 +375,7 @@ def near_duplicates(
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("rk", F.xxhash64("doc_id", "text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     own = stored(rows.select("doc_id", "text", "rk").mapInArrow(_sketches(shingle, bands, minima, size), f"doc_id {kind}, rk long, name long, n_shingles long, signature binary, keys array<long>"), "sketches")
-    components = links(own, rows, similarity, shingle, size, batch, miss, bucket)
+    components = links(own, rows, similarity, shingle, size, batch, miss, bucket, first)
     classes = own.where(F.lit(wordless) | (F.col("n_shingles") > 0)).groupBy("name").agg(F.min("doc_id").alias("first")).join(components, "name", "left").select("name", "first", F.coalesce("component", "name").alias("component"))
     least = classes.groupBy("component").agg(F.min("first").alias("component_id"))
     named = classes.join(least, "component").select("name", "component_id")

@@ -312,3 +312,33 @@ def test_components_follow_long_paths(spark):
     assert got == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
     assert F is not None
+
+
+def test_near_copies_are_searched_by_simhash(spark, monkeypatch):
+    from seqspark.llm import near_copies, simhash
+
+    rng = random.Random(41)
+    texts = []
+    for i in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(1500)]
+        texts += [words, [*words[:700], "new", *words[701:]], [*words, "end"]]
+        # repeats move the fingerprint, not the set
+        texts.append(words[:400] + words[:400] + words[400:])
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)] + [(900, None), (901, ""), (902, "few words")], "doc_id long, text string")
+    bits = {r.doc_id: r.bits & ((1 << 64) - 1) for r in simhash.fingerprints(docs, 5).collect()}
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in texts]
+    both = {(i, j) for j in range(len(texts)) for i in range(j) if (bits[i] ^ bits[j]).bit_count() <= 3 and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert len(both) >= 12
+    # no MinHash keys: what is joined, SimHash has found, and whole sets have confirmed
+    monkeypatch.setattr(near_copies, "BANDS", 0)
+    got = {r.doc_id: r.component_id for r in near_copies.groups(docs).collect()}
+    assert all(got[i] == got[j] for i, j in both)
+    parent = list(range(len(texts)))
+    for i, j in sorted(both):
+        low, high = sorted((parent[i], parent[j]))
+        parent = [low if p == high else p for p in parent]
+    assert [got[i] for i in range(len(texts))] == parent and got[900] == got[901] == 900 and got[902] == 902
+    # at a similarity that the pairs lack, all are refused
+    alone = {r.doc_id: r.component_id for r in near_copies.groups(docs, similarity=1.0).collect()}
+    same = {}
+    assert all(alone[i] == same.setdefault(s, i) for i, s in enumerate(sets))
