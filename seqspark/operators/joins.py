@@ -90,14 +90,28 @@ def genome_to_transcript(sites: DataFrame, ranges: DataFrame, chrom: str = "chr"
     return at(at(sites, "s", "s"), "e", "e").where("_s_tx = _e_tx").withColumnRenamed("_s_tx", "tx_id").drop("_e_tx")
 
 
-def transcript_to_genome(df: DataFrame, ranges: DataFrame, pos: str = "tx_pos", size: int = 256) -> DataFrame:
+def transcript_to_genome(df: DataFrame, ranges: DataFrame, pos: str = "tx_pos", size: int = 256, last: str | None = None) -> DataFrame:
     """``df(tx_id, tx_pos)`` with g_pos; places outside the transcript are left out.
 
     The exons of each bin of ``size`` places of a transcript, of which there are ``size`` at most, are one row, so each place meets one row of the map,
     however many exons its transcript has.
+
+    With ``last``, a row of ``df`` stands for all places from ``pos`` to ``last``, and the result has one row for each: spans meet the exons of their bins
+    and become places behind the join, so what is shuffled and sorted follows the spans and exons, not the places.
     """
+    bins = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size)))
+    if last is not None:
+        rest = [c for c in df.columns if c not in ("tx_id", pos, last)]
+        spans = df.where(F.col(last) >= F.col(pos)).withColumn("_bin", bins(pos, last))
+        rows = spans.join(ranges.select("tx_id", "tx_start", "tx_end", "g_start", "g_end", "strand").withColumn("_bin", bins("tx_start", "tx_end")), ["tx_id", "_bin"])
+        lo = F.greatest(F.col(pos), F.col("tx_start"), F.col("_bin") * size)
+        hi = F.least(F.col(last), F.col("tx_end"), (F.col("_bin") + 1) * size - 1)
+        rows = rows.select("tx_id", *rest, lo.alias("_lo"), hi.alias("_hi"), "tx_start", "strand", "g_start", "g_end").where("_lo <= _hi")
+        rows = rows.select("tx_id", *rest, F.explode(F.sequence("_lo", "_hi")).alias(pos), "tx_start", "strand", "g_start", "g_end")
+        d = F.col(pos) - F.col("tx_start")
+        return rows.withColumn("g_pos", F.when(F.col("strand") == "+", F.col("g_start") + d).otherwise(F.col("g_end") - d)).drop("tx_start", "strand", "g_start", "g_end")
     exon = F.struct("tx_start", "tx_end", "g_start", "g_end", "strand")
-    held = ranges.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("tx_start") / size), F.floor(F.col("tx_end") / size))))
+    held = ranges.withColumn("_bin", bins("tx_start", "tx_end"))
     held = held.groupBy("tx_id", "_bin").agg(F.collect_list(exon).alias("_exons"))
     rows = df.withColumn("_bin", F.floor(F.col(pos) / size)).join(held, ["tx_id", "_bin"])
     rows = rows.withColumn("_exon", F.explode(F.filter("_exons", lambda x: F.col(pos).between(x["tx_start"], x["tx_end"]))))

@@ -270,3 +270,17 @@ def test_distances_of_matched_reads_are_measured_once(spark):
     df = spark.createDataFrame([(i, "ACGT" * 9, "ACGT" * 9 if i % 4 else "TTTT" * 9, False) for i in range(40)], "read_id int, query string, own string, reverse boolean")
     got = P.exclude_unmatched_reads(df.select("read_id", "query", "reverse", counted("own").alias("basecall")), "query", "basecall", "reverse")
     assert {r.read_id for r in got.collect()} == {i for i in range(40) if i % 4} and seen.value == 40
+
+
+def test_spans_of_places_on_the_genome(spark):
+    ranges = spark.createDataFrame(
+        [(1, 0, 99, 1000, 1099, "+"), (1, 100, 599, 2000, 2499, "+"), (2, 0, 4, 10, 14, "-"), (2, 5, 9, 30, 34, "-")], "tx_id long, tx_start long, tx_end long, g_start long, g_end long, strand string"
+    )
+    spans = spark.createDataFrame([(1, 50, 700, "a"), (1, 98, 101, "b"), (2, 3, 6, "c"), (2, 6, 5, "d"), (3, 0, 9, "e"), (1, 255, 256, "f")], "tx_id long, tx_pos long, last long, name string")
+    places = [(t, p, n) for t, lo, hi, n in spans.collect() for p in range(lo, hi + 1)]
+    want = rows(J.transcript_to_genome(spark.createDataFrame(places, "tx_id long, tx_pos long, name string"), ranges).select("tx_id", "name", "tx_pos", "g_pos"))
+    got = J.transcript_to_genome(spans, ranges, last="last")
+    assert rows(got.select("tx_id", "name", "tx_pos", "g_pos")) == want and len(want) == 550 + 4 + 4 + 2
+    # places are made behind the join, not shuffled to it
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode(sequence(_lo") < plan.index("Join")
