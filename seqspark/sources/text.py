@@ -184,9 +184,10 @@ def read_annotation(spark: SparkSession, path: str, fmt: str = "gtf", features:
         parents = rows.where(~F.col("type").isin(*features)).select(plain(get("ID")).alias("tx_id"), F.coalesce(get("gene_id"), plain(get("Parent"))).alias("_gene")).where("tx_id IS NOT NULL").dropDuplicates(["tx_id"])
         rows = rows.where(F.col("type").isin(*features)).select("*", F.coalesce(plain(get("Parent")), plain(get("ID"))).alias("tx_id"), get("gene_id").alias("gene_id"))
         rows = rows.join(parents, "tx_id", "left").withColumn("gene_id", F.coalesce("gene_id", "_gene")).drop("_gene")
-    own = Window.partitionBy("tx_id")
-    rows = rows.withColumn("_exons", F.count_if(F.col("type") == "exon").over(own)).where("type = 'exon' OR _exons = 0")
-    return rows.select("tx_id", "gene_id", "chr", "strand", "start", "end", F.row_number().over(own.orderBy("line")).cast("long").alias("ord"))
+    # both windows have one order, so a task sorts its rows once
+    own = Window.partitionBy("tx_id").orderBy("line")
+    rows = rows.withColumn("_exons", F.count_if(F.col("type") == "exon").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).where("type = 'exon' OR _exons = 0")
+    return rows.select("tx_id", "gene_id", "chr", "strand", "start", "end", F.row_number().over(own).cast("long").alias("ord"))
 
 
 def read_sites(spark: SparkSession, path: str, flavor: str, status: bool | None = None) -> DataFrame:

@@ -284,3 +284,12 @@ def test_spans_of_places_on_the_genome(spark):
     # places are made behind the join, not shuffled to it
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("explode(sequence(_lo") < plan.index("Join")
+
+
+def test_annotations_are_sorted_once(spark, tmp_path):
+    line = 'chr1\tm\t{}\t{}\t{}\t.\t+\t.\tgene_id "g"; transcript_id "{}";'
+    (tmp_path / "a.gtf").write_text("\n".join(line.format(kind, i, i + 1, tx) for i, (kind, tx) in enumerate([("CDS", "a"), ("exon", "a"), ("CDS", "b"), ("exon", "a"), ("CDS", "b")])))
+    got = X.read_annotation(spark, str(tmp_path / "a.gtf"))
+    assert rows(got.select("tx_id", "start", "ord")) == [("a.1", 1, 1), ("a.1", 3, 2), ("b.1", 2, 1), ("b.1", 4, 2)]
+    plan = got._jdf.queryExecution().sparkPlan().toString() and got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1
