@@ -348,15 +348,15 @@ def links(own: DataFrame, rows: DataFrame, similarity: float, shingle: int, size
     search = _Search(members, kept.select("name", "n_shingles", "signature"), texts, similarity, shingle, pass_marks(similarity, size, batch, miss), bucket, batch)
     if first is not None:
         refused = stored(search.settle(pairs), "refused")
-        if refused.limit(1).count():
+        if not refused.isEmpty():
             search.regions(refused, groups)
     refused = search.settle(search.survivors(search.parted(search.labelled(members))))
-    if large.limit(1).count():
+    if not large.isEmpty():
         # cells of one bucket meet by one class of each component
         ones = search.labelled(members.join(large, "key", "left_semi")).groupBy("key", "component").agg(F.min("name").alias("name"))
         refused = refused.unionByName(search.settle(search.survivors(search.parted(ones)))).unionByName(large)
     refused = stored(refused.distinct(), "refused")
-    if refused.limit(1).count():
+    if not refused.isEmpty():
         search.regions(refused)
     return search.components
 

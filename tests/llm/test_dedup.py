@@ -314,6 +314,37 @@ def test_components_follow_long_paths(spark):
     assert F is not None
 
 
+def test_rounds_of_few_links_are_few_tasks(spark, monkeypatch):
+    from pathlib import Path
+
+    from seqspark.llm import components
+
+    rng = random.Random(43)
+    links = [(rng.randrange(900), rng.randrange(900)) for _ in range(700)] + [(1000 + i, 1001 + i) for i in range(150)]
+    least = {x: x for link in links for x in link if link[0] != link[1]}
+    for _ in least:
+        for a, b in links:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    changed = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        for bound in (components.BROADCAST_LINKS, 0):  # a shuffle of many links gives the same
+            monkeypatch.setattr(components, "BROADCAST_LINKS", bound)
+            there = set(folder.glob("links-*"))
+            found = components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()
+            assert sorted((r.node, r.root) for r in found) == sorted(least.items())
+            files = sorted(len(list(f.glob("part-*"))) for f in set(folder.glob("links-*")) - there)
+            # the first table is of the caller's links, in all partitions
+            assert len(files) > 2 and (files[-2] <= components.TASKS) == (bound > 0)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_near_copies_are_searched_by_simhash(spark, monkeypatch):
     from seqspark.llm import near_copies, simhash
 
