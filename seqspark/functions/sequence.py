@@ -29,7 +29,7 @@ def evaluated(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 def letters(seq: Column | str) -> Column:
     """The letters of a string; none of the empty one."""
-    return F.filter(F.split(as_column(seq), ""), lambda x: x != "")
+    return F.array_remove(F.split(as_column(seq), ""), "")
 
 
 def span(n: Column, first: int = 0) -> Column:
@@ -217,6 +217,20 @@ def aligned_pairs(pos: Column | str, cigar: Column | str) -> Column:
     return F.aggregate(cigar_ops(cigar), start, step, lambda a: a["out"])
 
 
+def ref_places(pos: Column | str, cigar: Column | str) -> Column:
+    """The reference place of each query base, as in ``aligned_pairs``; null for I and S.  Runs are written out as a whole, not base by base."""
+    start = F.struct(as_column(pos).cast("int").alias("r"), F.array().cast("array<struct<n:int,r:int>>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        on_q, on_r = x["op"].isin("M", "=", "X", "I", "S"), x["op"].isin("M", "=", "X", "D", "N")
+        own = F.struct(x["n"].alias("n"), F.when(on_r, a["r"]).alias("r"))
+        return F.struct((a["r"] + F.when(on_r, x["n"]).otherwise(0)).alias("r"), F.when(on_q, F.array_append(a["out"], own)).otherwise(a["out"]).alias("out"))
+
+    none = F.lit(None).cast("int")
+    run = lambda x: F.when(x["r"].isNull() | (x["n"] < 1), F.array_repeat(none, x["n"])).otherwise(F.sequence(x["r"], x["r"] + x["n"] - 1))
+    return F.flatten(F.transform(F.aggregate(cigar_ops(cigar), start, step, lambda a: a["out"]), run))
+
+
 def ref_index(cigar: Column | str, first: Column | str | int = 0) -> Column:
     """array<struct<idx, quality>>: the query index of each reference base.
 

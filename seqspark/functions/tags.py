@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-from seqspark.functions.sequence import as_column, let, letters
+from seqspark.functions.sequence import as_column, let, letters, span
 
 GROUP = "struct<gaps:array<int>,likelihoods:array<int>>"
 
@@ -77,8 +77,10 @@ def mm_from_seq(seq: Column | str, quality: Column | str, code: str = "A+a") ->
 
     def parts(bases: Column, text: Column) -> Column:
         gaps = let(F.filter(bases, lambda b: b.isin(base, "M")), lambda own: _gaps(own, lambda b: b == "M"))
-        values = F.transform(F.filter(F.zip_with(bases, letters(text), lambda b, q: F.struct(b.alias("b"), q.alias("q"))), lambda x: x["b"] == "M"), lambda x: F.floor(256 * F.pow(F.lit(10.0), -(F.ascii(x["q"]) - 33) / 10.0)).cast("int"))
-        return F.struct(F.array_join(F.transform(bases, lambda b: F.when(b == "M", base).otherwise(b)), "").alias("seq"), gaps.alias("gaps"), values.alias("likelihoods"))
+        places = F.filter(span(F.size(bases)), lambda i: F.get(bases, i) == "M")
+        likelihood = lambda q: F.floor(256 * F.pow(F.lit(10.0), -(F.ascii(q) - 33) / 10.0)).cast("int")
+        values = let(letters(text), lambda own: F.transform(places, lambda i: likelihood(F.get(own, i))))
+        return F.struct(F.replace(as_column(seq), F.lit("M"), F.lit(base)).alias("seq"), gaps.alias("gaps"), values.alias("likelihoods"))
 
     return let(as_column(quality), lambda text: let(letters(seq), lambda bases: parts(bases, text)))
 

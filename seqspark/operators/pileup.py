@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from seqspark.functions.sequence import aligned_pairs, evaluated, hard_clips, let, letters
+from seqspark.functions.sequence import evaluated, hard_clips, let, letters, ref_places, span
 from seqspark.functions.tags import expand_mm, pad_ml, parse_mm
 from seqspark.operators.filters import REVERSE, motif_pattern
 from seqspark.operators.joins import SLICE, reference_slices
@@ -39,14 +39,12 @@ def meth_pileup(alignments: DataFrame, reference: DataFrame, mod: str = "m6A", m
     On reverse reads the canonical base is complemented and the likelihoods are turned around.  qpos counts leading hard clips.
     Bases without a reference place are left out, and so are likelihoods under the threshold.  The motif is matched at the start
     of the window, or with its middle on the base (``anchor='center'``).  A read's bases join the reference in short slices, one row
-    for each read and slice, and stay in their array until all filters, the motif's too, have run.
+    for each read and slice, and become rows of their own behind that join.
     """
     own = _decoded(alignments, mod).where("reason IS NULL")
     values = F.when(F.col("is_reverse"), F.reverse("values")).otherwise(F.col("values"))
-    places = F.filter(F.transform(letters("seq"), lambda b, i: F.when(b == F.col("_base"), i)), lambda i: i.isNotNull())
-    # pairs with a query place stand in its order, so the place is the index
-    pairs = F.filter(aligned_pairs("pos", "cigar"), lambda p: p["qpos"].isNotNull())
-    bases = let(pairs, lambda at: F.zip_with(places, values, lambda q, v: F.struct(q.alias("q"), v.alias("likelihood"), F.get(at, q)["refpos"].alias("refpos"))))
+    places = let(letters("seq"), lambda own: F.filter(span(F.size(own)), lambda i: F.get(own, i) == F.col("_base")))
+    bases = let(ref_places("pos", "cigar"), lambda at: F.zip_with(places, values, lambda q, v: F.struct(q.alias("q"), v.alias("likelihood"), F.get(at, q).alias("refpos"))))
     own = evaluated(own, "_bases", F.filter(bases, lambda x: (x["likelihood"] >= threshold) & x["refpos"].isNotNull()))
     own = own.select("contig", "read_id", F.when(F.col("is_reverse"), "-").otherwise("+").alias("direction"), F.col("_base").alias("qbase"), hard_clips("cigar")["leading"].alias("_clip"), "_bases")
     # bases come in the order of their places, so those of a slice stand together
@@ -54,16 +52,12 @@ def meth_pileup(alignments: DataFrame, reference: DataFrame, mod: str = "m6A", m
     own = evaluated(own, "_at", F.transform(F.array_distinct("_bins"), lambda b: F.struct(b.alias("bin"), F.array_position("_bins", b).cast("int").alias("first"))))
     part = lambda b, i: F.struct(b["bin"].alias("bin"), F.slice("_bases", b["first"], F.coalesce(F.get("_at", i + 1)["first"], F.size("_bases") + 1) - b["first"]).alias("bases"))
     rows = own.select("contig", "read_id", "direction", "qbase", "_clip", F.explode(F.transform("_at", part)).alias("x")).select("contig", "read_id", "direction", "qbase", "_clip", "x.*")
-    rows = rows.join(reference_slices(reference, reach, reach + 1), ["contig", "bin"])
-
-    def shown(x: Column) -> Column:
-        lo = F.greatest(x["refpos"] - reach, F.lit(0))
-        cut = lambda at, n: F.upper(F.substring("slice", (at - F.col("slice_start") + 1).cast("int"), n))
-        return F.struct(x["refpos"].alias("refpos"), x["q"].alias("q"), x["likelihood"].alias("likelihood"), cut(x["refpos"], F.lit(1)).alias("refbase"), cut(lo, (x["refpos"] + reach + 1 - lo).cast("int")).alias("refseq"))
-
-    found = F.transform("bases", shown)
+    slices = reference_slices(reference, reach, reach + 1).withColumn("slice", F.upper("slice"))
+    # behind the join a base is a row: nothing is shuffled any more, and plain columns are faster than those of arrays
+    rows = rows.join(slices, ["contig", "bin"]).select("contig", "read_id", "direction", "qbase", "_clip", "slice_start", "slice", F.explode("bases").alias("x"))
+    cut = lambda at, n: F.substring("slice", (at - F.col("slice_start") + 1).cast("int"), n)
+    lo = F.greatest(F.col("x.refpos") - reach, F.lit(0))
+    rows = rows.select("contig", "x.refpos", (F.col("x.q") + F.col("_clip")).alias("qpos"), cut(F.col("x.refpos"), F.lit(1)).alias("refbase"), "qbase", "read_id", "x.likelihood", "direction", cut(lo, (F.col("x.refpos") + reach + 1 - lo).cast("int")).alias("refseq"))
     if motif is not None:
-        pattern = motif_pattern(motif, anchor, reach)
-        found = F.filter(found, lambda x: x["refseq"].rlike(pattern))
-    rows = rows.select("contig", "read_id", "direction", "qbase", "_clip", F.explode(found).alias("x"))
-    return rows.select("contig", "x.refpos", (F.col("x.q") + F.col("_clip")).alias("qpos"), "x.refbase", "qbase", "read_id", "x.likelihood", "direction", "x.refseq", F.lit(motif).cast("string").alias("motif"))
+        rows = rows.where(F.col("refseq").rlike(motif_pattern(motif, anchor, reach)))
+    return rows.withColumn("motif", F.lit(motif).cast("string"))

@@ -16,7 +16,7 @@ a AS (SELECT read_id, k, c, row_number() OVER (PARTITION BY read_id ORDER BY k)
 
 def quality(reads: DataFrame) -> DataFrame:
     """Reads with a made-up quality string."""
-    return reads.withColumn("quality", F.expr("array_join(transform(filter(sequence(0, length(seq)), k -> k > 0), k -> chr(33 + (read_id * 31 + k * 17) % 40)), '')"))
+    return reads.withColumn("quality", F.expr("array_join(transform(if(length(seq) > 0, sequence(1, length(seq)), cast(array() AS array<int>)), k -> chr(33 + (read_id * 31 + k * 17) % 40)), '')"))
 
 
 @query("m6a_ratio", "fx_reads", sql="SELECT CAST(sum(length(regexp_replace(seq, '[^M]', '', 'g'))) AS BIGINT) AS n_m, CAST(sum(length(regexp_replace(seq, '[^AM]', '', 'g'))) AS BIGINT) AS n_am, round(sum(length(regexp_replace(seq, '[^M]', '', 'g'))) / sum(length(regexp_replace(seq, '[^AM]', '', 'g'))), 6) AS ratio FROM fx_reads")

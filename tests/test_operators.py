@@ -6,6 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from seqspark.functions import sequence as S
 from seqspark.operators import aggregates as A, datasets as D, filters as P, joins as J, pileup as L, segments as G, signal as N
 from seqspark.sources import text as X
 
@@ -293,3 +294,19 @@ def test_annotations_are_sorted_once(spark, tmp_path):
     assert rows(got.select("tx_id", "start", "ord")) == [("a.1", 1, 1), ("a.1", 3, 2), ("b.1", 2, 1), ("b.1", 4, 2)]
     plan = got._jdf.queryExecution().sparkPlan().toString() and got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") == 1
+
+
+def test_reference_places_of_query_bases(spark):
+    rows_ = [(7, "3M2I4M1D2M"), (0, "2H3S5=2X1N1M2S"), (4, "0M3M"), (None, "2M"), (1, None), (2, "5D3P")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows_)], "i int, pos int, cigar string")
+    pairs = F.transform(F.filter(S.aligned_pairs("pos", "cigar"), lambda p: p["qpos"].isNotNull()), lambda p: p["refpos"])
+    got = df.select("i", S.ref_places("pos", "cigar").alias("at"), pairs.alias("plain")).orderBy("i").collect()
+    assert [r["at"] for r in got] == [r["plain"] for r in got]
+    assert got[0]["at"] == [7, 8, 9, None, None, 10, 11, 12, 13, 15, 16]
+
+
+def test_pileup_follows_insertions(spark):
+    aln = spark.createDataFrame([("a", 0, "c", 1, "2M1I3M", "AACAAT", "A+a?,0,1;", [9, 8])], "read_id string, flag int, contig string, pos int, cigar string, seq string, mm string, ml array<int>")
+    ref = spark.createDataFrame([("c", "GAATAAT", 7)], "contig string, seq string, length long")
+    pile = L.meth_pileup(aln, ref, reach=1)
+    assert {(r.refpos, r.qpos, r.likelihood, r.refbase, r.refseq) for r in pile.collect()} == {(1, 0, 9, "A", "GAA"), (2, 1, 0, "A", "AAT"), (3, 3, 8, "T", "ATA"), (4, 4, 0, "A", "TAA")}
